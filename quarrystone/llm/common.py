@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +42,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def seed_of(n: int) -> np.uint64:
+    """The n-th multiple of SEED modulo 2**64."""
+    return np.uint64(int(SEED) * n & 0xFFFFFFFFFFFFFFFF)
+
+
+def importable(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each session's context."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrystone_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as held:
+        for source in sorted(package.rglob("*.py")):
+            held.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._quarrystone_sent = True

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_ordinal
+from . import bagminhash, line_spread, packing, quality_ordinal
+from .common import importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,7 +23,29 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ordinal.classify(docs, ratings).select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it starts, its checksum, its sequence and its place there."""
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the rest of the text and the number of lines removed, for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_spread.deduplicated(docs).select("doc_id", "text", "n_lines_removed")
+
+
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its near-duplicates), kept for every document."""
+    return bagminhash.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_spread": op4_line_spread,
+    "op10_bagminhash": op10_bagminhash,
 }
 ORACLE_SQL: dict[str, str] = {}
