@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, line_spread, packing, quality_ordinal
+from . import bagminhash, divergence, ego, kernel_lang, line_spread, packing, quality_ordinal, warc
 from .common import importable
 
 
@@ -16,6 +16,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, canonical_url, response_page, status and merged headers for the revisit of every page."""
+    found = warc.resolve(warc.captures(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select(
+        F.expr("record_id div 2").alias("page_id"), "canonical_url", F.expr("response_id div 2").alias("response_page"), "status", F.array_join(lines, ";").alias("headers")
+    )
+
+
+OP1_SQL = """
+with parts as (
+  select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', '', 's'), '^[hH][tT][tT][pP][sS]?://', '') as bare from pages
+  where url is not null and page_id is not null
+), split as (
+  select page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '(:80|:443)$', ''), '^www[.]', '') as host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*[?](.*)$', 1), '&'),
+      lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid)(=|$)'))) as kept from parts
+), c as (
+  select page_id, md5(html) as tag, strlen(html) as bytes,
+    host || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as url from split
+), m as (
+  select r.page_id, r.url, r.tag, (select max(f.page_id) from c f where f.url = r.url and f.page_id < r.page_id + 5000) as response from c r
+)
+select m.page_id, m.url as canonical_url, m.response as response_page,
+  case when f.page_id is null then 'no_response' when m.tag is null or f.tag is null then 'unchecked' when m.tag = f.tag then 'resolved' else 'mismatch' end as status,
+  case when m.tag is null or f.tag is null or m.tag = f.tag then array_to_string(list_filter([
+    'cache-control=no-cache', 'content-length=' || f.bytes, 'content-type=text/html', 'date=' || (m.page_id + 5000),
+    'etag=' || coalesce('W/"' || m.tag || '"', '"' || f.tag || '"')], lambda x: x is not null), ';') end as headers
+from m left join c f on f.page_id = m.response
+"""
+
+
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, expected_grade, tail_probability, kept for every document."""
     ratings = quality_ordinal.graded(_table(spark, sf_dir, "labels"))
@@ -37,15 +71,35 @@ def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.deduplicated(docs).select("doc_id", "text", "n_lines_removed")
 
 
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every vector; cosine 0.9 or more is a link."""
+    return ego.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kernel_lang.identify(docs, kernel_lang.train(docs))
+
+
+def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and both distances for every document."""
+    return divergence.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its near-duplicates), kept for every document."""
     return bagminhash.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_spread": op4_line_spread,
+    "op5_ego_join": op5_ego_join,
+    "op6_kernel_language": op6_kernel_language,
+    "op8_divergence": op8_divergence,
     "op10_bagminhash": op10_bagminhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
