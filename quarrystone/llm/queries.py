@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, divergence, ego, kernel_lang, line_spread, packing, quality_ordinal, warc
+from . import bagminhash, bpe, divergence, ego, kernel_lang, line_spread, packing, quality_ordinal, warc
 from .common import importable
 
 
@@ -87,6 +87,14 @@ def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded bytes for every document."""
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its near-duplicates), kept for every document."""
     return bagminhash.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ego_join": op5_ego_join,
     "op6_kernel_language": op6_kernel_language,
     "op8_divergence": op8_divergence,
+    "op9_bpe": op9_bpe,
     "op10_bagminhash": op10_bagminhash,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
