@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, divergence, ego, kernel_lang, line_spread, packing, quality_ordinal, warc
+from . import bagminhash, bpe, divergence, ego, kernel_lang, line_spread, packing, pii, quality_ordinal, warc
 from .common import importable
 
 
@@ -82,6 +82,11 @@ def op6_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_lang.identify(docs, kernel_lang.train(docs))
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, for every document."""
+    return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and both distances for every document."""
     return divergence.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_spread": op4_line_spread,
     "op5_ego_join": op5_ego_join,
     "op6_kernel_language": op6_kernel_language,
+    "op7_boosted_pii": op7_boosted_pii,
     "op8_divergence": op8_divergence,
     "op9_bpe": op9_bpe,
     "op10_bagminhash": op10_bagminhash,
