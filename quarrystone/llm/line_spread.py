@@ -4,7 +4,7 @@ Each line has a HyperLogLog sketch of the sites (sources) it stands on; sketches
 are merged by aggregation. Lines whose estimate is near the threshold, within
 three standard errors, get an exact distinct count. Lines on min_sites sites or
 more are boilerplate and leave the documents that have other text. A document of
-which boilerplate is more than half of its words is a copy rather than a page with
+which boilerplate is more than half of the characters is a copy rather than a page with
 boilerplate: it stays as it is, for document-level dedup to judge, so the last
 copy of a text is never lost.
 
@@ -29,25 +29,24 @@ LG_K = 12
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
-def _n_words(text: Column) -> Column:
-    trimmed = F.trim(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
-
-
 def _line_key(line: Column) -> Column:
     """128 bits, so that lines of a whole crawl do not meet by chance."""
     return F.unhex(F.md5(F.btrim(line, F.lit(" \t\r"))))
 
 
-def _lines(docs: DataFrame, *columns: Column, min_words: int) -> DataFrame:
-    lines = docs.where("text is not null").select(*columns, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.withColumn("words", _n_words(F.col("line"))).where(F.col("words") >= min_words)
+def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, text_key, pos, chars, line, site) of the lines that count: one pass over the texts."""
+    counts = f"^[ \\t\\x0B\\f\\r]*+(?:[^ \\t\\x0B\\f\\r]++[ \\t\\x0B\\f\\r]++){{{min_words - 1}}}[^ \\t\\x0B\\f\\r]"
+    rows = docs.where("text is not null").select(_id(), F.xxhash64("text").alias("_text"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.where(F.col("line").rlike(counts)).select("_id", "_text", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line"), "site")
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)).cast("long")).alias("_id")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(line) keys of the lines that stand on min_sites distinct sources or more."""
-    site = F.xxhash64(F.coalesce("source", F.lit("")))
-    lines = _lines(docs, site.alias("site"), min_words=min_words).select(_line_key(F.col("line")).alias("line"), "site")
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The keys of the lines that stand on min_sites distinct sites or more."""
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites * (1 - BAND) - 0.5))
     near = spread.where(F.col("sites") <= min_sites * (1 + BAND) + 0.5).select("line")
@@ -58,17 +57,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
 def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
     """docs with boilerplate lines taken out of text; n_lines_removed is added (or replaced)."""
     docs = docs.drop("n_lines_removed")
-    marks = boilerplate(docs, min_sites, min_words)
-    key = F.unhex(F.md5("text"))
-    found = _lines(docs, F.col("doc_id").alias("_id"), key.alias("_text"), min_words=min_words).select("_id", "_text", "pos", "words", _line_key(F.col("line")).alias("line"))
-    hit = joined(found, marks, ["line"], "left_semi", marks.count())
+    lines = written(lines_of(docs, min_words))
+    marks = boilerplate(lines, min_sites)
+    hit = joined(lines, marks, ["line"], "left_semi", marks.count())
     # A key for each row's text: no group of copies meets in one task, repeated rows share one set of positions.
-    cut = written(hit.groupBy("_id", "_text").agg(F.collect_set(F.struct("pos", "words")).alias("cut")).where("_text is not null"))
-    flagged = docs.withColumns({"_id": F.col("doc_id"), "_text": key}).withColumn("_id", F.coalesce("_id", F.lit(-(1 << 62)).cast("long")))
-    cut = cut.withColumn("_id", F.coalesce("_id", F.lit(-(1 << 62)).cast("long")))
-    both = flagged.join(cut, ["_id", "_text"], "left")
-    n_cut = F.aggregate("cut", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    goes = F.col("cut").isNotNull() & (n_cut <= max_share * _n_words(F.col("text")))
+    cut = written(hit.groupBy("_id", "_text").agg(F.collect_set(F.struct("pos", "chars")).alias("cut")))
+    both = docs.withColumns({"_id": _id(), "_text": F.xxhash64("text")}).join(cut, ["_id", "_text"], "left")
+    n_cut = F.aggregate("cut", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    goes = F.col("cut").isNotNull() & (n_cut <= max_share * F.length("text"))
     places = F.transform("cut", lambda x: x["pos"])
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(places, k)), "\n")
     return both.select(
