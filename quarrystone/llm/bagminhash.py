@@ -8,11 +8,15 @@ A document of weight w sees the points placed below w, and each register keeps i
 earliest. Two registers agree with the probability of the weighted Jaccard
 similarity. Points are drawn in order of time only until they can no longer win.
 
-Bands of signatures give buckets. In a bucket a pivot is compared with the
-members of other components; the true multiset overlap decides; what is linked or
-compared leaves, and rounds go on with more pivots until no bucket holds two
-components that have not been compared. So no link between bucket mates is lost,
-and a group of copies costs about one comparison per member.
+Bands of signatures give buckets. In a bucket only a pivot, the text that meets most
+others, is compared with the members; the true multiset overlap decides. Two members
+x and y that the pivot p leaves in different components can still be linked, and then
+|x & y| is at most min(|x & p|, |y & p|) plus what x and y share beyond p. So either
+their overlaps with p are large enough, which few pairs fulfil and those are compared,
+or they share something beyond p, and then they meet in a new bucket of a shingle
+beyond p (of a prefix of these, as in prefix filtering). New buckets take their
+pivots in the next round. No link between bucket mates is lost, no bucket is
+gathered, and a group of copies costs about one comparison per member.
 
 Words are what lies between ASCII white space, as they stand. Texts of one to four
 words have one shingle, all their words. Defined results: texts that are null,
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SEED, joined, mix, seed_of, written
@@ -38,6 +42,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
+#: Rounds of new buckets; each takes the pivots out, and a few are enough unless texts are built to need more.
+MAX_ROUNDS = 40
 #: Documents are signed in batches of about so many shingles.
 BATCH_SHINGLES = 400_000
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -132,28 +138,38 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted arrays of shingles, repeats counted."""
+    """Weighted Jaccard similarity of two arrays of shingles, repeats counted."""
     if not len(a) or not len(b):
         return 0.0
-    both = np.concatenate([a, b])
-    _, inverse = np.unique(both, return_inverse=True)
-    n = inverse.max() + 1
-    x, y = np.bincount(inverse[: len(a)], minlength=n), np.bincount(inverse[len(a) :], minlength=n)
-    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    common = _beyond(a, b)[0]
+    return common / (len(a) + len(b) - common)
+
+
+def _beyond(pivot: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
+    """The multiset overlap, and the elements (shingle, occurrence) of other beyond it, hashed."""
+    values, inverse = np.unique(np.concatenate([pivot, other]), return_inverse=True)
+    x, y = np.bincount(inverse[: len(pivot)], minlength=len(values)), np.bincount(inverse[len(pivot) :], minlength=len(values))
+    common = np.minimum(x, y)
+    more = y - common
+    which = np.repeat(np.arange(len(values)), more)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + common[which]
+    return int(common.sum()), mix(values[which] + mix(nth.astype(np.uint64) + SEED))
 
 
 def _verified(threshold: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, last_id, last = _Words(), None, None
         for batch in batches:
-            linked = []
-            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last_id:
-                    last_id, last = a, shingles(text_a, words)
-                other = shingles(text_b, words)
-                short, long = sorted((len(last), len(other)))
-                linked.append(bool(short) and short >= threshold * long and overlap(last, other) >= threshold)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
+            out = []
+            for p, i, text_p, text in zip(batch["p"], batch["id"], batch["text_p"], batch["text"], strict=True):
+                if p != last_id:
+                    last_id, last = p, shingles(text_p, words)
+                other = shingles(text, words)
+                common, beyond = _beyond(last, other)
+                linked = common >= threshold * (len(last) + len(other) - common) - 1e-9 and common > 0
+                needed = max(1, int(np.ceil(threshold * len(other) - common - 1e-9)))
+                out.append((p, i, common, len(other), linked, np.sort(beyond)[: max(0, len(beyond) - needed + 1)].astype(np.int64)))
+            yield pd.DataFrame(out, columns=["p", "id", "common", "size", "linked", "beyond"])
 
     return verify
 
@@ -178,46 +194,42 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """texts(id long, text), ids and texts distinct -> (a, b) whose multiset overlap is threshold or more, enough to connect every linked pair of bucket mates."""
     keys = written(texts.mapInPandas(_signed, "id long, keys array<long>"))
     rows = keys.select("id", F.explode("keys").alias("bucket"))
-    sizes = rows.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = written(rows.join(sizes, "bucket", "left_semi"))
-    found, pivots = None, 1
-    while True:
-        # Each bucket's members in an order of its own; the first are its pivots of this round.
-        buckets = buckets.withColumn("turn", F.xxhash64("bucket", "id")) if "turn" not in buckets.columns else buckets
-        if found is None:
-            labelled = buckets.select("bucket", "id", "turn", F.col("id").alias("part"))
-        else:
-            parts = written(components(found))
-            labelled = joined(buckets, parts.withColumnRenamed("component", "part"), ["id"], "left", parts.count()).withColumn("part", F.coalesce("part", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-        labelled = written(labelled.join(mixed, "bucket", "left_semi"))
-        if labelled.isEmpty():
-            return found if found is not None else texts.sparkSession.createDataFrame([], "a long, b long")
-        if pivots == 1:
-            chosen = labelled.groupBy("bucket").agg(F.min(F.struct("turn", "id", "part")).alias("p")).select("bucket", F.col("p.id").alias("p_id"), F.col("p.part").alias("p_part"), F.col("p.turn").alias("p_turn"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("turn", "id")
-            chosen = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pivots).select("bucket", F.col("id").alias("p_id"), F.col("part").alias("p_part"), F.col("turn").alias("p_turn"))
-        chosen = written(chosen)
-        pairs = (
-            labelled.join(chosen, "bucket")
-            .where("part <> p_part and (turn > p_turn or turn = p_turn and id > p_id)")
-            .select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
-            .distinct()
-        )
-        new = verify(pairs, texts, threshold)
-        found = written(new if found is None else found.union(new))
-        buckets = written(labelled.join(chosen.select("bucket", F.col("p_id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "turn"))
-        pivots *= 2
-
-
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' multisets of shingles overlap by threshold or more."""
+    found = texts.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(MAX_ROUNDS):
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        buckets = written(rows.join(sizes, "bucket"))
+        if buckets.isEmpty():
+            return found
+        met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+        pivots = buckets.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("p")).select("bucket", (-F.col("p.back")).alias("p"))
+        star = written(buckets.join(pivots, "bucket").where("id <> p").select("bucket", "p", "id"))
+        seen = written(compared(star.select("p", "id").distinct(), texts, threshold))
+        found = written(found.union(seen.where("linked").select("p", "id")))
+        parts = written(components(found))
+        star = joined(star, parts, ["id"], "left", parts.count()).select("bucket", "p", "id", F.coalesce("component", "id").alias("part"))
+        mixed = star.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+        left = star.join(mixed, "bucket", "left_semi").select("p", "id", "part").distinct()
+        left = written(left.join(seen, ["p", "id"]).select("p", "id", "part", "common", "size", "linked", "beyond"))
+        if left.isEmpty():
+            return found
+        # Pairs whose overlaps with the pivot alone could make a link.
+        able = left.where(F.col("common") >= threshold * F.col("size") - 1e-9).select("p", "id", "part", "common", "size", "linked")
+        x = able.where("not linked").select("p", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "common", "size")])
+        enough = (1 + threshold) * F.least("common", "x_common") >= threshold * (F.col("size") + F.col("x_size")) - 1e-9
+        close = x.join(able, "p").where("part <> x_part").where(enough).select(F.least("id", "x_id").alias("p"), F.greatest("id", "x_id").alias("id")).distinct()
+        found = written(found.union(compared(close, texts, threshold).where("linked").select("p", "id")))
+        # Pairs that share something beyond the pivot meet in new buckets.
+        rows = left.select("id", F.explode("beyond").alias("shingle"), "p").select("id", F.xxhash64("p", "shingle").alias("bucket")).distinct()
+    raise RuntimeError("buckets did not settle")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (p, id) with their multiset overlap, the size of id, whether they are linked, and what of id lies beyond p."""
     pairs = written(pairs)
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = pairs.select("id").union(pairs.select("p")).distinct()
     held = texts.join(needed, "id", "left_semi")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.mapInPandas(_verified(threshold), "a long, b long, linked boolean").where("linked").select("a", "b")
+    both = pairs.join(held.select(F.col("id").alias("p"), F.col("text").alias("text_p")), "p").join(held, "id")
+    return both.select("p", "id", "text_p", "text").mapInPandas(_verified(threshold), "p long, id long, common long, size long, linked boolean, beyond array<long>")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
