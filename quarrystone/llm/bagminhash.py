@@ -10,13 +10,14 @@ similarity. Points are drawn in order of time only until they can no longer win.
 
 Bands of signatures give buckets. In a bucket only a pivot, the text that meets most
 others, is compared with the members; the true multiset overlap decides. Two members
-x and y that the pivot p leaves in different components can still be linked, and then
-|x & y| is at most min(|x & p|, |y & p|) plus what x and y share beyond p. So either
-their overlaps with p are large enough, which few pairs fulfil and those are compared,
-or they share something beyond p, and then they meet in a new bucket of a shingle
-beyond p (of a prefix of these, as in prefix filtering). New buckets take their
-pivots in the next round. No link between bucket mates is lost, no bucket is
-gathered, and a group of copies costs about one comparison per member.
+x and y that the pivot leaves in different components can still be linked. Let P be the
+union of the pivot and a few texts that meet it most, so that P covers what a group of
+copies has in common. Then |x & y| is at most min(|x & P|, |y & P|) plus what x and y
+share beyond P. So either their overlaps with P are large enough, which few pairs
+fulfil and those are compared, or they share something beyond P, and then they meet in
+a new bucket of a shingle beyond P (of a prefix of these, as in prefix filtering). New
+buckets take their pivots in the next round. No link between bucket mates is lost, no
+bucket is gathered, and a group of copies costs about one comparison per member.
 
 Words are what lies between ASCII white space, as they stand. Texts of one to four
 words have one shingle, all their words. Defined results: texts that are null,
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, joined, mix, seed_of, written
@@ -42,6 +43,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
+#: So many texts make P together with the pivot.
+COMPANIONS = 4
 #: Rounds of new buckets; each takes the pivots out, and a few are enough unless texts are built to need more.
 MAX_ROUNDS = 40
 #: Documents are signed in batches of about so many shingles.
@@ -145,31 +148,56 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _beyond(pivot: np.ndarray, other: np.ndarray) -> tuple[int, np.ndarray]:
-    """The multiset overlap, and the elements (shingle, occurrence) of other beyond it, hashed."""
-    values, inverse = np.unique(np.concatenate([pivot, other]), return_inverse=True)
-    x, y = np.bincount(inverse[: len(pivot)], minlength=len(values)), np.bincount(inverse[len(pivot) :], minlength=len(values))
-    common = np.minimum(x, y)
-    more = y - common
-    which = np.repeat(np.arange(len(values)), more)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + common[which]
-    return int(common.sum()), mix(values[which] + mix(nth.astype(np.uint64) + SEED))
+def _union(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles and the largest number of times that one of the bags has each."""
+    values, counts = zip(*[np.unique(b, return_counts=True) for b in bags], strict=True)
+    found, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    most = np.zeros(len(found), np.int64)
+    np.maximum.at(most, inverse, np.concatenate(counts))
+    return found, most
+
+
+def _within(bag: tuple[np.ndarray, np.ndarray], values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each distinct shingle, the smaller of its counts here and in a sorted bag."""
+    if not len(bag[0]):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(bag[0], values), len(bag[0]) - 1)
+    return np.where(bag[0][at] == values, np.minimum(bag[1][at], counts), 0)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two arrays of shingles, repeats counted."""
+    if not len(a) or not len(b):
+        return 0.0
+    common = int(_within(_union([a]), *np.unique(b, return_counts=True)).sum())
+    return common / (len(a) + len(b) - common)
 
 
 def _verified(threshold: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, last_id, last = _Words(), None, None
+        words, last_id = _Words(), None
         for batch in batches:
             out = []
-            for p, i, text_p, text in zip(batch["p"], batch["id"], batch["text_p"], batch["text"], strict=True):
+            for p, i, text_p, others, text in zip(batch["p"], batch["id"], batch["text_p"], batch["others"], batch["text"], strict=True):
                 if p != last_id:
-                    last_id, last = p, shingles(text_p, words)
-                other = shingles(text, words)
-                common, beyond = _beyond(last, other)
-                linked = common >= threshold * (len(last) + len(other) - common) - 1e-9 and common > 0
-                needed = max(1, int(np.ceil(threshold * len(other) - common - 1e-9)))
-                out.append((p, i, common, len(other), linked, np.sort(beyond)[: max(0, len(beyond) - needed + 1)].astype(np.int64)))
-            yield pd.DataFrame(out, columns=["p", "id", "common", "size", "linked", "beyond"])
+                    last_id, pivot = p, shingles(text_p, words)
+                    own = _union([pivot])
+                    union = _union([pivot, *[shingles(t, words) for t in others]]) if others is not None and len(others) else own
+                found = shingles(text, words)
+                values, counts = np.unique(found, return_counts=True)
+                common = int(_within(own, values, counts).sum())
+                linked = common > 0 and common >= threshold * (len(pivot) + len(found) - common) - 1e-9
+                if others is None:
+                    out.append((p, i, common, len(found), linked, None))
+                    continue
+                covered = _within(union, values, counts)
+                more = counts - covered
+                which = np.repeat(np.arange(len(values)), more)
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + covered[which]
+                beyond = np.sort(mix(values[which] + mix(nth.astype(np.uint64) + SEED)))
+                needed = max(1, int(np.ceil(threshold * len(found) - covered.sum() - 1e-9)))
+                out.append((p, i, int(covered.sum()), len(found), linked, beyond[: max(0, len(beyond) - needed + 1)].astype(np.int64)))
+            yield pd.DataFrame(out, columns=["p", "id", "covered", "size", "linked", "beyond"])
 
     return verify
 
@@ -201,35 +229,51 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if buckets.isEmpty():
             return found
         met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
-        pivots = buckets.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("p")).select("bucket", (-F.col("p.back")).alias("p"))
-        star = written(buckets.join(pivots, "bucket").where("id <> p").select("bucket", "p", "id"))
-        seen = written(compared(star.select("p", "id").distinct(), texts, threshold))
+        buckets = written(buckets.join(met, "id"))
+        pivots = buckets.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("back"))).alias("p")).select("bucket", (-F.col("p.back")).alias("p"))
+        star = written(buckets.join(pivots, "bucket").where("id <> p").select("bucket", "p", "id", "met"))
+        mates = star.select("p", "id", "met").distinct()
+        near = mates.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("met"), "id"))).where(F.col("n") <= COMPANIONS).select("p", F.col("id").alias("mate"))
+        seen = written(compared(mates.select("p", "id"), texts, threshold, near))
         found = written(found.union(seen.where("linked").select("p", "id")))
         parts = written(components(found))
         star = joined(star, parts, ["id"], "left", parts.count()).select("bucket", "p", "id", F.coalesce("component", "id").alias("part"))
         mixed = star.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
         left = star.join(mixed, "bucket", "left_semi").select("p", "id", "part").distinct()
-        left = written(left.join(seen, ["p", "id"]).select("p", "id", "part", "common", "size", "linked", "beyond"))
+        left = written(left.join(seen, ["p", "id"]).select("p", "id", "part", "covered", "size", "linked", "beyond"))
         if left.isEmpty():
             return found
-        # Pairs whose overlaps with the pivot alone could make a link.
-        able = left.where(F.col("common") >= threshold * F.col("size") - 1e-9).select("p", "id", "part", "common", "size", "linked")
-        x = able.where("not linked").select("p", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "common", "size")])
-        enough = (1 + threshold) * F.least("common", "x_common") >= threshold * (F.col("size") + F.col("x_size")) - 1e-9
-        close = x.join(able, "p").where("part <> x_part").where(enough).select(F.least("id", "x_id").alias("p"), F.greatest("id", "x_id").alias("id")).distinct()
+        # Pairs whose overlaps with P alone could make a link.
+        able = left.where(F.col("covered") >= threshold * F.col("size") - 1e-9).select("p", "id", "part", "covered", "size", "linked")
+        x = able.where("not linked").select("p", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "covered", "size")])
+        enough = (1 + threshold) * F.least("covered", "x_covered") >= threshold * (F.col("size") + F.col("x_size")) - 1e-9
+        alike = F.least("size", "x_size") >= threshold * F.greatest("size", "x_size") - 1e-9
+        close = x.join(able, "p").where("part <> x_part").where(enough & alike).select(F.least("id", "x_id").alias("p"), F.greatest("id", "x_id").alias("id")).distinct()
         found = written(found.union(compared(close, texts, threshold).where("linked").select("p", "id")))
-        # Pairs that share something beyond the pivot meet in new buckets.
-        rows = left.select("id", F.explode("beyond").alias("shingle"), "p").select("id", F.xxhash64("p", "shingle").alias("bucket")).distinct()
+        # Pairs that share something beyond P meet in new buckets; those of one component need not.
+        rows = left.select("id", "part", F.explode("beyond").alias("shingle"), "p").select("id", "part", F.xxhash64("p", "shingle").alias("bucket"))
+        rows = written(rows.distinct())
+        mixed = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+        rows = rows.join(mixed, "bucket", "left_semi").select("id", "bucket")
     raise RuntimeError("buckets did not settle")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (p, id) with their multiset overlap, the size of id, whether they are linked, and what of id lies beyond p."""
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float, near: DataFrame | None = None) -> DataFrame:
+    """The pairs (p, id): whether they are linked, the size of id, how much of it P covers and what of it lies beyond P.
+
+    near(p, mate) names the texts that make P with the pivot; without it P is not asked for.
+    """
     pairs = written(pairs)
-    needed = pairs.select("id").union(pairs.select("p")).distinct()
-    held = texts.join(needed, "id", "left_semi")
-    both = pairs.join(held.select(F.col("id").alias("p"), F.col("text").alias("text_p")), "p").join(held, "id")
-    return both.select("p", "id", "text_p", "text").mapInPandas(_verified(threshold), "p long, id long, common long, size long, linked boolean, beyond array<long>")
+    asked = pairs.select("id").union(pairs.select("p"))
+    held = texts.join((asked if near is None else asked.union(near.select("mate"))).distinct(), "id", "left_semi")
+    pivots = pairs.select("p").distinct().join(held.select(F.col("id").alias("p"), F.col("text").alias("text_p")), "p")
+    if near is None:
+        pivots = pivots.withColumn("others", F.lit(None).cast("array<string>"))
+    else:
+        mates = near.join(held.select(F.col("id").alias("mate"), "text"), "mate").groupBy("p").agg(F.collect_list("text").alias("others"))  # COMPANIONS at most
+        pivots = pivots.join(mates, "p")
+    both = pairs.join(pivots, "p").join(held, "id")
+    return both.select("p", "id", "text_p", "others", "text").mapInPandas(_verified(threshold), "p long, id long, covered long, size long, linked boolean, beyond array<long>")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

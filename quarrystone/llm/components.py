@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: So many distinct links, at most, are reduced by one task.
+ONE_TASK = 500_000
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (vertex, smallest vertex of its component) of the graph with edges a-b."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -51,6 +55,10 @@ def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links(a long, b long) -> (id, component) for every vertex with a link; component is the smallest id reachable."""
     edges = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= ONE_TASK:  # a counted bound: beyond it the steps below share the work
+        edges = written(edges.coalesce(1).mapInPandas(_reduced, "a long, b long"))
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
     edges = written(edges.mapInPandas(_reduced, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
