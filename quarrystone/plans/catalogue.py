@@ -1,6 +1,8 @@
-"""Every registered query of the reference's own operators, and the same rows in SQL."""
+"""Every registered query of the knowledge engine, and the same rows in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import reads, work
+
+QUERIES: dict = {**reads.QUERIES, **work.QUERIES}
+ORACLE_SQL: dict[str, str] = {**reads.ORACLE_SQL, **work.ORACLE_SQL}
