@@ -33,13 +33,15 @@ _EDGE = re.compile(r"^\W+|\W+$")
 
 
 class _Words(dict):
-    """Word -> feature | shape bits << 20; forgets everything when it is large."""
+    """Word -> feature | shape bits << 20 | (feature of its stem + 1) << 32; forgets everything when it is large."""
 
     LIMIT = 400_000
 
     def __missing__(self, word: str) -> int:
         core = _EDGE.sub("", word).lower()
         code = zlib.crc32(core.encode("utf-8", "surrogatepass")) % N_WORD if core else N_WORD
+        if len(core) >= 6:  # its beginning too, for words of one stem
+            code |= zlib.crc32(b"^" + core[:4].encode("utf-8", "surrogatepass")) % N_WORD + 1 << 32
         if any(c in "#*$%&<>^~" for c in word):
             code |= 1 << 20
         if len(core) > 1 and core != word and any(c.isalpha() for c in core) and word.upper() == word:
@@ -60,7 +62,8 @@ def features(text: str | None, words: _Words) -> np.ndarray:
     if not len(codes):
         return np.zeros(0, np.int64)
     core = codes & ((1 << 20) - 1)
-    found = np.unique(core)
+    stems = codes >> 32
+    found = np.unique(np.concatenate([core[core < N_WORD], stems[stems > 0] - 1]))
     shares = (
         np.mean(codes >> 20 & 1),
         np.mean(codes >> 21 & 1),
@@ -69,7 +72,7 @@ def features(text: str | None, words: _Words) -> np.ndarray:
         np.mean(codes >> 23 & 1),
     )
     level = [N_WORD + i * LEVELS + (0 if x <= 0 else int(np.clip(np.ceil(np.log2(x * 256)), 1, LEVELS - 1))) for i, x in enumerate(shares)]
-    return np.concatenate([found[found < N_WORD], np.array(level, np.int64)])
+    return np.concatenate([found, np.array(level, np.int64)])
 
 
 @dataclass
@@ -100,10 +103,12 @@ def objective(scores: np.ndarray, grades: np.ndarray, thetas: np.ndarray, row_we
     return float(-(row_weight * np.log(p)).sum()), by_score, by_theta
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, min_df: int = 10, l2: float = 1e-3, balance: float = 0.0, steps: int = 100, rate: float = 0.08) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, min_df: int = 5, min_z: float = 5.0, l2: float = 1e-5, balance: float = 0.0, steps: int = 200, rate: float = 0.2) -> OrdinalModel:
     """Adam over full batches; thresholds stay ordered as first + sum of exp(gaps).
 
-    balance 0 weighs rows alike, 1 weighs grades alike.
+    balance 0 weighs rows alike, 1 weighs grades alike. A word takes part if it is in min_df rows and its score test
+    at zero weights, the sum of its rows' score gradients over their root sum of squares, is min_z or more: the many
+    words that say nothing of a grade get no weight that a long text could add up.
     """
     n_cut = int(grades.max()) if len(grades) else 0
     weights = np.zeros(N_FEATURES)
@@ -112,15 +117,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, min_df: int = 10, l2: float
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     df = np.bincount(flat, minlength=N_FEATURES)
-    frequent = df >= min_df
+    share = np.bincount(grades, minlength=n_cut + 1).astype(float)
+    row_weight = (1 / np.maximum(share, 1) ** balance)[grades]
+    row_weight /= row_weight.sum()
+    above = np.clip(np.array([row_weight[grades > k].sum() for k in range(n_cut)]), 1e-4, 1 - 1e-4)
+    start = np.maximum.accumulate(np.log(1 / above - 1)) + 1e-3 * np.arange(n_cut)
+    by_row = np.repeat(objective(np.zeros(len(grades)), grades, start, row_weight)[1], lengths)
+    test = np.abs(np.bincount(flat, weights=by_row, minlength=N_FEATURES)) / np.sqrt(np.bincount(flat, weights=by_row**2, minlength=N_FEATURES) + 1e-300)
+    frequent = (df >= min_df) & (test >= min_z)
     keep = frequent[flat]
     owner = np.repeat(np.arange(len(rows)), lengths)[keep]
     flat, lengths = flat[keep], np.bincount(owner, minlength=len(rows))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    share = np.bincount(grades, minlength=n_cut + 1).astype(float)
-    row_weight = (1 / np.maximum(share, 1) ** balance)[grades]
-    row_weight /= row_weight.sum()
-    parameters = np.concatenate([weights, [-0.5 * (n_cut - 1)], np.zeros(n_cut - 1)])
+    parameters = np.concatenate([weights, [start[0]], np.log(np.diff(start) + 1e-2)])
     m, v = np.zeros_like(parameters), np.zeros_like(parameters)
     for step in range(1, steps + 1):
         w, first, gaps = parameters[:N_FEATURES], parameters[N_FEATURES], np.exp(parameters[N_FEATURES + 1 :])
