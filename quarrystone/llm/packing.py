@@ -189,5 +189,6 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY
         packed = written(rest.mapInPandas(_next_round(capacity), _BIN))
         done = done.unionByName(packed.where(F.col("room") <= SLACK))
         rest = packed.where(F.col("room") > SLACK)
-    bins = done.unionByName(rest).select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("items").alias("item"))
+    bins = done.unionByName(rest).withColumn("sequence_id", F.monotonically_increasing_id())
+    bins = bins.select("sequence_id", F.explode("items").alias("item"))  # apart, or each item would draw a number
     return bins.select("item.doc_id", "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", "item.offset")
