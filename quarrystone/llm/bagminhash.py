@@ -48,7 +48,7 @@ COMPANIONS = 4
 #: Rounds of new buckets; each takes the pivots out, and a few are enough unless texts are built to need more.
 MAX_ROUNDS = 40
 #: Documents are signed in batches of about so many shingles.
-BATCH_SHINGLES = 400_000
+BATCH_SHINGLES = 200_000
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -57,7 +57,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value
         return value
@@ -207,13 +207,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = written(docs.groupBy("doc_id").agg(F.min("text").alias("text")))
-    worded = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", "")) > 0
+    worded = F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
     named = written(docs.select("doc_id", F.when(worded, F.unhex(F.md5("text"))).alias("copy")))
     first = named.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     several = written(first.where("n > 1").select("copy", "id"))  # equal texts share the smallest doc_id
     ids = joined(named, several, ["copy"], "left", several.count()).select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     ids = written(ids)
-    texts = written(docs.where(worded).join(ids.where("doc_id = id").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"))
+    copies = written(ids.where("doc_id <> id").select("doc_id"))
+    texts = written(joined(docs.where(worded), copies, ["doc_id"], "left_anti", copies.count()).select(F.col("doc_id").alias("id"), "text"))
     parts = written(components(links(texts, threshold)))
     return joined(ids, parts, ["id"], "left", parts.count()).select("doc_id", F.coalesce("component", "id").alias("class_id"))
 
