@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import analyze as A
 from ..operators import checks as C
 from ..operators import graph as G
+from ..operators import ingest as I
 from ..operators import learn as L
 from ..operators import pack as P
 from ..operators import store as S
@@ -268,11 +269,17 @@ def _leak_inputs(spark, folder):
     return rows, "s_suppkey", "ref", entities
 
 
+def report_suffix_match(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    reports = docs.select(F.concat(F.lit("./"), "source", F.lit("/d"), (F.col("doc_id") % 300).cast("string"), F.lit(".json")).alias("source_path"))
+    return I.matching_reports(reports, docs.select(F.concat(F.lit("d"), "doc_id", F.lit(".json")).alias("path")))
+
+
 QUERIES = {f.__name__: f for f in (
     paragraph_units, heading_units, secret_scan_first_rule, pii_minimise_email_card, pii_minimise_all, injection_flags, redact_preview, candidate_dedup_hash, content_dedup_first,
     leaf_flatten_props, rule_findings, severity_fold, corpus_summary, admission_mapping, risk_index_listagg, node_side_effects, edges_flatten, pack_budget_sizes, pack_trim_choice,
     weaker_evidence_dropped, authority_ranked_pack, idempotent_append, immutable_drift, promotion_verdicts, orphan_refs, cross_scope_leak, secret_reference, tool_policy_audit,
-    gate_first_failure, parity_two_sided_diff, stratified_sample, eligibility_funnel, transcript_windows_90s, run_journal_latest, source_versions, stored_item_violations, doctor_report,
+    gate_first_failure, parity_two_sided_diff, stratified_sample, eligibility_funnel, transcript_windows_90s, run_journal_latest, source_versions, stored_item_violations, doctor_report, report_suffix_match,
 )}
 
 
@@ -359,6 +366,8 @@ select conv_id, win::int as window, min(start)::bigint as start_ms, max(b)::bigi
     "stored_item_violations": """with c as (select unnest([case when doc_id % 7 = 0 then 'sha256_format' end, case when doc_id % 2 <> 0 then 'commit_format' end, case when doc_id % 9 = 0 then 'severity_known' end,
   case when doc_id % 4 = 0 then 'role_scope_pair' end, case when doc_id % 5 = 0 then 'no_implementation' end, case when doc_id % 8 = 0 then 'node_count' end]) as code from documents)
 select code, count(*) as n from c where code is not null group by code""",
+    "report_suffix_match": """with r as (select './' || source || '/d' || (doc_id % 300) || '.json' as source_path from documents), w as (select distinct 'd' || doc_id || '.json' as path from documents)
+select path, count(source_path) as n_matches, case when count(source_path) = 1 then min(source_path) end as source_path from w left join r on ends_with(source_path, '/' || path) group by path""",
     "doctor_report": """select 'cross_scope' as "check", case when count(*) > 0 then 'FAIL' else 'OK' end as status, count(*) as n from supplier left join nation on n_nationkey = s_nationkey where n_nationkey is null or n_regionkey <> s_suppkey % 5
 union all select 'parity', case when count(*) > 0 then 'WARN' else 'OK' end, count(*) from (
   select value from (select distinct event_type as value from events) where value not in ('click', 'view', 'refund', 'signup') union all select value from (select unnest(['click', 'view', 'refund', 'signup']) as value) where value not in (select event_type from events))
