@@ -17,17 +17,15 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import word_splitter, written
 
 CAPACITY = 2048
 #: A task packs at most so many items at a time; more are packed in turns.
@@ -38,10 +36,6 @@ FAN_IN = 8
 SLACK = 8
 #: What the special token of the vocabulary looks like in a text; the tokenizer gives it its own id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Texts without these characters split alike under re's faster classes and under the pattern's Unicode classes.
-_UNUSUAL = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ]")
-_FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
-
 
 class Encoder(dict):
     """Byte-level BPE: word -> its ids as little-endian unsigned 32-bit numbers; forgets everything when it is large."""
@@ -54,7 +48,7 @@ class Encoder(dict):
         super().__init__()
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._exact = regex.compile(pattern)
+        self._split = word_splitter(pattern)
         self._pattern = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
@@ -67,8 +61,7 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
             return np.array([SPECIAL_ID], "<u4").tobytes().join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
-        find = self._exact.findall if _UNUSUAL.search(text) else _FAST.findall
-        return b"".join(map(self.__getitem__, find(text)))
+        return b"".join(map(self.__getitem__, self._split(text)))
 
 
 @functools.cache
