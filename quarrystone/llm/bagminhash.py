@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, joined, mix, seed_of, written
+from .common import SEED, joined, mix, release, seed_of, written
 from .components import components
 
 SHINGLE = 5
@@ -138,6 +138,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids, bags, n = [], [], 0
         if ids:
             yield done(ids, bags)
+        del batch, ids, bags
+        release()
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -198,6 +200,8 @@ def _verified(threshold: float):
                 needed = max(1, int(np.ceil(threshold * len(found) - covered.sum() - 1e-9)))
                 out.append((p, i, int(covered.sum()), len(found), linked, beyond[: max(0, len(beyond) - needed + 1)].astype(np.int64)))
             yield pd.DataFrame(out, columns=["p", "id", "covered", "size", "linked", "beyond"])
+            del batch, out
+            release()
 
     return verify
 

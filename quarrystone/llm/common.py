@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +80,10 @@ def word_splitter(pattern: str) -> Callable[[str], list[str]]:
     if pattern != _KNOWN_PATTERN:
         return exact.findall
     return lambda text: (exact.findall if _UNUSUAL.search(text) else _FAST.findall)(text)
+
+
+def release() -> None:
+    """Gives a worker's free memory back, so that workers which wait for other stages stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has this library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

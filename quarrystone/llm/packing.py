@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_splitter, written
+from .common import release, word_splitter, written
 
 CAPACITY = 2048
 #: A task packs at most so many items at a time; more are packed in turns.
@@ -40,7 +40,7 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 class Encoder(dict):
     """Byte-level BPE: word -> its ids as little-endian unsigned 32-bit numbers; forgets everything when it is large."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, rank_file: str, pattern: str) -> None:
         import tiktoken
@@ -142,6 +142,7 @@ def _first_round(rank_file: str, pattern: str, capacity: int):
                 if len(held) >= TASK_ITEMS:
                     yield task, held
                     held = []
+                release()
             yield task, held
 
         yield from _binned(filled(), capacity)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Hashed word features; the shape features follow them.
 N_WORD = 1 << 18
 SHAPES = ("symbols", "capitals", "repeats", "pipes", "bangs")
@@ -35,7 +37,7 @@ _EDGE = re.compile(r"^\W+|\W+$")
 class _Words(dict):
     """Word -> feature | shape bits << 20 | (feature of its stem + 1) << 32; forgets everything when it is large."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         core = _EDGE.sub("", word).lower()
@@ -163,6 +165,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -
         words = _Words()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "grade": batch.grade, "found": [features(t, words).astype("<i4").tobytes() for t in batch.text]})
+            release()
 
     got = rated.mapInPandas(rows, "doc_id long, grade int, found binary").toPandas().sort_values(["doc_id", "found"], kind="stable")
     got = got.drop_duplicates("doc_id")
@@ -172,18 +175,20 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of docs with expected_grade and tail_probability, P(highest grade), added (or replaced)."""
     docs = docs.drop("expected_grade", "tail_probability")
-    schema = docs.withColumn("expected_grade", F.lit(0.0)).withColumn("tail_probability", F.lit(0.0)).schema
-    weights, thetas = model.weights.astype(np.float32), model.thetas
-    sent = docs.sparkSession.sparkContext.broadcast((weights, thetas))
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thetas))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, (w, cuts) = _Words(), sent.value
-        for batch in batches:
-            raw = np.array([float(w[features(t, words)].sum(dtype=np.float64)) for t in batch["text"]], dtype=np.float64)
+        for texts in batches:
+            raw = np.array([float(w[features(t, words)].sum(dtype=np.float64)) for t in texts], dtype=np.float64)
             tails = OrdinalModel(w, cuts).tails(raw)
-            yield batch.assign(expected_grade=tails.sum(axis=1), tail_probability=tails[:, -1])
+            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": tails[:, -1]})
+            del texts
+            release()
 
-    return docs.mapInPandas(scored, schema)
+    # Only texts go to Python and only two numbers come back; not deterministic, so that no plan asks twice.
+    score_of = F.pandas_udf(scored, "expected_grade double, tail_probability double").asNondeterministic()
+    return docs.withColumn("_score", score_of("text")).select(*docs.columns, "_score.expected_grade", "_score.tail_probability")
 
 
 def classify(docs: DataFrame, ratings: DataFrame, min_tail: float = 0.5) -> DataFrame:
