@@ -116,20 +116,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, min_df: int = 5, min_z: floa
     weights = np.zeros(N_FEATURES)
     if n_cut < 1:
         return OrdinalModel(weights, np.zeros(max(n_cut, 1)))
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    df = np.bincount(flat, minlength=N_FEATURES)
     share = np.bincount(grades, minlength=n_cut + 1).astype(float)
     row_weight = (1 / np.maximum(share, 1) ** balance)[grades]
     row_weight /= row_weight.sum()
     above = np.clip(np.array([row_weight[grades > k].sum() for k in range(n_cut)]), 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(np.log(1 / above - 1)) + 1e-3 * np.arange(n_cut)
-    by_row = np.repeat(objective(np.zeros(len(grades)), grades, start, row_weight)[1], lengths)
-    test = np.abs(np.bincount(flat, weights=by_row, minlength=N_FEATURES)) / np.sqrt(np.bincount(flat, weights=by_row**2, minlength=N_FEATURES) + 1e-300)
-    frequent = (df >= min_df) & (test >= min_z)
-    keep = frequent[flat]
-    owner = np.repeat(np.arange(len(rows)), lengths)[keep]
-    flat, lengths = flat[keep], np.bincount(owner, minlength=len(rows))
+    at_zero = objective(np.zeros(len(grades)), grades, start, row_weight)[1]
+    df, pull, spread = (np.zeros(N_FEATURES) for _ in range(3))
+    for at in range(0, len(rows), 1000):  # in parts: all features of all rows at once would be the driver's largest array
+        part = rows[at : at + 1000]
+        found, by_row = np.concatenate(part), np.repeat(at_zero[at : at + 1000], [len(r) for r in part])
+        df += np.bincount(found, minlength=N_FEATURES)
+        pull += np.bincount(found, weights=by_row, minlength=N_FEATURES)
+        spread += np.bincount(found, weights=by_row**2, minlength=N_FEATURES)
+    frequent = (df >= min_df) & (np.abs(pull) / np.sqrt(spread + 1e-300) >= min_z)
+    rows = [r[frequent[r]] for r in rows]
+    lengths = np.array([len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), lengths)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     parameters = np.concatenate([weights, [start[0]], np.log(np.diff(start) + 1e-2)])
     m, v = np.zeros_like(parameters), np.zeros_like(parameters)
@@ -169,7 +173,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -
 
     got = rated.mapInPandas(rows, "doc_id long, grade int, found binary").toPandas().sort_values(["doc_id", "found"], kind="stable")
     got = got.drop_duplicates("doc_id")
-    return fit([np.frombuffer(x, "<i4").astype(np.int64) for x in got.found], got.grade.to_numpy(np.int64))
+    return fit([np.frombuffer(x, "<i4") for x in got.found], got.grade.to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
