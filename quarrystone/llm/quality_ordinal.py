@@ -30,7 +30,7 @@ SHAPES = ("symbols", "capitals", "repeats", "pipes", "bangs")
 LEVELS = 9
 N_FEATURES = N_WORD + len(SHAPES) * LEVELS
 #: The model is fitted on at most so many rated documents, those whose ids hash lowest.
-MAX_TRAIN_ROWS = 16_000
+MAX_TRAIN_ROWS = 12_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -173,7 +173,10 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -
 
     got = rated.mapInPandas(rows, "doc_id long, grade int, found binary").toPandas().sort_values(["doc_id", "found"], kind="stable")
     got = got.drop_duplicates("doc_id")
-    return fit([np.frombuffer(x, "<i4") for x in got.found], got.grade.to_numpy(np.int64))
+    model = fit([np.frombuffer(x, "<i4") for x in got.found], got.grade.to_numpy(np.int64))
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
