@@ -26,6 +26,8 @@ _KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 #: Texts without these characters split alike under re's classes and under the pattern's Unicode classes.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ]")
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: Rows in an Arrow batch while a table is written.
+BATCH_ROWS = 1000
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,10 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: lineage ends here and a lost executor costs no recomputation.
+
+    While it is written, batches of rows for Python are small, so that workers stay small.
+    """
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def joined(left: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
