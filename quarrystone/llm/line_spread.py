@@ -3,10 +3,11 @@
 Each line has a HyperLogLog sketch of the sites (sources) it stands on; sketches
 are merged by aggregation. Lines whose estimate is near the threshold, within
 three standard errors, get an exact distinct count. Lines on min_sites sites or
-more are boilerplate and leave the documents that have other text. A document of
-which boilerplate is more than half of the characters is a copy rather than a page with
-boilerplate: it stays as it is, for document-level dedup to judge, so the last
-copy of a text is never lost.
+more are boilerplate and leave every document that has other lines, whatever their
+share of it. A document without any other line stays as it is. Where boilerplate is more
+than max_share of the characters, it may be a copied text rather than a page's
+furniture: a line of such documents that no document without other lines holds stays
+in the first of them by id and leaves all the others, so the last copy of a text is never lost.
 
 Lines are split at \\n and compared without spaces and tabs at their ends; a line
 counts only with min_words words or more, since shorter ones recur by chance.
@@ -35,10 +36,11 @@ def _line_key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, text_key, pos, chars, line, site) of the lines that count: one pass over the texts."""
+    """(id, text_key, size, pos, chars, line, short, site) of the lines that are not blank; size is the text's length, short lines have fewer words: one pass over the texts."""
     counts = f"^[ \\t\\x0B\\f\\r]*+(?:[^ \\t\\x0B\\f\\r]++[ \\t\\x0B\\f\\r]++){{{min_words - 1}}}[^ \\t\\x0B\\f\\r]"
-    rows = docs.where("text is not null").select(_id(), F.xxhash64("text").alias("_text"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(counts)).select("_id", "_text", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line"), "site")
+    rows = docs.where("text is not null").select(_id(), F.xxhash64("text").alias("_text"), F.length("text").alias("size"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    filled = rows.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
+    return filled.select("_id", "_text", "size", "pos", F.length("line").alias("chars"), _line_key(F.col("line")).alias("line"), (~F.col("line").rlike(counts)).alias("short"), "site")
 
 
 def _id() -> Column:
@@ -47,6 +49,7 @@ def _id() -> Column:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The keys of the lines that stand on min_sites distinct sites or more."""
+    lines = lines.where("not short")
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites * (1 - BAND) - 0.5))
     near = spread.where(F.col("sites") <= min_sites * (1 + BAND) + 0.5).select("line")
@@ -54,17 +57,28 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return written(spread.join(near, "line", "left_anti").unionByName(exact).where(F.col("sites") >= min_sites).select("line"))
 
 
+def last_copies(pages: DataFrame) -> DataFrame:
+    """(id, text_key, kept): the lines that a page keeps, as it is the first of those made mostly of boilerplate and no whole page holds them."""
+    stands = pages.where("whole or copied").select("_id", "_text", "whole", F.explode("cut.line").alias("line"))
+    first = stands.groupBy("line").agg(F.min(F.struct(~F.col("whole"), "_id", "_text", "whole")).alias("at"))
+    return first.where("not at.whole").groupBy("at._id", "at._text").agg(F.collect_set("line").alias("kept"))
+
+
 def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
     """docs with boilerplate lines taken out of text; n_lines_removed is added (or replaced)."""
     docs = docs.drop("n_lines_removed")
     lines = written(lines_of(docs, min_words))
     marks = boilerplate(lines, min_sites)
-    hit = joined(lines, marks, ["line"], "left_semi", marks.count())
+    seen = joined(lines, marks.withColumn("marked", F.lit(True)), ["line"], "left", marks.count()).withColumn("marked", F.coalesce("marked", F.lit(False)))
     # A key for each row's text: no group of copies meets in one task, repeated rows share one set of positions.
-    cut = written(hit.groupBy("_id", "_text").agg(F.collect_set(F.struct("pos", "chars")).alias("cut")))
-    both = docs.withColumns({"_id": _id(), "_text": F.xxhash64("text")}).join(cut, ["_id", "_text"], "left")
+    places = F.collect_set(F.when(F.col("marked"), F.struct("pos", "chars", "line"))).alias("cut")
+    pages = seen.groupBy("_id", "_text").agg(places, F.min("size").alias("size"), F.bool_and("marked").alias("whole")).where(F.size("cut") > 0)
     n_cut = F.aggregate("cut", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
-    goes = F.col("cut").isNotNull() & (n_cut <= max_share * F.length("text"))
+    pages = written(pages.select("_id", "_text", "cut", "whole", (n_cut > max_share * F.col("size")).alias("copied")))
+    leave = F.filter("cut", lambda x: ~F.coalesce(F.array_contains("kept", x["line"]), F.lit(False)))
+    cut = pages.where("not whole").join(last_copies(pages), ["_id", "_text"], "left").select("_id", "_text", leave.alias("cut")).where(F.size("cut") > 0)
+    both = docs.withColumns({"_id": _id(), "_text": F.xxhash64("text")}).join(cut, ["_id", "_text"], "left")
+    goes = F.col("cut").isNotNull()
     places = F.transform("cut", lambda x: x["pos"])
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(places, k)), "\n")
     return both.select(

@@ -139,6 +139,23 @@ def test_line_spread(spark):
     assert marks == sum(len(s) >= 5 for s in spread.values())
 
 
+def test_line_spread_cleans_pages_of_any_share(spark):
+    licence = "this long licence text is shared by the pages of every site and is most of each page"
+    story = [f"sentence number {k} of a story that many sites carry" for k in range(20)]
+    poem = [f"verse number {k} of a poem that stands alone on its pages" for k in range(3)]
+    rows = [(i, f"title {i}\n{licence}", f"a{i}") for i in range(8)]
+    rows += [(20 + i, "\n".join([f"header of site {i}", *story[: 20 - (i == 0)]]), f"b{i}") for i in range(7)]
+    rows += [(40 + i, "\n".join(poem), f"c{i}") for i in range(6)]
+    rows += [(60, "\n".join(["a page about the poem", *poem]), "d")]
+    got = line_spread.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
+    text, removed = got.text.to_dict(), got.n_lines_removed.to_dict()
+    assert text[0] == rows[0][1] and removed[0] == 0  # the licence's last copy
+    assert all(text[i] == f"title {i}" and removed[i] == 1 for i in range(1, 8))
+    assert text[20] == rows[8][1] and text[21] == f"header of site 1\n{story[19]}" and removed[21] == 19  # each line of the story once
+    assert all(text[20 + i] == f"header of site {i}" and removed[20 + i] == 20 for i in range(2, 7))
+    assert all(text[40 + i] == "\n".join(poem) for i in range(6)) and text[60] == "a page about the poem"  # nothing else would be left of a poem's page
+
+
 def test_ego_join_is_exact(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16))
