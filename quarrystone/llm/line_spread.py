@@ -9,8 +9,9 @@ than max_share of the characters, it may be a copied text rather than a page's
 furniture: a line of such documents that no document without other lines holds stays
 in the first of them by id and leaves all the others, so the last copy of a text is never lost.
 
-Lines are split at \\n and compared without spaces and tabs at their ends; a line
-counts only with min_words words or more, since shorter ones recur by chance.
+Lines are split at \\n and compared without spaces and tabs at their ends; every
+line that is not blank counts. Shorter lines recur by chance: with fewer than min_words
+words they are boilerplate from SHORT_FACTOR times as many sites on.
 Defined results: a null text stays null; a null source is a site of its own, named
 ''; repeated rows count once, as sites are counted; empty tables give no rows.
 """
@@ -24,6 +25,7 @@ from .common import joined, written
 
 MIN_SITES = 5
 MIN_WORDS = 5
+SHORT_FACTOR = 2
 MAX_SHARE = 0.5
 LG_K = 12
 #: Three times the relative standard error of a sketch of 2**LG_K registers.
@@ -48,13 +50,13 @@ def _id() -> Column:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The keys of the lines that stand on min_sites distinct sites or more."""
-    lines = lines.where("not short")
-    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
-    spread = written(spread.where(F.col("sites") >= min_sites * (1 - BAND) - 0.5))
-    near = spread.where(F.col("sites") <= min_sites * (1 + BAND) + 0.5).select("line")
-    exact = joined(lines, near, ["line"], "left_semi", near.count()).groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    return written(spread.join(near, "line", "left_anti").unionByName(exact).where(F.col("sites") >= min_sites).select("line"))
+    """The keys of the lines that stand on min_sites distinct sites or more, short ones on SHORT_FACTOR times as many."""
+    sites, needed = F.col("sites"), F.when(F.col("short"), SHORT_FACTOR * min_sites).otherwise(min_sites)
+    spread = lines.groupBy("line", "short").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", "short", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = written(spread.where(sites >= needed * (1 - BAND) - 0.5))
+    near = spread.where(sites <= needed * (1 + BAND) + 0.5).select("line")
+    exact = joined(lines, near, ["line"], "left_semi", near.count()).groupBy("line", "short").agg(F.count_distinct("site").alias("sites"))
+    return written(spread.join(near, "line", "left_anti").unionByName(exact).where(sites >= needed).select("line"))
 
 
 def last_copies(pages: DataFrame) -> DataFrame:

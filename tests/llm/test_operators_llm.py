@@ -156,6 +156,16 @@ def test_line_spread_cleans_pages_of_any_share(spark):
     assert all(text[40 + i] == "\n".join(poem) for i in range(6)) and text[60] == "a page about the poem"  # nothing else would be left of a poem's page
 
 
+def test_line_spread_counts_short_lines(spark):
+    rows = [(i, f"own words of the page with number {i}\n  All rights reserved.\t\n\nA.\n}}", f"s{i % 12}") for i in range(24)]
+    rows = [(i, t if i % 12 < 9 else t.replace("\nA.", ""), s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert line_spread.boilerplate(line_spread.lines_of(docs, 5), 5).count() == 2
+    got = line_spread.deduplicated(docs).toPandas()
+    for i, text, n in zip(got.doc_id, got.text, got.n_lines_removed, strict=True):  # nine sites are too few for a short line, twelve are enough
+        assert text == f"own words of the page with number {i}\n" + ("\nA." if i % 12 < 9 else "") and n == 2
+
+
 def test_ego_join_is_exact(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16))
