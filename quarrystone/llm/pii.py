@@ -39,7 +39,7 @@ PROPOSALS = {
     "x_email": "[A-Za-z0-9._%+-]{1,64} ?(?:@|\\(at\\)|\\[at\\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\\.|\\(dot\\)|\\[dot\\]) ?[A-Za-z0-9-]{2,63}){1,6}",
     "x_iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])",
     "x_number": "(?<![0-9A-Za-z.])[(0-9](?:[ ()./-]?[0-9]){5,22}(?![0-9A-Za-z])",
-    "x_secret": "(?<![A-Za-z0-9+/_-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_-])",
+    "x_secret": "(?<![A-Za-z0-9+/_-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_-])",
 }
 KINDS = (*BASE, *PROPOSALS)
 N_EXAMPLES = 900

@@ -251,6 +251,14 @@ def test_pii_base_spans(spark):
         assert r.spans.startswith(joined)
 
 
+def test_pii_finds_secrets_of_any_length(spark):
+    long, late = hashlib.sha256(b"a").hexdigest() * 40, "q" * 40 + "ZxKvWpTb" * 4 + "7" + "mN4rT9" * 30
+    texts = [f"password={long} and more", f"api_key: {late}, then", f"secret: {long[:40]}=", "x" * 5000 + " no secret"]
+    got = pii.redacted(docs_of(spark, texts)).toPandas().sort_values("doc_id").text.tolist()
+    assert long not in got[0] and long[:100] not in got[0] and got[0].endswith(" and more")
+    assert late not in got[1] and got[1].endswith(", then") and long[:40] not in got[2] and got[3] == texts[3]
+
+
 def test_pii_redaction_and_trees(spark):
     docs = docs_of(spark, ["mail a.b@c.org now", 'token = "8a4e6e1f6463a8c2573135e353846cd2315d3e1e" end', "on 2024-01-02 order 12345678", None, ""])
     got = pii.redacted(docs).orderBy("doc_id").toPandas()
