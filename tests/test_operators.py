@@ -173,3 +173,10 @@ def test_streams(spark, tmp_path):
     query = twins.append_once(stream.select("k", "n"), str(tmp_path / "out"), ["k", "n"], [], str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_versions_number_every_row(spark):
+    rows = [(k * 37 % 101, f"s{k % 3}" if k % 5 else "hot") for k in range(100)]
+    got = graph.versions(spark.createDataFrame(rows, "doc_id long, source string"), "source", ["doc_id"]).collect()
+    want = {(s, d): 1 + sum(x < d for x, y in rows if y == s) for d, s in rows}
+    assert len(got) == len(rows) and {(r.source, r.doc_id): r.version for r in got} == want and max(want.values()) > 3
