@@ -30,8 +30,6 @@ ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 15
 #: For each language, so many landmark texts and so many texts that the ridge regression is fitted on.
 LANDMARKS, TRAIN_ROWS = 48, 800
-#: At most so many languages are told apart, those with the most rows.
-MAX_LANGUAGES = 200
 RIDGE = 1e-3
 UND = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -111,7 +109,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> KernelModel | None:
     """Fits on at most train_rows texts of each language, those whose ids hash lowest; held-out documents are left out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("turn"))
-    common = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    common = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     # Rows of a language above this turn are far too many to be among its first: a fixed bar, not a sample.
     width = [(r["lang"], -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, (3.0 * train_rows + 200) / r["count"])))) for r in common]
     if not width:

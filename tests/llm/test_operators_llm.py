@@ -217,6 +217,12 @@ def test_kernel_language(spark):
     assert set(nothing.lang_pred) == {"und"}
 
 
+def test_kernel_language_learns_every_language(spark):
+    docs = spark.createDataFrame([(i, f"text {chr(0x4E00 + i % 210) * 3} here", f"l{i % 210}") for i in range(420)], "doc_id long, text string, lang string")
+    seen = {f"l{i % 210}" for i in range(420) if zlib.crc32(str(i).encode()) % 5}
+    assert len(seen) > 200 and set(kernel_lang.train(docs).languages) == seen
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
