@@ -352,8 +352,7 @@ def near_copies(rng):
     return texts + texts[:5] + ["a b", "a b", "", None, " ", "one two three four"]
 
 
-def test_bagminhash_classes(spark):
-    texts = near_copies(np.random.default_rng(10))
+def classes_by_brute_force(texts):
     bags = []
     for t in texts:
         w = (t or "").split()
@@ -371,14 +370,70 @@ def test_bagminhash_classes(spark):
             if union and sum((bags[i] & bags[j]).values()) >= 0.8 * union - 1e-9:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    docs = docs_of(spark, texts).repartition(4)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_bagminhash_classes(spark):
+    texts = near_copies(np.random.default_rng(10))
+    want = classes_by_brute_force(texts)
+    docs = docs_of(spark, texts).repartition(4).withColumn("more", F.create_map(F.lit("k"), F.lit(1)))
     got = {r.doc_id: r.class_id for r in bagminhash.classes(docs).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+    assert got == want
     kept = bagminhash.deduplicated(docs.union(docs.where("doc_id = 3")))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs.columns
     assert bagminhash.classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_bagminhash_splits_large_groups_without_losing_links(spark, with_base):
+    """Copies of one text with 0 to 20 changed words, copies of copies, texts with repeated passages: groups far beyond the bound of one task."""
+    rng = np.random.default_rng(21)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    base = list(rng.choice(vocabulary, 120))
+    texts = [" ".join(base)] if with_base else []
+    for k in range(150):
+        copy = list(texts[int(rng.integers(len(texts)))].split() if k % 4 == 3 and texts else base)
+        for at in rng.integers(0, len(copy), int(rng.integers(0 if with_base else 2, 12))):
+            copy[at] = str(rng.choice(vocabulary))
+        if k % 10 == 0:
+            copy = copy[: int(rng.integers(90, 120))] + copy[:10] * int(rng.integers(1, 4))
+        texts.append(" ".join(copy))
+    want = classes_by_brute_force(texts)
+    assert 3 < len(set(want.values())) < len(texts)
+    before = bagminhash.GROUP, bagminhash.COHORT
+    try:
+        bagminhash.GROUP, bagminhash.COHORT = 12, 8
+        got = {r.doc_id: r.class_id for r in bagminhash.classes(docs_of(spark, texts).repartition(3)).collect()}
+        assert got == want
+    finally:
+        bagminhash.GROUP, bagminhash.COHORT = before
+
+
+def test_meeting_places_of_linked_texts_coincide():
+    """Whatever the reference: a link is found by the centre or in a prefix."""
+    rng = np.random.default_rng(22)
+    share = (1 - 0.8) / (1 + 0.8)
+    for _ in range(60):
+        universe = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+        common = rng.choice(universe, 150, replace=False)
+        bags = []
+        for _ in range(30):
+            own = common[rng.random(len(common)) > rng.uniform(0, 0.25)]
+            bags.append(np.unique(np.concatenate([own, rng.choice(universe, int(rng.integers(0, 40)))])))
+        known, held = np.unique(np.concatenate(bags[:7]), return_counts=True)
+        deltas = [bagminhash.differences(x, known, held, 7) for x in bags]
+        r = [len(d) - share * len(x) for x, d in zip(bags, deltas, strict=True)]
+        low, width = min(r), float(rng.uniform(1, 12))
+        places = [{(a, b, e) for a, b, n in bagminhash.prefixes(len(x), k, len(d), width, low, 0.8) for e in d[:n].tolist()} for x, k, d in zip(bags, r, deltas, strict=True)]
+        for i in range(30):
+            for j in range(i):
+                assert len(np.setxor1d(deltas[i], deltas[j])) == len(np.setxor1d(bags[i], bags[j]))
+                if bagminhash.overlap(bags[i], bags[j]) >= 0.8 and max(r[i], r[j]) > -low + 1e-9:
+                    assert places[i] & places[j]
+                if r[i] + r[j] <= 0:
+                    assert bagminhash.overlap(bags[i], bags[j]) >= 0.8
+
+
 def test_warc_resolution(spark):
     rows = [
         (1, "response", "http://WWW.a.com:80/x/?b=2&a=1&utm_source=q#f", 10, {"ETag": '"v1"', "Content-Type": "text/html", "Date": "10"}, "d1"),
