@@ -329,6 +329,24 @@ def test_bpe_round_trip(spark):
     assert bpe.digests(docs_of(spark, texts).limit(0), RANKS, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_with_empty_partitions_and_long_words(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(18)
+    long = ["".join(rng.choice(list("abcdeñé"), n)) for n in (1999, 2000, 2001, 6000, 60_000)] + ["ab" * 30_000, "z" * 5001, "words then " + "-" * 9000 + " more"]
+    docs = docs_of(spark, [*long, "short", None]).repartition(24)
+    got = bpe.digests(docs, RANKS, tokenizers.PATTERN).toPandas().sort_values("doc_id")
+    for t, r in zip([*long, "short", ""], got.itertuples(), strict=True):
+        ids = np.array(library.encode_ordinary(t), "<u4").tobytes()
+        assert r.ids_sha256 == hashlib.sha256(ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    for word in ("x", "the", " hello", "naïve" * 30, "".join(rng.choice(list("abc'é "), 500))):
+        assert bpe.merged_by_heap(word.encode(), ranks) == library._encode_single_piece(word.encode())
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(9)
     items = bagminhash.mix(np.arange(80, dtype=np.uint64) + np.uint64(5))
