@@ -96,6 +96,15 @@ def word_splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: (exact.findall if _UNUSUAL.search(text) else _FAST.findall)(text)
 
 
+def cut_at_spaces(pattern: str) -> bool:
+    """Whether a text may be cut before each space that no white space follows, as its parts split alike alone.
+
+    So it is for the known pattern: a match never goes on over such a space, as words take one space before them
+    only, and of several white-space characters before a word the last one is left to it.
+    """
+    return pattern == _KNOWN_PATTERN
+
+
 def release() -> None:
     """Gives a worker's free memory back, so that workers which wait for other stages stay small."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, word_splitter, written
+from .common import cut_at_spaces, release, word_splitter, written
 
 CAPACITY = 2048
 #: A task packs at most so many items at a time; more are packed in turns.
@@ -38,7 +38,7 @@ SLACK = 8
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 class Encoder(dict):
-    """Byte-level BPE: word -> its ids as little-endian unsigned 32-bit numbers; forgets everything when it is large."""
+    """Byte-level BPE: part of a text after a space -> its ids as little-endian unsigned 32-bit numbers; forgets everything when it is large."""
 
     LIMIT = 200_000
 
@@ -48,20 +48,30 @@ class Encoder(dict):
         super().__init__()
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._split = word_splitter(pattern)
+        self._split, self._cut = word_splitter(pattern), cut_at_spaces(pattern)
         self._pattern = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self._pattern.encode_ordinary(word), dtype="<u4").tobytes()
+    def _coded(self, text: str) -> bytes:
+        return np.array([i for word in self._split(text) for i in self._pattern.encode_ordinary(word)], dtype="<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes | None:
+        if not part or part[0].isspace():
+            return None  # it must not be split alone
+        got = self._coded(" " + part)
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = got
+        self[part] = got
         return got
 
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
             return np.array([SPECIAL_ID], "<u4").tobytes().join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
-        return b"".join(map(self.__getitem__, self._split(text)))
+        if self._cut:
+            first, *others = text.split(" ")
+            got = list(map(self.__getitem__, others))
+            if None not in got:
+                return self._coded(first) + b"".join(got)
+        return self._coded(text)
 
 
 @functools.cache
