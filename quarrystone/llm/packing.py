@@ -3,7 +3,8 @@
 Hierarchical residual packing: each task packs its own pieces best-fit, longest
 first; bins that are full enough are done; the others travel up a tree, where
 groups of tasks' bins are items of the next best-fit round, until one group is
-left. Only (document, piece, length, crc) travels, never tokens, and a task holds a
+left. Before each round those bins are done that no other bin fits into, and those that
+more bins than could ever fill them are as roomy as. Only (document, piece, length, crc) travels, never tokens, and a task holds a
 bounded number of items at a time.
 
 Defined results: a null text is an empty text; every document has at least the
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_at_spaces, release, word_splitter, written
@@ -178,6 +179,33 @@ def _next_round(capacity: int):
     return pack
 
 
+def _open_bins(rest: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(bins that are done, bins that may still take or become an item).
+
+    One of two bins that go together is half full at most. So of the fuller ones only as many can be of use as
+    there are bins that are half full at most, and the roomiest of them serve as well as any others.
+    """
+    n = {r["room"]: r["n"] for r in rest.groupBy("room").agg(F.count("*").alias("n")).collect()}  # a row for each number of free places
+    small = {room: k for room, k in n.items() if 2 * (capacity - room) <= capacity}
+    if not small:
+        return rest, rest.limit(0)
+    least, needed, bar, taken = capacity - max(small), sum(small.values()), min(small), 0
+    for room in sorted(set(n) - set(small), reverse=True):
+        if taken >= needed or room < least:
+            break
+        bar, taken = room, taken + n[room]
+    spare = taken - needed
+    if spare <= 0:
+        return rest.where(F.col("room") < bar), rest.where(F.col("room") >= bar)
+    # Of the bins with bar free places only some are needed: as many from each group.
+    level = rest.where(F.col("room") == bar)
+    counts = [r["n"] for r in level.groupBy("bin_group").agg(F.count("*").alias("n")).collect()]  # a row for each task of the round before
+    share = bisect.bisect_left(range(max(counts) + 1), n[bar] - spare, key=lambda k: sum(min(c, k) for c in counts))
+    first = F.row_number().over(Window.partitionBy("bin_group").orderBy(F.col("items")[0]["doc_id"], F.col("items")[0]["piece"]))
+    level = level.withColumn("nth", first)
+    return rest.where(F.col("room") < bar).unionByName(level.where(F.col("nth") > share).drop("nth")), rest.where(F.col("room") > bar).unionByName(level.where(F.col("nth") <= share).drop("nth"))
+
+
 def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -188,7 +216,9 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY
     groups = (bins.agg(F.max("bin_group")).first()[0] or 0) + 1
     while groups > 1:
         groups = -(-groups // FAN_IN)
-        # The group, not a hash of it, is the key: neighbours meet, and each task's share is bounded by FAN_IN of them.
+        ended, rest = _open_bins(rest, capacity)
+        done = done.unionByName(ended)
+        # Groups are dealt by their hash, so some tasks may pack two of them together and some none.
         rest = rest.withColumn("bin_group", F.floor(F.col("bin_group") / FAN_IN)).repartition(groups, "bin_group")
         packed = written(rest.mapInPandas(_next_round(capacity), _BIN))
         done = done.unionByName(packed.where(F.col("room") <= SLACK))
