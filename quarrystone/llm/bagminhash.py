@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, joined, mix, release, seed_of, written
+from .common import SEED, as_rows, fields, joined, mix, release, seed_of, written
 from .components import components, forest
 
 SHINGLE = 5
@@ -428,9 +428,9 @@ def _related(members: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id stands for its class; rows without a doc_id stay, and of rows with equal doc_id and text one stays."""
-    kept = written(classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")))
+    kept = written(classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("key")))
     n_kept = kept.count()
-    named = joined(docs.withColumn("_kept", F.col("doc_id").cast("long")), kept, ["_kept"], "left_semi", n_kept).drop("_kept")
+    named = joined(as_rows(docs, key=F.col("doc_id").cast("long")), kept, ["key"], "left_semi", n_kept).select(*fields(docs))
     if n_kept != named.count():
         named = named.dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))

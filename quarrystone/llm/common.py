@@ -16,7 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most so many rows of a few dozen bytes is broadcast; beyond it the join shuffles.
@@ -24,7 +24,7 @@ BROADCAST_ROWS = 400_000
 # Fixed value: the pattern for which the faster classes of word_splitter hold.
 _KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts without these characters split alike under re's classes and under the pattern's Unicode classes.
-_UNUSUAL = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ]")
+UNUSUAL = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ]")
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 #: Rows in an Arrow batch while a table is written.
 BATCH_ROWS = 1000
@@ -32,8 +32,10 @@ SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir; where that is unset and all tasks run on this machine, as in tests, a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="quarrystone-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -57,6 +59,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one column, row, beside columns of the operator's own, so that no name of the caller's meets one of these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def fields(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """The caller's columns, taken out of row, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def joined(left: DataFrame, small: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
     """left joined with small, which is broadcast if its counted rows allow; else both shuffle and skew is split at run time."""
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
@@ -93,7 +105,7 @@ def word_splitter(pattern: str) -> Callable[[str], list[str]]:
     exact = regex.compile(pattern)
     if pattern != _KNOWN_PATTERN:
         return exact.findall
-    return lambda text: (exact.findall if _UNUSUAL.search(text) else _FAST.findall)(text)
+    return lambda text: (exact.findall if UNUSUAL.search(text) else _FAST.findall)(text)
 
 
 def cut_at_spaces(pattern: str) -> bool:

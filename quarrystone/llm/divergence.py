@@ -32,7 +32,7 @@ COMMON_WORDS = {
 N_COMMON = 10
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.3
 MIN_COMPARED_WORDS, MAX_WORD_DISTANCE = 100, 0.27
-#: Places of a window's number in its packed form; longer texts take the unpacked form.
+#: Places of a window's number in its packed form; longer texts are sorted by words.
 _BITS = 24
 
 
@@ -45,7 +45,8 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more.
 
     Windows are sorted as hash and number in one long; neighbours with equal hashes
-    count only if their words are equal.
+    count only if their words are equal. Where different windows meet in a hash, and in
+    texts too long for the numbers, they are sorted by their words.
     """
     mask = (1 << _BITS) - 1
 
@@ -61,23 +62,25 @@ def repeated_words(words: Column) -> Column:
     numbers = F.sequence(F.lit(0), F.size(words) - 3)
 
     def packed(s: Column) -> Column:
-        def again(x: Column, k: Column, step: int) -> Column:
+        def again(x: Column, k: Column, step: int, same: bool = True) -> Column:
             y = F.get(s, k + step)
-            return F.coalesce((F.shiftright(x, _BITS) == F.shiftright(y, _BITS)) & equal(x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")), F.lit(False))
+            words_equal = equal(x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int"))
+            return F.coalesce((F.shiftright(x, _BITS) == F.shiftright(y, _BITS)) & (words_equal if same else ~words_equal), F.lit(False))
 
+        met = F.size(F.filter(s, lambda x, k: again(x, k, 1, same=False))) > 0  # different windows with one hash
         found = F.filter(s, lambda x, k: again(x, k, 1) | again(x, k, -1))
-        return let(F.array_sort(F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))), covered)
+        return F.when(met, exact).otherwise(let(F.array_sort(F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))), covered))
 
-    def wide(s: Column) -> Column:
+    def sorted_by_words(s: Column) -> Column:
         def again(x: Column, k: Column, step: int) -> Column:
             y = F.get(s, k + step)
-            return F.coalesce((x["h"] == y["h"]) & equal(x["i"], y["i"]), F.lit(False))
+            return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
         return let(F.array_sort(F.transform(F.filter(s, lambda x, k: again(x, k, 1) | again(x, k, -1)), lambda x: x["i"])), covered)
 
+    exact = let(F.array_sort(F.transform(numbers, lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i")))), sorted_by_words)
     short = let(F.sort_array(F.transform(numbers, lambda i: F.shiftleft(window(i), _BITS).bitwiseOR(i.cast("long")))), packed)
-    long = let(F.array_sort(F.transform(numbers, lambda i: F.struct(window(i).alias("h"), i.alias("i")))), wide)
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).when(F.size(words) < 1 << _BITS, short).otherwise(long)
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).when(F.size(words) < 1 << _BITS, short).otherwise(exact)
 
 
 def _gone(text: Column, pattern: str) -> Column:

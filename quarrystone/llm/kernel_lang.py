@@ -7,7 +7,8 @@ in it; a batch of whole texts is scored by two matrix products, presence by
 landmark and kernel by weights.
 
 Texts are lower-cased and everything but letters counts as one space. N-grams of two
-characters and more are hashed into a fixed number of places.
+characters and more are hashed into a fixed number of places; a very long text fills
+most of them, as presence of a whole text does.
 
 Defined results: a text that is null or has no letter is `und` with score 0; rows
 without a language, or with a null text, teach nothing; when nothing can be learned
@@ -23,9 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import UNUSUAL
+
 ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 15
 #: For each language, so many landmark texts and so many texts that the ridge regression is fitted on.
@@ -33,6 +37,8 @@ LANDMARKS, TRAIN_ROWS = 48, 800
 RIDGE = 1e-3
 UND = "und"
 _OTHER = re.compile(r"[\W\d_]+")
+#: The same by Unicode's classes, for texts with characters on which the two differ, such as fractions and circled digits.
+_NO_LETTER = regex.compile(r"\P{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,7 +48,8 @@ def held_out(doc_id: Column) -> Column:
 
 def presence(text: str | None) -> np.ndarray:
     """Sorted distinct places of a whole text's n-grams; empty if it has no letter."""
-    plain = _OTHER.sub(" ", text.lower()).strip(" ") if text else ""
+    low = text.lower() if text else ""
+    plain = (_NO_LETTER if UNUSUAL.search(low) else _OTHER).sub(" ", low).strip(" ")
     if not plain:
         return np.zeros(0, np.int64)
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, written
+from .common import as_rows, fields, joined, written
+from .native import let
 
 MIN_SITES = 5
 MIN_WORDS = 5
@@ -79,11 +80,11 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
     pages = written(pages.select("_id", "_text", "cut", "whole", (n_cut > max_share * F.col("size")).alias("copied")))
     leave = F.filter("cut", lambda x: ~F.coalesce(F.array_contains("kept", x["line"]), F.lit(False)))
     cut = pages.where("not whole").join(last_copies(pages), ["_id", "_text"], "left").select("_id", "_text", leave.alias("cut")).where(F.size("cut") > 0)
-    both = docs.withColumns({"_id": _id(), "_text": F.xxhash64("text")}).join(cut, ["_id", "_text"], "left")
+    both = as_rows(docs, _id=_id(), _text=F.xxhash64("text"), text=F.col("text")).join(cut, ["_id", "_text"], "left")
     goes = F.col("cut").isNotNull()
-    places = F.transform("cut", lambda x: x["pos"])
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains(places, k)), "\n")
-    return both.select(
-        *[F.when(goes, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(goes, F.size("cut")).otherwise(0).alias("n_lines_removed"),
-    )
+
+    def stay(lines: Column) -> Column:  # array_except hashes its second side, so many lines cost no more than their number
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("cut", lambda x: x["pos"])), lambda k: F.get(lines, k))
+
+    rest = F.array_join(let(F.split("text", "\n", -1), stay), "\n")
+    return both.select(*fields(docs, text=F.when(goes, rest).otherwise(F.col("text"))), F.when(goes, F.size("cut")).otherwise(0).alias("n_lines_removed"))

@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import as_rows, fields
 from .native import let, prefix_sums
 
 #: The base patterns, each equal to its plain form but without its repeated attempts inside a run.
@@ -34,7 +35,7 @@ BASE = {
     "card": "[0-9](?:[ -]?[0-9])++",
     "phone": "\\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Generators: high recall, low precision; each kind's trees decide.
+#: Generators: high recall, low precision; each kind's trees decide. Lengths are those of the formats (RFC 5321 for mail); secrets have none.
 PROPOSALS = {
     "x_email": "[A-Za-z0-9._%+-]{1,64} ?(?:@|\\(at\\)|\\[at\\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\\.|\\(dot\\)|\\[dot\\]) ?[A-Za-z0-9-]{2,63}){1,6}",
     "x_iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])",
@@ -255,13 +256,19 @@ def _on(expression: str) -> str:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with base (array of base spans) and added (array of the method's spans that no base span covers)."""
+    """docs with base (array of base spans) and added (array of the method's spans that no base span covers) added (or replaced)."""
+    docs = docs.drop("base", "added")
+    return _with_spans(docs).select(*fields(docs), "base", "added")
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """docs as row, with text, base and added."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"base": base_spans(text), "_found": F.when(text.rlike("[0-9@]|\\(at\\)|\\[at\\]"), candidates(text))})
-    added = F.coalesce(F.when(F.size("_found") > 0, _selected("_found")), F.array().cast(_SPANS))
+    rows = as_rows(docs, text=F.col("text")).withColumns({"base": base_spans(text), "found": F.when(text.rlike("[0-9@]|\\(at\\)|\\[at\\]"), candidates(text))})
+    added = F.coalesce(F.when(F.size("found") > 0, _selected("found")), F.array().cast(_SPANS))
     rows = rows.withColumn("added", added)
     covered = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
-    return rows.withColumn("added", F.filter("added", lambda x: ~covered(x))).drop("_found")
+    return rows.withColumn("added", F.filter("added", lambda x: ~covered(x))).drop("found")
 
 
 def _joined(found: Column) -> Column:
@@ -280,7 +287,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    rows = spans(docs)
+    rows = _with_spans(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.upper(F.regexp_replace(x["kind"], "^x_", "")).alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -293,4 +300,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate(order, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
     changed = F.size("base") + F.size("added") > 0
-    return rows.select(*[F.when(changed, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*fields(docs, text=F.when(changed, whole).otherwise(F.col("text"))))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import as_rows, fields, release
 
 #: Hashed word features; the shape features follow them.
 N_WORD = 1 << 18
@@ -195,9 +195,9 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     # Only texts go to Python and only two numbers come back; not deterministic, so that no plan asks twice.
     score_of = F.pandas_udf(scored, "expected_grade double, tail_probability double").asNondeterministic()
-    return docs.withColumn("_score", score_of("text")).select(*docs.columns, "_score.expected_grade", "_score.tail_probability")
+    return as_rows(docs, score=score_of("text")).select(*fields(docs), "score.expected_grade", "score.tail_probability")
 
 
 def classify(docs: DataFrame, ratings: DataFrame, min_tail: float = 0.5) -> DataFrame:
-    """docs with expected_grade, tail_probability and kept (tail_probability >= min_tail)."""
+    """docs with expected_grade, tail_probability and kept (tail_probability >= min_tail) added (or replaced)."""
     return score(docs, train(docs, ratings)).withColumn("kept", F.col("tail_probability") >= min_tail)

@@ -117,6 +117,35 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(docs.limit(0), RANKS, tokenizers.PATTERN).count() == 0
 
 
+def test_open_bins_lose_no_partner(spark):
+    """Bins of 1500 places that never pair are done at once; a few small ones keep as many roomy hosts as they are."""
+    kind = packing._BIN
+    bins = [(k % 5, 548, [(k, 0, 0, 1500, 0, 0)]) for k in range(300)]
+    done, rest = packing._open_bins(spark.createDataFrame(bins, kind), 2048)
+    assert done.count() == 300 and rest.count() == 0
+    bins += [(7, 2048 - n, [(1000 + n, 0, 0, n, 0, 0)]) for n in (5, 100, 600)] + [(8, 700, [(2000, 0, 0, 1348, 0, 0)])]
+    done, rest = packing._open_bins(spark.createDataFrame(bins, kind), 2048)
+    kept = [r["items"][0].doc_id for r in rest.collect()]
+    assert {1005, 1100, 1600, 2000} < set(kept) and 6 <= len(kept) <= 10 and done.count() + len(kept) == 304
+    done, rest = packing._open_bins(spark.createDataFrame([(0, 1024, [(1, 0, 0, 1024, 0, 0)]), (1, 3, [(2, 0, 0, 2045, 0, 0)])], kind), 2048)
+    assert done.count() == 1 and rest.count() == 1
+
+
+def test_callers_columns_come_back(spark):
+    """Names that the operators use themselves, a map column, repeated rows."""
+    rows = [(i, f"mail a{i}@b.org and a common footer line here\nwords w{i} x{i} y{i} z{i} q{i} r{i}", f"s{i}", i, i, i, i, i, i, i, {"k": i}) for i in range(12)]
+    names = "cut int, _id int, _text int, base int, added int, found int, _score int, kept int"
+    docs = spark.createDataFrame([r[:3] + (r[3],) * 8 + (r[10],) for r in rows] * 2, f"doc_id long, text string, source string, {names}, more map<string,int>")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    own = [c for c in docs.columns if c not in ("text", "kept")]
+    for out in (line_spread.deduplicated(docs), pii.redacted(docs), bagminhash.deduplicated(docs), quality_ordinal.classify(docs, quality_ordinal.graded(labels))):
+        got = out.select(*own).collect()
+        assert len(got) in (12, 24) and set(docs.columns) <= set(out.columns)
+        assert all(r[c] == r["doc_id"] for r in got for c in own if c not in ("doc_id", "source", "more")) and all(r["more"] == {"k": r["doc_id"]} for r in got)
+    kept = pii.spans(docs).select("cut", "base").first()
+    assert isinstance(kept["base"], list)
+
+
 def test_line_spread(spark):
     common, near_miss = "this footer stands on every site", "this line stands on few sites"
     rows = []
@@ -209,6 +238,8 @@ def test_kernel_language(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     test = got[(got.doc_id < 400) & got.held_out]
     assert (test.lang_pred == [list(parts)[i % 3] for i in test.doc_id]).mean() > 0.97
+    odd = spark.createDataFrame([(1, "½ ²", None), (2, "①②", None), (3, "٣ 12 Ⅷ", None), (4, "½ the thing", None)], docs.schema)
+    assert [r.lang_pred == "und" for r in kernel_lang.identify(odd, kernel_lang.train(docs)).orderBy("doc_id").collect()] == [True, True, True, False]
     assert set(got[got.doc_id >= 1000].lang_pred) == {"und"} and got.score.between(0, 1).all()
     a, b = kernel_lang.presence("The cat"), kernel_lang.presence("a cat")
     model = kernel_lang.fit([a, b], ["x", "y"], landmarks=1)
@@ -306,8 +337,18 @@ def test_divergence_distance(spark):
     arr = lambda v: F.array(*[F.lit(int(x)).cast("long") for x in v])
     got = spark.range(1).select(divergence.distance(arr([3, 0, 5]), arr([1, 1, 0]))).first()[0]
     assert got == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
-    a, b = divergence.repeated_words(F.split(F.lit("x y z x y z q"), " ")), None
-    assert spark.range(1).select(a).first()[0] == 6 and b is None
+    words = F.split(F.lit("x y z x y z q"), " ")
+    assert spark.range(1).select(divergence.repeated_words(words)).first()[0] == 6
+    before, divergence._BITS = divergence._BITS, 1  # every text takes the form for texts with too many windows
+    try:
+        assert spark.range(1).select(divergence.repeated_words(words)).first()[0] == 6
+    finally:
+        divergence._BITS = before
+    before, F.xxhash64 = F.xxhash64, lambda a, b, c: F.lit(7).cast("long")  # all windows meet in one hash
+    try:
+        assert spark.range(1).select(divergence.repeated_words(words)).first()[0] == 6
+    finally:
+        F.xxhash64 = before
 
 
 def test_bpe_round_trip(spark):
