@@ -23,7 +23,7 @@ def search(evidence: DataFrame, query: str, linked: DataFrame | None = None, ent
     """evidence(evidence_id, text, strength?, subject_entity_id?) -> the best hits with score, relational and lexical parts.
 
     relational is 1.0 for evidence about a wanted entity, 0.7 for evidence that a claim about one links, else 0;
-    score = 0.6 relational + 0.4 lexical. Evidence about another entity is dropped even if a claim links it.
+    score = 0.6 relational + 0.4 lexical, also where no entity is wanted. Evidence about another entity is dropped even if a claim links it.
     The order is total: score down, strength, id.
     """
     wanted = T.query_tokens(F.lit(query))
@@ -38,7 +38,7 @@ def search(evidence: DataFrame, query: str, linked: DataFrame | None = None, ent
         relational = F.when(F.coalesce(own, F.lit(False)), 1.0).when(F.col("linked"), 0.7).otherwise(0.0)
         rows = rows.withColumn("relational", relational).withColumn("score", F.round(0.6 * F.col("relational") + 0.4 * F.col("lexical"), 6))
     else:
-        rows = rows.withColumn("relational", F.lit(0.0)).withColumn("score", F.round("lexical", 6))
+        rows = rows.withColumn("relational", F.lit(0.0)).withColumn("score", F.round(0.4 * F.col("lexical"), 6))
     order = [F.desc("score"), *([strength_rank(F.col("strength"))] if "strength" in rows.columns else []), F.asc("evidence_id")]
     return rows.where(F.col("score") >= min_score).orderBy(*order).limit(limit)
 

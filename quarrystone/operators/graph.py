@@ -46,10 +46,11 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
 
 def version_conflicts(items: DataFrame) -> DataFrame:
-    """items(node, version, status) -> nodes with several versions, or with DEPRECATED beside other items."""
+    """items(node, version, status) -> a row for each conflict of a node: several versions, DEPRECATED beside other items."""
     rows = items.groupBy("node").agg(F.count_distinct("version").alias("n_versions"), F.count_if(F.col("status") == "DEPRECATED").alias("n_deprecated"), F.count("*").alias("n_items"))
-    kind = F.when(F.col("n_versions") > 1, "VERSION_CONFLICT").when((F.col("n_deprecated") > 0) & (F.col("n_deprecated") < F.col("n_items")), "DEPRECATED_BESIDE_CURRENT")
-    return rows.withColumn("kind", kind).where("kind is not null")
+    both = F.col("n_deprecated").between(1, F.col("n_items") - 1)
+    kinds = F.array_compact(F.array(F.when(F.col("n_versions") > 1, "VERSION_CONFLICT"), F.when(both, "DEPRECATED_BESIDE_CURRENT")))
+    return rows.withColumn("kind", F.explode(kinds))
 
 
 def changed_since(since: Column, *stamps: str) -> Column:
@@ -85,8 +86,8 @@ def versions(sources: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def next_learning(hypotheses: DataFrame, unknowns: DataFrame) -> DataFrame:
-    """One row: the open hypothesis with the smallest id, else the unknown of the highest priority."""
-    rank = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("priority"))
-    h = hypotheses.agg(F.min(F.struct("hypothesis_id", "next_best_learning")).alias("h"))
+    """One row: what the first open hypothesis by id states that states anything, else `resolve: ` and the unknown of the highest priority."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("priority")), F.lit(0)), F.lit(9))
+    h = hypotheses.where("next_best_learning <> ''").agg(F.min(F.struct("hypothesis_id", "next_best_learning")).alias("h"))
     u = unknowns.agg(F.min(F.struct(rank.alias("rank"), "unknown_id", "statement")).alias("u"))
-    return h.join(u, F.lit(True)).select(F.coalesce("h.next_best_learning", "u.statement").alias("next_best_learning"))
+    return h.join(u, F.lit(True)).select(F.coalesce("h.next_best_learning", F.concat(F.lit("resolve: "), F.col("u.statement"))).alias("next_best_learning"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCOPE_TYPES = ("GLOBAL", "VERTICAL", "ENTITY", "CLIENT", "PROJECT", "SANDBOX")
-TIERS = ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED", "SECRET")
+# Levels of sensitivity from the least.
+TIERS = ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "CLIENT_CONFIDENTIAL", "SECRET")
 _ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}\Z")
 
 

@@ -50,7 +50,7 @@ def scope_guard_dropped_count(spark, folder):
 
 
 def _labelled(spark, folder):
-    labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "SECRET").when(F.col("quality") == 0, "RESTRICTED").alias("level"), F.when(F.col("quality") == 0, "PII").alias("class"))
+    labels = table(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 1, "SECRET").when(F.col("quality") == 0, "CLIENT_CONFIDENTIAL").alias("level"), F.when(F.col("quality") == 0, "PII").alias("class"))
     return scoped_documents(spark, folder).select("doc_id", "source").join(labels, "doc_id", "left")
 
 
@@ -120,7 +120,7 @@ def lexical_evidence_topk(spark, folder):
 
 _LEXICAL = f"""
 with {_SCOPED}, q as (select list_distinct(list_filter({_sql_tokens("'" + QUERY + "'")}, lambda t: length(t) >= 3)) as w),
-s as (select doc_id, round(len(list_intersect(w, {_sql_tokens('text')})) / len(w), 6)::double as score from scoped, q where {_SEEN})
+s as (select doc_id, round(0.4 * len(list_intersect(w, {_sql_tokens('text')})) / len(w), 6)::double as score from scoped, q where {_SEEN})
 select doc_id, score from s where score >= 0.01 order by score desc, doc_id limit 25"""
 
 
@@ -270,13 +270,13 @@ QUERIES |= {
     "resolve_entity_tiers": _resolve("nation 7"), "resolve_entity_ambiguity": _resolve("customer"), "resolve_entity_alias": _resolve("N-7"),
     "fts_match_all_terms": _matching("the and heed"), "fts_phrase_or_not": _matching('"of the" or "in the" -heed'),
 }
-_LEVELS = "with l as (select d.source, case when toxic = 1 then 'SECRET' when quality = 0 then 'RESTRICTED' end as level, case when quality = 0 then 'PII' end as class from documents d left join labels using (doc_id))"
+_LEVELS = "with l as (select d.source, case when toxic = 1 then 'SECRET' when quality = 0 then 'CLIENT_CONFIDENTIAL' end as level, case when quality = 0 then 'PII' end as class from documents d left join labels using (doc_id))"
 ORACLE_SQL = {
     "scope_guard_visible_docs": f"with {_SCOPED} select doc_id, scope_type, scope_id from scoped where {_SEEN}",
     "scope_guard_dropped_count": f"with {_SCOPED} select count(*) as n_rows, count(*) filter (where not {_SEEN}) as n_dropped from scoped",
     "secret_excluded": f"{_LEVELS} select source, count(*) as n_docs from l where coalesce(level, 'INTERNAL') <> 'SECRET' group by source",
     "pii_marked": f"""{_LEVELS} select source, count(*) filter (where class = 'PII') as n_pii,
-  arg_max(coalesce(level, 'INTERNAL'), case coalesce(level, 'INTERNAL') when 'INTERNAL' then 2 when 'RESTRICTED' then 4 else 5 end) as highest_tier,
+  arg_max(coalesce(level, 'INTERNAL'), case coalesce(level, 'INTERNAL') when 'INTERNAL' then 2 when 'CLIENT_CONFIDENTIAL' then 4 else 5 end) as highest_tier,
   coalesce(string_agg(distinct class, ','), '') as classes from l group by source""",
     "normalise_names": f"""with n as (select c_custkey as id, c_name as name from customer union all select p_partkey, p_name from part union all select doc_id, text from documents)
 select id, {_sql_normal('name')} as normal from n""",
@@ -289,9 +289,9 @@ select id, {_sql_normal('name')} as normal from n""",
 from decisions d left join decisions o on o.decision_id = d.supersedes where d.supersedes is not null and (o.decision_id is null or o.status = 'ACTIVE')""",
     "contradictions": """select l_partkey as subject_id, 'returnflag' as predicate, count(*) as n_claims, count(distinct l_returnflag) as n_values
 from lineitem group by l_partkey having count(*) > 1 and count(distinct l_returnflag) > 1""",
-    "conflict_versions": """select p_brand as node, count(distinct l_suppkey) as n_versions, count(*) filter (where l_returnflag = 'R') as n_deprecated, count(*) as n_items,
-  case when count(distinct l_suppkey) > 1 then 'VERSION_CONFLICT' else 'DEPRECATED_BESIDE_CURRENT' end as kind from lineitem join part on p_partkey = l_partkey group by p_brand
-having count(distinct l_suppkey) > 1 or count(*) filter (where l_returnflag = 'R') between 1 and count(*) - 1""",
+    "conflict_versions": """with g as (select p_brand as node, count(distinct l_suppkey) as n_versions, count(*) filter (where l_returnflag = 'R') as n_deprecated, count(*) as n_items
+  from lineitem join part on p_partkey = l_partkey group by p_brand)
+select *, 'VERSION_CONFLICT' as kind from g where n_versions > 1 union all select *, 'DEPRECATED_BESIDE_CURRENT' from g where n_deprecated between 1 and n_items - 1""",
     "state_projection_counts": _STATE,
     "delta_since": f"select user_id, event_type, count(*) as n_changes, min(event_id) as first_id from events where ts > timestamp '{SINCE}' group by all",
     "delta_coverage": """select user_id, case when min(ts) <= timestamp '2024-01-01 12:00:00' then 'COVERED' else 'PARTIAL_NO_RECORD_BEFORE' end as coverage,

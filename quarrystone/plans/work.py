@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -78,7 +80,7 @@ def leaf_flatten_props(spark, folder):
 
 def _leaves(spark, folder):
     """pages as nodes of three types with one text leaf each."""
-    kinds = F.array(*[F.lit(f"base.{k}") for k in ("executeCommand", "httpRequest", "code", "set", "agent")])
+    kinds = F.array(*[F.lit(f"x-nodes-base.{k}") for k in ("executeCommand", "httpRequest", "code", "set", "agent")])
     pages = table(spark, folder, "pages").select(F.concat(F.lit("w"), (F.col("page_id") / 5).cast("int").cast("string")).alias("path"), F.col("page_id").cast("int").alias("n"), F.get(kinds, (F.col("page_id") % 5).cast("int")).alias("type"), "url", "html")
     leaves = pages.select("path", "n", "type", F.lit("parameters.url").alias("json_path"), F.col("url").alias("value"))
     return pages.select("path", "n", F.lit("x").alias("name"), "type", F.lit("{}").alias("parameters"), F.array().cast("array<string>").alias("credential_types")), leaves
@@ -116,7 +118,7 @@ def risk_index_listagg(spark, folder):
 
 def node_side_effects(spark, folder):
     nodes, _ = _leaves(spark, folder)
-    rows = nodes.select("path", A.node_risk(F.concat(F.lit("x-nodes-"), F.col("type")), F.size("credential_types")).alias("r"))
+    rows = nodes.select("path", A.node_risk(F.col("type"), F.size("credential_types")).alias("r"))
     return rows.groupBy("path").agg(A.worst_verdict(F.col("r.verdict")).alias("verdict"), F.count_if("r.requires_pinning").alias("n_pinned"))
 
 
@@ -221,10 +223,9 @@ def parity_two_sided_diff(spark, folder):
 
 
 def stratified_sample(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang")
-    wanted = F.create_map(*[F.lit(x) for kv in {"en": 8, "fr": 8, "de": 5, "es": 3}.items() for x in kv])
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return docs.withColumn("n", n).where(F.col("n") <= wanted[F.col("lang")]).select("lang", "doc_id")
+    docs = table(spark, folder, "documents").select("lang", "doc_id")
+    # The first of each stratum are a bounded heap of every task, not a sort of the stratum.
+    return reduce(DataFrame.unionByName, [docs.where(F.col("lang") == lang).orderBy("doc_id").limit(n) for lang, n in {"en": 8, "fr": 8, "de": 5, "es": 3}.items()])
 
 
 def eligibility_funnel(spark, folder):
@@ -245,7 +246,7 @@ def run_journal_latest(spark, folder):
 
 def source_versions(spark, folder):
     docs = table(spark, folder, "documents").select("source", "doc_id")
-    return G.versions(docs, "source", ["doc_id"]).where("version <= 3").select("source", "doc_id", F.col("version").cast("long").alias("version"))
+    return G.versions(docs, "source", ["doc_id"]).select("source", "doc_id", F.col("version").cast("long").alias("version"))
 
 
 def stored_item_violations(spark, folder):
@@ -362,7 +363,7 @@ w as (select conv_id, k, n, a, b, a as start, 1 as win from s where k = 1
   union all select s.conv_id, s.k, s.n, s.a, s.b, case when s.b - w.start > 90000 then s.a else w.start end, case when s.b - w.start > 90000 then w.win + 1 else w.win end from w join s on s.conv_id = w.conv_id and s.k = w.k + 1)
 select conv_id, win::int as window, min(start)::bigint as start_ms, max(b)::bigint as end_ms, min(n)::bigint as first_n, count(*)::int as n_segments from w group by conv_id, win""",
     "run_journal_latest": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1",
-    "source_versions": "select source, doc_id, version from (select source, doc_id, row_number() over (partition by source order by doc_id) as version from documents) where version <= 3",
+    "source_versions": "select source, doc_id, row_number() over (partition by source order by doc_id) as version from documents",
     "stored_item_violations": """with c as (select unnest([case when doc_id % 7 = 0 then 'sha256_format' end, case when doc_id % 2 <> 0 then 'commit_format' end, case when doc_id % 9 = 0 then 'severity_known' end,
   case when doc_id % 4 = 0 then 'role_scope_pair' end, case when doc_id % 5 = 0 then 'no_implementation' end, case when doc_id % 8 = 0 then 'node_count' end]) as code from documents)
 select code, count(*) as n from c where code is not null group by code""",
