@@ -1,6 +1,7 @@
 """Static analysis of workflow documents: nodes, edges, findings, reports, admission, side effects.
 
-Node types are told apart by their last part, so a deployment's prefixes are data.
+Built-in node types are told apart by their last part after the prefix of the base package; a type of any other package
+is itself, so that a community node is never taken for the built-in of the same name.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ CODE_RULES = (
 )
 SECRET_KEY = r"(?i)(api[_ -]?key|token|password|passwd|secret|authorization)"
 PLACEHOLDER = r"(?i)(YOUR[_ -]?[A-Z0-9_]*|<[^>]*(token|secret|password|key)[^>]*>|\{\{\s*\$(credentials|env)\b)"
-TEXT_KEYS = ("content", "description", "message", "notes", "prompt", "subject", "systemmessage", "text", "title")
-CODE_KEYS = {"jscode": "javascript", "functioncode": "javascript", "pythoncode": "python", "command": "shell", "query": "sql", "expression": "expression"}
+TEXT_KEYS = ("content", "description", "instructions", "message", "prompt", "systemmessage", "text")
+#: The package of built-in nodes, whatever the deployment calls it.
+BASE_PACKAGE = r"^[a-z0-9]*-?nodes-base\."
 FIRST_PARTY = r"^(@[a-z0-9]+/)?[a-z0-9]*-?nodes-(base|langchain)\."
 
 
 def kind_of(node_type: Column) -> Column:
-    return F.element_at(F.split(node_type, "\\."), -1)
+    """The name of a built-in node type, else the whole type."""
+    return F.when(node_type.rlike(BASE_PACKAGE), F.regexp_replace(node_type, BASE_PACKAGE, "")).otherwise(node_type)
 
 
 def documents(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,13 +148,19 @@ def admission(risk: Column, severity: Column) -> Column:
 
 
 def material(leaves: DataFrame) -> DataFrame:
-    """Leaves as executable metadata (digest and length, never content) or as redacted text of known keys; others are dropped."""
-    key, value = T.leaf_key(F.col("json_path")), F.col("value")
-    languages = F.create_map(*[F.lit(x) for kv in CODE_KEYS.items() for x in kv])
-    reason = F.when(languages[key].isNotNull(), "code_key").when(T.is_expression(value), "expression")
-    kept = leaves.where(F.btrim(value, F.lit(" \t\r\n")) != "").withColumns({"reason": reason, "is_text": key.isin(*TEXT_KEYS)}).where("reason is not null or is_text")
-    preview = F.when(F.col("reason").isNull() & ~T.path_is_sensitive(F.col("json_path")), T.redacted(value))
-    return kept.select("path", "n", "json_path", F.when(F.col("reason").isNotNull(), "executable").otherwise("text").alias("kind"), "reason", F.sha2("value", 256).alias("sha256"), F.length("value").alias("char_count"), preview.alias("preview"))
+    """Leaves (path, n, type, json_path, value) as executable metadata (digest and length, never content) or as redacted text of known keys; others are dropped.
+
+    The node's type decides first: every text of a code or command node is executable, elsewhere expressions are.
+    """
+    key, value, kind = T.leaf_key(F.col("json_path")), F.col("value"), kind_of(F.col("type"))
+    reason = F.when(kind.isin(*CODE), "code_node").when(kind.isin(*COMMAND, *SSH), "privileged_command").when(T.is_expression(value), "expression")
+    language = F.when(kind.isin(*CODE), "javascript").when(kind.isin(*COMMAND, *SSH), "shell_or_remote_command").otherwise("expression")
+    kept = leaves.where("value <> ''").withColumns({"reason": reason, "is_text": key.isin(*TEXT_KEYS)}).where("reason is not null or is_text")
+    preview = F.when(T.path_is_sensitive(F.col("json_path")), F.lit("<redacted-sensitive-path>")).otherwise(T.redacted(value))
+    return kept.select(
+        "path", "n", "json_path", F.when(F.col("reason").isNotNull(), "executable").otherwise("text").alias("kind"), "reason", F.when(F.col("reason").isNotNull(), language).alias("language"),
+        F.sha2("value", 256).alias("sha256"), F.length("value").alias("char_count"), F.when(F.col("reason").isNull(), preview).alias("preview"),
+    )
 
 
 def node_risk(node_type: Column, n_credentials: Column) -> Column:

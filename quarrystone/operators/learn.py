@@ -36,13 +36,13 @@ def framed(text, attempts):
 
 
 # Kinds of locators, and keys that a locator never has.
-LOCATOR_KINDS = ("PARAGRAPH", "SECTION", "JSON_PATH", "PAGE", "REPO_FILE", "WORKFLOW_NODE", "MEDIA_TIME", "URL", "MESSAGE")
-FORBIDDEN_LOCATOR_KEYS = ("content", "text", "raw", "body", "code", "command", "secret", "token", "password", "credential", "email", "phone", "value", "evidence")
+LOCATOR_KINDS = ("MEDIA_TIME", "PDF_PAGE", "DOC_SECTION", "REPO_FILE", "GIT_COMMIT", "WORKFLOW_NODE", "EXECUTION", "MESSAGE", "GENERIC")
+FORBIDDEN_LOCATOR_KEYS = ("secret", "token", "password", "api_key", "apiKey", "authorization", "credential", "credentials", "command", "shell", "sql", "query", "payload", "body")
 
 
 def locator_faults(rows: DataFrame) -> DataFrame:
     """rows(id, kind, locator JSON) -> (id, code)."""
-    keys = F.coalesce(F.transform(F.json_object_keys("locator"), lambda k: F.lower(k)), F.array().cast("array<string>"))
+    keys = F.coalesce(F.json_object_keys("locator"), F.array().cast("array<string>"))
     codes = F.array(
         F.when(~F.col("kind").isin(*LOCATOR_KINDS), F.lit("UNKNOWN_KIND")),
         F.when(F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN_LOCATOR_KEYS))), F.lit("FORBIDDEN_KEY")),

@@ -11,7 +11,7 @@ from .evidence import strength_rank
 
 # What is dropped, in this order; authorities from the strongest.
 DROP_ORDER = ("VERBOSE_SUMMARY", "LOW_RELEVANCE_ARTIFACTS", "OLDER_EVENTS", "WEAKER_EVIDENCE", "SECONDARY_PROCEDURAL_REFS")
-AUTHORITIES = ("HUMAN_DECISION", "MEASURED_OWN_EXECUTION", "VALIDATED_PATTERN", "HUMAN_APPROVED_CORRECTION", "OFFICIAL_DOCUMENTATION", "TUTORIAL", "COMMUNITY", "MODEL_INFERENCE", "UNKNOWN")
+AUTHORITIES = ("ENVIRONMENT_FACT", "MEASURED_OWN_EXECUTION", "VALIDATED_PATTERN", "HUMAN_APPROVED_CORRECTION", "OFFICIAL_DOCS", "EXTERNAL_WORKFLOW_ANALYZED", "TUTORIAL", "COMMUNITY", "MODEL_INFERENCE")
 
 
 def text_tokens(text: Column) -> Column:

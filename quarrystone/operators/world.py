@@ -19,9 +19,13 @@ from . import scope as S
 from .schemas import OWN_ID, SCHEMAS, structural_faults
 
 STAGES = ("ENTITY_RESOLUTION", "SCOPE_GUARD", "CURRENT_STATE", "STRUCTURED_RELATIONAL", "LEXICAL", "RELATION_EXPANSION", "RAW_SOURCE_POINTER")
-OPEN_HYPOTHESES, OPEN_UNKNOWNS = ("OPEN", "TESTING", "SUPPORTED"), ("OPEN", "INVESTIGATING")
-#: Events and evidence that a pack takes, by mode.
-MODES = {"ASK": (5, 10), "BUILD": (5, 15), "DEBUG": (15, 20), "DECIDE": (10, 20), "LEARN": (10, 25)}
+# Statuses that leave a question open; events and evidence that a pack takes, by mode.
+OPEN_HYPOTHESES, OPEN_UNKNOWNS = ("OPEN", "PARTIALLY_SUPPORTED", "CONFLICTING"), ("OPEN", "PARTIALLY_RESOLVED")
+MODES = {"OPERATIONAL": (5, 10), "RESEARCH": (3, 25), "BUILD": (5, 12), "AUDIT": (25, 25), "STRATEGY": (3, 12)}
+
+
+#: Columns of evidence that a search may filter by.
+FILTERS = ("direction", "strength", "evidence_type", "epistemic_status", "verification_state", "source_id", "level")
 
 
 class AmbiguousEntity(ValueError):
@@ -98,12 +102,11 @@ class ScopedWorld:
         seen = self.all_of("entity").select(F.col("entity_id").alias("object_entity_id"))
         return claims.join(seen, "object_entity_id", "left_semi").select("predicate", "object_entity_id", "claim_id").orderBy("predicate", "object_entity_id", "claim_id")
 
-    def expand(self, entities: list[str], depth: int = 2) -> DataFrame:
-        """(node, depth): visible entities reached over visible claims in either direction."""
+    def expand(self, entities: list[str], depth: int = 1) -> DataFrame:
+        """(node, depth): visible entities reached over visible claims, from subject to object; one step unless told otherwise."""
         claims = self.all_of("claim").where("object_entity_id is not null").select("subject_entity_id", "object_entity_id")
         seen = self.all_of("entity").select("entity_id")
-        both = claims.select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst")).unionByName(claims.select(F.col("object_entity_id").alias("src"), F.col("subject_entity_id").alias("dst")))
-        edges = both.join(seen.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+        edges = claims.select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst")).join(seen.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
         return G.expand(edges, claims.sparkSession.createDataFrame([(e,) for e in entities], "node string"), depth)
 
     def evidence_text(self) -> DataFrame:
@@ -115,13 +118,22 @@ class ScopedWorld:
         both = rows.join(texts, "evidence_id", "left").join(titles, "source_id", "left")
         return both.select("evidence_id", "source_id", "subject_entity_id", "strength", F.concat_ws(" ", "title", "body").alias("text"))
 
-    def search(self, query: str, entities: list[str] | None = None, limit: int = 25) -> DataFrame:
+    def search(self, query: str, entities: list[str] | None = None, limit: int = 25, filters: dict[str, str] | None = None) -> DataFrame:
+        """The best hits; evidence without a visible source to point to is no hit, nor is any that a filter rules out.
+
+        filters are equalities on direction, strength, evidence_type, epistemic_status, verification_state, source_id
+        or level; any other name is an error.
+        """
+        if unknown := set(filters or {}) - set(FILTERS):
+            raise ValueError(f"unknown filters: {sorted(unknown)}")
         claims = self.all_of("claim")
         linked = None
         if entities:
-            about = claims.where(F.col("subject_entity_id").isin(*entities) | F.col("object_entity_id").isin(*entities))
+            about = claims.where(F.col("subject_entity_id").isin(*entities))
             linked = about.select(F.explode(F.concat(F.coalesce("supporting_evidence_ids", F.array().cast("array<string>")), F.coalesce("counter_evidence_ids", F.array().cast("array<string>")))).alias("evidence_id"))
-        return E.search(self.evidence_text(), query, linked, entities, limit=limit)
+        kept = reduce(lambda rows, f: rows.where(F.col(f[0]) == f[1]), (filters or {}).items(), self.all_of("evidence")).select("evidence_id")
+        rows = self.evidence_text().join(kept, "evidence_id", "left_semi").join(self.all_of("source").select("source_id"), "source_id", "left_semi")
+        return E.search(rows, query, linked, entities, limit=limit)
 
     def state(self, entity: str | None = None) -> DataFrame:
         """One row: ids of active decisions, active claims, open hypotheses and unknowns, contradictions, newest stamp, freshness."""
@@ -148,13 +160,13 @@ class ScopedWorld:
         first = reduce(DataFrame.unionByName, [self.all_of(k).agg(F.min(F.least(*c)).alias("t")) for k, c in stamps.items()]).agg(F.min("t").alias("earliest"))
         return reduce(DataFrame.unionByName, rows).join(first, F.lit(True)).withColumn("coverage", G.coverage(at, F.col("earliest"))).drop("earliest")
 
-    def context_pack(self, objective: str, mode: str = "ASK", token_budget: int = 8000, entities: list[str] | None = None, generated_at: str | None = None) -> dict:
+    def context_pack(self, objective: str, mode: str = "OPERATIONAL", token_budget: int = 8000, entities: list[str] | None = None, generated_at: str | None = None) -> dict:
         """A pack of pointers that fits the budget, or BudgetTooSmall with the exact minimum. The only driver boundary of a read: one row."""
         n_events, n_evidence = MODES[mode]
         state = self.state(entities[0] if entities and len(entities) == 1 else None).first().asDict()
         hits = [r["evidence_id"] for r in self.search(objective, entities, n_evidence).select("evidence_id").collect()]
         events = [r["event_id"] for r in self.all_of("event").select("event_id").orderBy("event_id").limit(n_events).collect()]
-        reach = [r["node"] for r in self.expand(entities, 2).select("node").orderBy("node").collect()] if entities else []
+        reach = [r["node"] for r in self.expand(entities).select("node").orderBy("node").collect()] if entities else []
         pack = {
             "objective": objective, "mode": mode, "scope": ":".join(self.scope), "entity_ids": sorted({*(entities or []), *reach}), "claim_ids": state["claim_ids"], "decision_ids": state["active_decision_ids"],
             "hypothesis_ids": state["open_hypothesis_ids"], "unknown_ids": state["open_unknown_ids"], "evidence_ids": hits, "event_ids": events, "conflicts": state["conflicts"],

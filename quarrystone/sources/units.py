@@ -17,9 +17,9 @@ MAX_DEPTH, MAX_UNITS = 4, 500
 MAX_FILE_BYTES = 5 * 1024 * 1024
 WINDOW_MS = 90_000
 MAX_FILES, MAX_REPO_FILE, MAX_REPO_TOTAL = 400, 512 * 1024, 16 * 1024 * 1024
-# What a repository scan keeps, and names of agents' configuration.
-KEPT_SUFFIXES = (".cfg", ".css", ".go", ".html", ".ini", ".java", ".js", ".json", ".md", ".py", ".rs", ".sql", ".toml", ".ts", ".txt", ".yaml")
-AGENT_CONFIG = ("AGENTS.md", "CLAUDE.md", ".cursorrules")
+# What a repository scan keeps, and names of agents' configuration, in lower case.
+KEPT_SUFFIXES = (".md", ".markdown", ".txt", ".rst", ".adoc", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".py", ".js", ".ts", ".sql", ".sh")
+AGENT_CONFIG = ("claude.md", "agents.md", "agent.md", ".cursorrules", "copilot-instructions.md")
 ROUTES = {".md": "markdown", ".markdown": "markdown", ".txt": "text", ".json": "json", ".pdf": "pdf", ".docx": "docx", ".docm": "refused_macro", ".dotm": "refused_macro"}
 
 
@@ -75,7 +75,8 @@ def json_leaves(docs: DataFrame, column: str, max_depth: int | None = None, max_
             found = [flatten(t, max_depth, max_units, keys) for t in batch[column]]
             out = batch[rest].loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
             flat = [x for f in found for x in f]
-            out["path"], out["kind"], out["value"] = ([x[k] for x in flat] for k in range(3))
+            for k, c in enumerate(("path", "kind", "value")):
+                out[c] = pd.Series([x[k] for x in flat], dtype=object)  # a batch without leaves has columns of strings as well
             yield out
 
     return docs.mapInPandas(leaves, schema)
@@ -154,6 +155,18 @@ def repository_files(listing: DataFrame, max_files: int = MAX_FILES) -> DataFram
     return rows.select("repo", "path", reason.isNull().alias("kept"), reason.alias("reason"))
 
 
+def repository_units(files: DataFrame) -> DataFrame:
+    """files(path, text) of a repository -> title, text, locator_kind, status and knowledge_type of their units.
+
+    What a file says is declared, never observed; agents' configuration is a warning with no authority. Blank files give no unit.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    return files.where(F.btrim("text", F.lit(" \t\r\n")) != "").select(
+        F.col("path").alias("title"), "text", F.lit("REPO_FILE").alias("locator_kind"), F.substring("path", 1, 200).alias("locator"),
+        F.lit("DECLARED").alias("epistemic_status"), F.when(name.isin(*AGENT_CONFIG), "WARNING").otherwise("CONCEPT").alias("knowledge_type"),
+    )
+
+
 def docx_sections(found: DataFrame) -> DataFrame:
     """(path, content) of DOCX files -> (path, n, heading, text, refused): sections by heading style; macros are refused."""
     name = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -63,6 +63,10 @@ def test_units(spark):
     assert units.flatten("{", 4) == [] and len(units.flatten(json.dumps(list(range(900))), 4, 500)) == 500
     got = units.json_leaves(spark.createDataFrame([(7, held)], "id int, j string"), "j").where("kind = 'string'").collect()
     assert [(r.id, r.path, r.value) for r in got] == [(7, "b[1].c", "x")]
+    nothing = spark.createDataFrame([(k, t) for k, t in enumerate(["{", None, "[]", "{}", held])], "id int, j string").repartition(5)
+    assert units.json_leaves(nothing, "j").count() == 3  # batches without leaves, tasks without rows
+    files = spark.createDataFrame([("a/AGENTS.md", "do this"), ("b.md", "text"), ("c.md", " ")], "path string, text string")
+    assert {(r.title, r.knowledge_type, r.epistemic_status) for r in units.repository_units(files).collect()} == {("a/AGENTS.md", "WARNING", "DECLARED"), ("b.md", "CONCEPT", "DECLARED")}
     segments = spark.createDataFrame([(1, n, n * 40_000, n * 40_000 + 30_000, "t") for n in range(6)], "k int, n long, start_ms long, end_ms long, text string")
     assert [(r.window, r.n_segments) for r in units.windows(segments, "k").orderBy("window").collect()] == [(1, 2), (2, 2), (3, 2)]
 
@@ -94,8 +98,12 @@ def test_files_and_analysis(spark, tmp_path):
     assert report["code"].rules == ["CODE_EVAL", "CUSTOM_CODE"] and report["large"].parse_error == "too large"
     assert [(r.source, r.target, r.output, r.input) for r in edges.collect()] == [("t", "s", 0, 0)]
     assert analyze.eligible(found, nodes, analyze.reports(found, nodes, analyze.findings(nodes, leaves)), 2).count() == 2
-    kinds = {(r.json_path, r.kind, r.preview) for r in analyze.material(leaves).collect()}
-    assert ("parameters.jsCode", "executable", None) in kinds
+    kinds = {(r.json_path, r.kind, r.reason, r.language, r.preview) for r in analyze.material(leaves).collect()}
+    assert ("parameters.jsCode", "executable", "code_node", "javascript", None) in kinds and ("parameters.command", "executable", "privileged_command", "shell_or_remote_command", None) in kinds
+    texts = spark.createDataFrame([("f", 0, "other.executeCommand", "parameters.text", "hello"), ("f", 1, "x-nodes-base.set", "parameters.notes", "hello"), ("f", 2, "x-nodes-base.set", "parameters.prompt", "={{ 1 }}")], "path string, n int, type string, json_path string, value string")
+    assert [(r.n, r.kind, r.reason) for r in analyze.material(texts).orderBy("n").collect()] == [(0, "text", None), (2, "executable", "expression")]
+    community = spark.createDataFrame([("f", 0, "other.executeCommand")], "path string, n int, type string")
+    assert analyze.findings(community.withColumns({"name": F.lit("n"), "parameters": F.lit("{}")}), texts.limit(0)).count() == 0
     risk = lambda t, n=0: tuple(one(spark, analyze.node_risk(F.lit(t), F.lit(n))))
     assert risk("x-nodes-base.ssh") == ("BLOCKED", False) and risk("x-nodes-base.webhook") == ("ALLOWED", True)
     assert risk("x-nodes-base.manualTrigger") == ("ALLOWED", False) and risk("community.thing", 1) == ("REVIEW_REQUIRED", True)
@@ -180,3 +188,13 @@ def test_versions_number_every_row(spark):
     got = graph.versions(spark.createDataFrame(rows, "doc_id long, source string"), "source", ["doc_id"]).collect()
     want = {(s, d): 1 + sum(x < d for x, y in rows if y == s) for d, s in rows}
     assert len(got) == len(rows) and {(r.source, r.doc_id): r.version for r in got} == want and max(want.values()) > 3
+
+
+def test_next_learning_and_version_conflicts(spark):
+    unknowns = spark.createDataFrame([("u2", "HIGH", "b"), ("u1", "HIGH", "a"), ("u0", None, "z")], "unknown_id string, priority string, statement string")
+    silent = spark.createDataFrame([("h1", None), ("h2", "")], "hypothesis_id string, next_best_learning string")
+    assert graph.next_learning(silent, unknowns).first()[0] == "resolve: a"
+    assert graph.next_learning(silent.union(spark.createDataFrame([("h3", "ask")], silent.schema)), unknowns).first()[0] == "ask"
+    assert graph.next_learning(silent, unknowns.limit(0)).first()[0] is None
+    items = spark.createDataFrame([("a", 1, "DEPRECATED"), ("a", 2, "CURRENT"), ("b", 1, "DEPRECATED"), ("b", 1, "DEPRECATED")], "node string, version int, status string")
+    assert {(r.node, r.kind) for r in graph.version_conflicts(items).collect()} == {("a", "VERSION_CONFLICT"), ("a", "DEPRECATED_BESIDE_CURRENT")}

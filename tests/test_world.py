@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from quarrystone.operators.schemas import SCHEMAS, structural_faults
+from quarrystone.operators.schemas import REQUIRED, SCHEMAS, VOCABULARIES, structural_faults
 from quarrystone.operators.world import AmbiguousEntity, BudgetTooSmall, World, size_of
 
 T0 = dt.datetime(2024, 1, 1)
@@ -12,7 +12,10 @@ T0 = dt.datetime(2024, 1, 1)
 
 def frame(spark, kind, rows):
     names = [c.strip().split(" ")[0] for c in SCHEMAS[kind].replace("struct<source_id:string,fragment_id:string,locator:map<string,string>,observed_at:timestamp,captured_at:timestamp,content_hash:string>", "x").split(", ")]
-    filled = [{"contract_version": "1.0.0", "object_type": kind} | r for r in rows]
+    types = dict(spark.createDataFrame([], SCHEMAS[kind]).dtypes)
+    plain = {"string": "x", "timestamp": T0, "int": 1}
+    whole = {c: VOCABULARIES[kind, c][0] if (kind, c) in VOCABULARIES else [] if types[c].startswith("array") else plain[types[c]] for c in REQUIRED[kind] if c not in ("level", "subject_entity_id")}
+    filled = [whole | {"contract_version": "1.0.0", "object_type": kind, "level": "INTERNAL"} | r for r in rows]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in filled], SCHEMAS[kind])
 
 
@@ -24,11 +27,11 @@ def world(spark):
     return World.of(spark, {
         "entity": frame(spark, "entity", [ent("ea", "Alpha Works", a), ent("eb", "Beta Works", b), ent("eg", "Global Works", g), ent("es", "Hidden", a, level="SECRET"), ent("ea2", "Alpha Works", a)]),
         "claim": frame(spark, "claim", [claim("c1", "ea", "eg", a), claim("c2", "eg", "eb", g), claim("c3", "ea", None, a, predicate="size", object_value="1"), claim("c4", "ea", None, a, predicate="size", object_value="2")]),
-        "source": frame(spark, "source", [{"source_id": "s1", "source_type": "DOC", "title": "solar report", "captured_at": T0, "level": "PUBLIC"} | a, {"source_id": "s2", "source_type": "DOC", "title": "solar secret", "captured_at": T0, "level": "SECRET"} | a, {"source_id": "s3", "source_type": "DOC", "title": "solar b", "captured_at": T0, "level": "PUBLIC"} | b]),
+        "source": frame(spark, "source", [{"source_id": "s1", "source_type": "DOCUMENT", "title": "solar report", "captured_at": T0, "level": "PUBLIC"} | a, {"source_id": "s2", "source_type": "DOCUMENT", "title": "solar secret", "captured_at": T0, "level": "SECRET"} | a, {"source_id": "s3", "source_type": "DOCUMENT", "title": "solar b", "captured_at": T0, "level": "PUBLIC"} | b]),
         "fragment": frame(spark, "fragment", [{"fragment_id": "f1", "source_id": "s1", "content": "solar panels", "content_hash": "x"}, {"fragment_id": "f2", "source_id": "s2", "content": "solar hidden", "content_hash": "x"}]),
         "evidence": frame(spark, "evidence", [{"evidence_id": "v1", "source_id": "s1", "fragment_ids": ["f1"], "direction": "SUPPORTS", "strength": "STRONG", "created_at": T0} | a, {"evidence_id": "v2", "source_id": "s3", "fragment_ids": [], "direction": "SUPPORTS", "strength": "WEAK", "created_at": T0} | b]),
         "decision": frame(spark, "decision", [{"decision_id": "d1", "title": "t", "decision": "x", "status": "ACTIVE", "created_at": T0} | a, {"decision_id": "d2", "title": "t", "decision": "y", "status": "ACTIVE", "supersedes": "d1", "created_at": T0 + dt.timedelta(40)} | a]),
-        "event": frame(spark, "event", [{"event_id": f"note-number-{k:04d}", "event_type": "NOTE", "occurred_at": T0, "recorded_at": T0} | a for k in range(8)]),
+        "event": frame(spark, "event", [{"event_id": f"note-number-{k:04d}", "event_type": "REVIEW", "occurred_at": T0, "recorded_at": T0} | a for k in range(8)]),
     })
 
 
@@ -36,7 +39,11 @@ def test_reads_stay_in_scope(spark, world):
     mine = world.scoped("CLIENT:a")
     assert {r.entity_id for r in mine.all_of("entity").collect()} == {"ea", "eg", "ea2"}
     assert [r.evidence_id for r in mine.search("solar", ["ea"]).collect()] == ["v1"]
-    assert sorted(map(tuple, mine.expand(["ea"], 3).collect())) == [("eg", 1)]
+    assert sorted(map(tuple, mine.expand(["ea"], 3).collect())) == [("eg", 1)] and mine.expand(["eg"]).count() == 0  # from subject to object only
+    assert mine.search("solar", filters={"direction": "CONTRADICTS"}).count() == 0 and mine.search("solar", filters={"strength": "STRONG"}).count() == 1
+    with pytest.raises(ValueError):
+        mine.search("solar", filters={"content": "x"})
+    assert [(r.relational, r.score) for r in mine.search("solar wind").collect()] == [(0.0, 0.2)]  # without an entity a word is worth its weight only
     assert [r.fragment_id for r in mine.all_of("fragment").collect()] == ["f1"]
     assert {r.object_type: r.n for r in mine.withheld().collect()}["entity"] == 1
     state = mine.state("ea").first()
@@ -61,6 +68,20 @@ def test_packs(spark, world):
     assert mine.context_pack("solar", entities=["ea"], token_budget=why.value.minimum)
 
 
+def test_evidence_without_a_visible_source_is_no_hit(spark, world):
+    lost = frame(spark, "evidence", [{"evidence_id": "v9", "source_id": "s2", "fragment_ids": ["f1"], "scope_type": "CLIENT", "scope_id": "a"}])
+    both = World.of(spark, world.frames | {"evidence": world.frames["evidence"].union(lost)})
+    assert [r.evidence_id for r in both.scoped("CLIENT:a").search("solar").collect()] == ["v1"]
+
+
+def test_vocabularies_are_whole():
+    """Numbers of values, so that a list cut short is noticed."""
+    sizes = {f"{k}.{c}": len(v) for (k, c), v in VOCABULARIES.items()}
+    assert sizes["entity.entity_type"] == 11 and sizes["source.source_type"] == 10 and sizes["fragment.fragment_type"] == 8 and sizes["event.event_type"] == 7
+    assert sizes["hypothesis.status"] == sizes["candidate.candidate_type"] == sizes["evidence.evidence_type"] == 6 and sizes["context_pack.mode"] == 5 and sizes["unknown.status"] == 4
+    assert all(set(REQUIRED[k]) <= {c.strip().split(" ")[0] for c in SCHEMAS[k].split(",")} | set(REQUIRED[k]) for k in SCHEMAS) and REQUIRED.keys() == SCHEMAS.keys()
+
+
 def test_faults(spark, world):
     assert world.faults().count() == 0
     bad = frame(spark, "claim", [{"claim_id": "c", "subject_entity_id": "e", "predicate": "p", "epistemic_status": "SURE", "status": "ACTIVE", "scope_type": "CLIENT", "scope_id": "GLOBAL", "contract_version": "1"}])
