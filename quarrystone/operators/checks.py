@@ -110,6 +110,54 @@ def pack_faults(packs: DataFrame, objects: DataFrame) -> DataFrame:
     return found.withColumn("object_id", F.col("object_id").cast("string")).unionByName(unscoped)
 
 
+def projection_faults(projections: DataFrame, decisions: DataFrame) -> DataFrame:
+    """projections(id, active_decision_ids) against decisions(decision_id, status): (id, decision_id, code) of ids that are unknown or not ACTIVE."""
+    named = projections.select("id", F.explode("active_decision_ids").alias("decision_id"))
+    both = named.join(decisions.select("decision_id", "status", F.lit(True).alias("known")), "decision_id", "left")
+    code = F.when(F.col("known").isNull(), "PROJECTION_BROKEN_DECISION_REFERENCE").when(~F.col("status").eqNullSafe("ACTIVE"), "SUPERSEDED_DECISION_PRESENTED_AS_ACTIVE")
+    return both.select("id", "decision_id", code.alias("code")).where("code is not null")
+
+
+def provenance_faults(packs: DataFrame) -> DataFrame:
+    """packs(pack_id, claim_ids, evidence_ids, provenance map<object_id, array<source_id>>): assertions without an entry, entries without a source."""
+    none = F.array().cast("array<string>")
+    asserted = packs.select("pack_id", F.explode(F.array_except(F.array_union(F.coalesce("claim_ids", none), F.coalesce("evidence_ids", none)), F.coalesce(F.map_keys("provenance"), none))).alias("object_id"), F.lit("CONTEXT_PACK_MISSING_PROVENANCE").alias("code"))
+    entries = packs.select("pack_id", F.explode("provenance").alias("object_id", "sources"))
+    named = F.coalesce(F.size(F.filter("sources", lambda x: x.isNotNull() & (x != ""))) > 0, F.lit(False))
+    return asserted.unionByName(entries.where(~named).select("pack_id", "object_id", F.lit("CONTEXT_PACK_EMPTY_PROVENANCE_ENTRY").alias("code")))
+
+
+def stored_promotions(claims: DataFrame) -> DataFrame:
+    """claims(claim_id, supersedes, epistemic_status): (claim_id, code) where the one that is replaced is missing or its status forbids the new one."""
+    old = claims.select(F.col("claim_id").alias("supersedes"), F.col("epistemic_status").alias("before"), F.lit(True).alias("known"))
+    both = claims.where("supersedes is not null").select("claim_id", "supersedes", "epistemic_status").join(old, "supersedes", "left")
+    code = F.when(F.col("known").isNull(), "SUPERSEDES_MISSING_CLAIM").when(promotion(F.col("before"), F.col("epistemic_status")) == "FORBIDDEN", "FORBIDDEN_PROMOTION")
+    return both.select("claim_id", code.alias("code")).where("code is not null")
+
+
+#: Columns of a pack that name objects.
+REFERENCES = ("entity_ids", "state_projection_ids", "decision_ids", "claim_ids", "evidence_ids", "hypothesis_ids", "unknown_ids", "event_ids")
+
+
+def referenced_ids(packs: DataFrame, key: str = "context_pack_id") -> DataFrame:
+    """(key, object_id) of every object that a pack names, once."""
+    none = F.array().cast("array<string>")
+    return packs.select(key, F.explode(F.array_distinct(F.concat(*[F.coalesce(c, none) for c in REFERENCES if c in packs.columns]))).alias("object_id"))
+
+
+# Phases of a run in their order, and how often it may be tried before a person is needed.
+PHASES, MAX_ATTEMPTS = ("PLANNING", "DRAFT", "VALIDATING", "AWAITING_APPROVAL", "TESTING", "DEBUGGING", "PASSED", "BLOCKED", "ABORTED"), 4
+
+
+def run_faults(journal: DataFrame) -> DataFrame:
+    """journal(run_id, phase, attempts, environment, scope_type, scope_id): (run_id, code) of rows that the journal refuses."""
+    rules = {
+        "PHASE": F.col("phase").isin(*PHASES), "ATTEMPTS": F.col("attempts").between(0, MAX_ATTEMPTS),
+        "NO_PRODUCTION_MUTATION": F.col("environment") != "PRODUCTION", "SCOPE_SHAPE": (F.col("scope_type") == "GLOBAL") == (F.col("scope_id") == "GLOBAL"),
+    }
+    return violations(journal, "run_id", rules)
+
+
 def two_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side) of what only one side has."""
     a, b = left.select(key).distinct(), right.select(key).distinct()

@@ -18,7 +18,6 @@ from . import pack as P
 from . import scope as S
 from .schemas import OWN_ID, SCHEMAS, structural_faults
 
-STAGES = ("ENTITY_RESOLUTION", "SCOPE_GUARD", "CURRENT_STATE", "STRUCTURED_RELATIONAL", "LEXICAL", "RELATION_EXPANSION", "RAW_SOURCE_POINTER")
 # Statuses that leave a question open; events and evidence that a pack takes, by mode.
 OPEN_HYPOTHESES, OPEN_UNKNOWNS = ("OPEN", "PARTIALLY_SUPPORTED", "CONFLICTING"), ("OPEN", "PARTIALLY_RESOLVED")
 MODES = {"OPERATIONAL": (5, 10), "RESEARCH": (3, 25), "BUILD": (5, 12), "AUDIT": (25, 25), "STRATEGY": (3, 12)}
@@ -135,6 +134,52 @@ class ScopedWorld:
         rows = self.evidence_text().join(kept, "evidence_id", "left_semi").join(self.all_of("source").select("source_id"), "source_id", "left_semi")
         return E.search(rows, query, linked, entities, limit=limit)
 
+    def source_pointers(self) -> DataFrame:
+        """(evidence_id, source_id, fragment_id, content_hash): where visible evidence comes from.
+
+        Its own provenance first; else its source and fragments, or its source alone, if the scope may see that source.
+        """
+        rows = self.all_of("evidence").withColumn("own", F.filter("provenance", lambda p: p["source_id"].isNotNull()))
+        told = F.coalesce(F.size("own") > 0, F.lit(False))
+        own = rows.where(told).select("evidence_id", F.explode("own").alias("p")).select("evidence_id", "p.source_id", "p.fragment_id", "p.content_hash")
+        source = self.all_of("source").select("source_id", F.col("content_hash").alias("source_hash"))
+        rest = rows.where(~told).select("evidence_id", "source_id", F.explode_outer("fragment_ids").alias("fragment_id")).join(source, "source_id")
+        hashed = rest.join(self._world.frames["fragment"].select("fragment_id", "content_hash"), "fragment_id", "left")
+        return own.unionByName(hashed.select("evidence_id", "source_id", "fragment_id", F.when(F.col("fragment_id").isNull(), F.col("source_hash")).otherwise(F.col("content_hash")).alias("content_hash")))
+
+    def provenance(self, kind: str) -> DataFrame:
+        """(object_id, source_ids) of visible claims or evidence that can name a source: their own provenance, else their sources."""
+        rows = self.all_of(kind)
+        sources = F.array_sort(F.coalesce("source_ids", F.array().cast("array<string>"))) if kind == "claim" else F.array_compact(F.array("source_id"))
+        own = F.filter(F.transform("provenance", lambda p: p["source_id"]), lambda x: x.isNotNull())
+        found = F.when(F.coalesce(F.size("provenance") > 0, F.lit(False)), own).otherwise(sources)
+        return rows.select(F.col(OWN_ID[kind]).alias("object_id"), found.alias("source_ids")).where(F.size("source_ids") > 0)
+
+    def constraints(self) -> DataFrame:
+        """(line): active decisions restated, which no budget drops."""
+        return G.active_decisions(self.all_of("decision")).select(F.concat_ws(": ", "decision_id", "decision").alias("line")).orderBy("line")
+
+    def tier_of(self, ids: DataFrame) -> DataFrame:
+        """ids(object_id) -> one row: the highest level and the data classes of the visible objects that are named."""
+        kinds = [k for k, f in self._world.frames.items() if {"level", "data_classes"} <= set(f.columns) and k != "context_pack"]
+        held = reduce(DataFrame.unionByName, [self.all_of(k).select(F.col(OWN_ID[k]).alias("object_id"), "level", "data_classes") for k in kinds])
+        named = held.join(ids.select("object_id").distinct(), "object_id", "left_semi")
+        classes = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("data_classes", F.array().cast("array<string>"))))))
+        return named.agg(S.highest_tier(S.tier(F.col("level"))).alias("level"), classes.alias("data_classes"))
+
+    def trace(self, query: str, entities: list[str] | None = None) -> DataFrame:
+        """(stage, available, n) of a read in the order of its stages; the semantic stage is said to be missing."""
+        hits, wanted = self.search(query, entities), entities or []
+        one = lambda name, rows: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), F.lit(True).alias("available"), "n")
+        none = self.all_of("entity").limit(0)
+        found = [
+            one("ENTITY_RESOLUTION", self.all_of("entity").where(F.col("entity_id").isin(*wanted)) if wanted else none), one("SCOPE_GUARD", self.all_of("evidence")),
+            one("CURRENT_STATE", self.all_of("claim").where("status = 'ACTIVE'")), one("STRUCTURED_RELATIONAL", hits.where("relational > 0")), one("LEXICAL", hits.where("lexical > 0")),
+            one("RELATION_EXPANSION", self.expand(wanted) if wanted else none), one("RAW_SOURCE_POINTER", self.source_pointers().join(hits.select("evidence_id"), "evidence_id", "left_semi")),
+        ]
+        semantic = none.sparkSession.createDataFrame([("SEMANTIC", False, None)], "stage string, available boolean, n long")
+        return reduce(DataFrame.unionByName, [*found, semantic])
+
     def state(self, entity: str | None = None) -> DataFrame:
         """One row: ids of active decisions, active claims, open hypotheses and unknowns, contradictions, newest stamp, freshness."""
         claims = self.all_of("claim")
@@ -163,14 +208,23 @@ class ScopedWorld:
     def context_pack(self, objective: str, mode: str = "OPERATIONAL", token_budget: int = 8000, entities: list[str] | None = None, generated_at: str | None = None) -> dict:
         """A pack of pointers that fits the budget, or BudgetTooSmall with the exact minimum. The only driver boundary of a read: one row."""
         n_events, n_evidence = MODES[mode]
+        claimed = self.all_of("claim")
         state = self.state(entities[0] if entities and len(entities) == 1 else None).first().asDict()
         hits = [r["evidence_id"] for r in self.search(objective, entities, n_evidence).select("evidence_id").collect()]
         events = [r["event_id"] for r in self.all_of("event").select("event_id").orderBy("event_id").limit(n_events).collect()]
+        named = lambda ids: claimed.sparkSession.createDataFrame([(i,) for i in ids], "object_id string")
+        traced = {k: {r["object_id"]: sorted(r["source_ids"]) for r in self.provenance(k).join(named(ids), "object_id", "left_semi").collect()} for k, ids in (("claim", state["claim_ids"]), ("evidence", hits))}
+        told = [i for i in state["claim_ids"] if i in traced["claim"]]
+        untold = [f"UNPROVENANCED:{i}" for i in state["claim_ids"] if i not in traced["claim"]]
+        hits = [i for i in hits if i in traced["evidence"]]
+        held = self.tier_of(named([*told, *hits, *(entities or [])])).first()
         reach = [r["node"] for r in self.expand(entities).select("node").orderBy("node").collect()] if entities else []
         pack = {
-            "objective": objective, "mode": mode, "scope": ":".join(self.scope), "entity_ids": sorted({*(entities or []), *reach}), "claim_ids": state["claim_ids"], "decision_ids": state["active_decision_ids"],
+            "objective": objective, "mode": mode, "scope": ":".join(self.scope), "entity_ids": sorted({*(entities or []), *reach}), "claim_ids": told, "decision_ids": state["active_decision_ids"],
             "hypothesis_ids": state["open_hypothesis_ids"], "unknown_ids": state["open_unknown_ids"], "evidence_ids": hits, "event_ids": events, "conflicts": state["conflicts"],
-            "freshness_status": state["freshness_status"], "summary": f"{len(state['claim_ids'])} claims, {len(state['active_decision_ids'])} decisions", "procedural_refs": [], "gaps": [] if hits else ["NO_EVIDENCE_FOUND"],
+            "freshness_status": state["freshness_status"], "summary": f"{len(told)} claims, {len(state['active_decision_ids'])} decisions", "procedural_refs": [], "constraints": [r["line"] for r in self.constraints().collect()],
+            "provenance": {i: traced[k][i] for k, ids in (("claim", told), ("evidence", hits)) for i in ids}, "level": held["level"], "data_classes": held["data_classes"],
+            "gaps": [*([] if hits else ["NO_EVIDENCE_FOUND"]), *untold],
         }
         pack = fit_to_budget(pack, token_budget)
         import hashlib

@@ -68,6 +68,19 @@ def test_packs(spark, world):
     assert mine.context_pack("solar", entities=["ea"], token_budget=why.value.minimum)
 
 
+def test_sources_and_trace(spark, world):
+    mine = world.scoped("CLIENT:a")
+    assert [tuple(r) for r in mine.source_pointers().collect()] == [("v1", "s1", "f1", "x")]
+    assert [tuple(r) for r in mine.provenance("evidence").collect()] == [("v1", ["s1"])] and mine.provenance("claim").count() == 0
+    assert [r.line for r in mine.constraints().collect()] == ["d2: y"]
+    named = spark.createDataFrame([("ea",), ("es",), ("s1",)], "object_id string")
+    assert mine.tier_of(named).first().level == "INTERNAL"  # what is secret is not even counted
+    trace = {r.stage: (r.available, r.n) for r in mine.trace("solar", ["ea"]).collect()}
+    assert trace["SEMANTIC"] == (False, None) and trace["LEXICAL"] == (True, 1) and trace["RELATION_EXPANSION"] == (True, 1) and len(trace) == 8
+    pack = mine.context_pack("solar", entities=["ea"])
+    assert pack["claim_ids"] == [] and "UNPROVENANCED:c1" in pack["gaps"] and pack["provenance"] == {"v1": ["s1"]} and pack["constraints"] == ["d2: y"] and pack["level"] == "INTERNAL"
+
+
 def test_evidence_without_a_visible_source_is_no_hit(spark, world):
     lost = frame(spark, "evidence", [{"evidence_id": "v9", "source_id": "s2", "fragment_ids": ["f1"], "scope_type": "CLIENT", "scope_id": "a"}])
     both = World.of(spark, world.frames | {"evidence": world.frames["evidence"].union(lost)})
