@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,20 +57,36 @@ def all_attempts(text: Column, rules: tuple = INSTRUCTION_RULES) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in rules]), lambda n: n.isNotNull())
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for a row, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _cards_out(text: Column, pattern: str, new: str) -> Column:
+    """text, which must be cheap to name, without the numbers that pass the check digit; longer ones first, so that none is replaced inside another."""
     found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")))
-    # Longer matches first, so that none is replaced inside another.
-    order = F.transform(F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
-    return F.when(F.size(order) > 0, F.aggregate(order, text, lambda t, m: F.replace(t, m, F.lit(new)))).otherwise(text)
+    order = F.array_sort(F.transform(found, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m"))))
+    return F.aggregate(order, text, lambda t, x: F.replace(t, x["m"], F.lit(new)))
 
 
 def minimised(text: Column, declared: str = "INTERNAL", rules: tuple = PII_RULES) -> Column:
-    """struct<text, redactions, data_class>: personal data replaced, the rules that changed something, the widened class."""
-    clean, changed = text, []
-    for name, pattern, new in rules:
-        after = _cards_out(clean, pattern, new) if name == "credit_card" else F.regexp_replace(clean, pattern, new)
-        changed.append(F.when(after != clean, F.lit(name)))
-        clean = after
-    redactions = F.filter(F.array(*changed), lambda n: n.isNotNull())
-    wider = F.when((F.size(redactions) > 0) & (F.lit(CLASSES.index(declared)) < CLASSES.index("PII")), "PII").otherwise(declared)
-    return F.struct(clean.alias("text"), redactions.alias("redactions"), wider.alias("data_class"))
+    """struct<text, redactions, data_class>: personal data replaced, the rules that changed something, the widened class.
+
+    Each rule reads the text that the rule before has left, once.
+    """
+    wider = CLASSES.index(declared) < CLASSES.index("PII")
+
+    def after(rest: tuple, clean: Column, redactions: Column) -> Column:
+        if not rest:
+            return F.struct(clean.alias("text"), redactions.alias("redactions"), F.when((F.size(redactions) > 0) & F.lit(wider), "PII").otherwise(declared).alias("data_class"))
+        (name, pattern, new), *others = rest
+
+        def told(state: Column) -> Column:
+            return after(tuple(others), state["text"], state["redactions"])
+
+        def changed(new_text: Column) -> Column:
+            return F.struct(new_text.alias("text"), F.when(new_text != clean, F.array_append(redactions, F.lit(name))).otherwise(redactions).alias("redactions"))
+
+        return once(once(_cards_out(clean, pattern, new) if name == "credit_card" else F.regexp_replace(clean, pattern, new), changed), told)
+
+    return once(F.struct(text.alias("text"), F.array().cast("array<string>").alias("redactions")), lambda s: after(tuple(rules), s["text"], s["redactions"]))
