@@ -105,6 +105,23 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+#: Sites are counted exactly here; a document's lines are its rows, so removal is an aggregate of those that stay.
+OP4_SQL = """
+with d as (select doc_id, coalesce(source, '') as site, text, length(text) as size from documents),
+l as (select doc_id, site, size, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from d where text is not null),
+k as (select *, regexp_matches(line, '[^ \t\x0B\f\r]') as filled, md5(trim(line, ' ' || chr(9) || chr(13))) as key,
+  len(regexp_extract_all(line, '[^ \t\x0B\f\r]+')) < 5 as short from l),
+marks as (select key from k where filled group by key, short having count(distinct site) >= case when short then 10 else 5 end),
+m as (select k.*, filled and key in (select key from marks) as marked from k),
+pages as (select doc_id, bool_and(marked) filter (where filled) as whole, sum(length(line)) filter (where marked) > 0.5 * min(size) as copied from m group by doc_id having count(*) filter (where marked) > 0),
+stands as (select distinct m.key, doc_id, whole from m join pages using (doc_id) where marked and (whole or copied)),
+firsts as (select key, arg_min(doc_id, (not whole, doc_id)) as doc_id from stands group by key having not bool_or(whole)),
+goes as (select m.doc_id, m.pos from m join pages p on p.doc_id = m.doc_id left join firsts f on f.key = m.key and f.doc_id = m.doc_id where m.marked and not p.whole and f.key is null),
+rest as (select l.doc_id, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as text, count(g.pos)::int as n from l left join goes g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)
+select d.doc_id, case when n > 0 then rest.text else d.text end as text, coalesce(n, 0)::int as n_lines_removed from d left join rest using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -117,4 +134,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_bagminhash": op10_bagminhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op4_line_spread": OP4_SQL}
