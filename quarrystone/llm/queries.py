@@ -89,7 +89,8 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and both distances for every document."""
-    return divergence.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    rows = divergence.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,29 @@ select d.doc_id, case when n > 0 then rest.text else d.text end as text, coalesc
 """
 
 
+#: Windows are compared by their words; distances are sums over the histograms' places, rounded as the query rounds them.
+OP8_SQL = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+lists(lang, words) as (values {", ".join(f"('{k}', {list(v)})" for k, v in divergence.COMMON_WORDS.items())}),
+c as (select r, doc_id, lang, text, length(text) as n_chars, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+g as (select r, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select r, w, unnest(range(1, len(w) - 1)) as i from c)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from g) where n > 1),
+repeated as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as j from twice) group by r),
+m as (select c.r, doc_id, c.lang, len(w) as n_words, n_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  n_chars - len(regexp_extract_all(text, '[\\x20\\x09-\\x0D]')) as word_chars, len(regexp_extract_all(text, '\\p{{Ll}}')) as n_lower, len(regexp_extract_all(text, '\\p{{Lu}}')) as n_upper, len(regexp_extract_all(text, '[0-9]')) as n_digit,
+  list_transform(words, lambda x: len(list_filter(w, lambda y: lower(y) = x))) as common from c left join repeated using (r) left join lists on lists.lang = c.lang),
+places as (select r, lang, 'c' as kind, unnest(range(6)) as pos, unnest([n_chars - word_chars, n_symbols, n_lower, n_upper, n_digit, word_chars - n_symbols - n_lower - n_upper - n_digit]) as v from m
+  union all select r, lang, 'w', unnest(range({divergence.N_COMMON + 1})), unnest(list_append(common, n_words - list_sum(common)::bigint)) from m where common is not null),
+p as (select r, lang, kind, pos, v / nullif(sum(v) over (partition by r, kind), 0) as p from places),
+q as (select lang, kind, pos, v / nullif(sum(v) over (partition by lang, kind), 0) as q from (select lang, kind, pos, sum(v) as v from places group by all)),
+j as (select r, kind, sqrt(greatest(0, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)) as js from p join q using (lang, kind, pos) where p is not null and q is not null group by all),
+s as (select m.*, case when n_chars >= {divergence.MIN_CHARS} then a.js end as char_distance, case when n_words >= {divergence.MIN_COMPARED_WORDS} then b.js end as word_distance, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+  from m left join j a on a.r = m.r and a.kind = 'c' left join j b on b.r = m.r and b.kind = 'w')
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(char_distance > {divergence.MAX_CHAR_DISTANCE}, false) and not coalesce(word_distance > {divergence.MAX_WORD_DISTANCE}, false) as kept, round(char_distance, 9) as char_distance, round(word_distance, 9) as word_distance from s
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -134,4 +158,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_bagminhash": op10_bagminhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op4_line_spread": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op4_line_spread": OP4_SQL, "op8_divergence": OP8_SQL}

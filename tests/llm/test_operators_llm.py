@@ -93,6 +93,28 @@ def test_ordinal_classifier_learns_grades(spark):
     assert none.kept.all()
 
 
+def test_ordinal_scores_by_brute_force(spark):
+    """Both numbers of every document from its words one by one, whatever the partitions."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(str(w) for w in rng.choice(["Alpha", "beta!!", "gamma#", "|", "LOUD!", "runnings", "x"], int(n))) for n in rng.integers(1, 200, 80)] + [None, "", " ", "word " * 60_000]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts).repartition(9)
+    model = quality_ordinal.OrdinalModel(rng.normal(size=quality_ordinal.N_FEATURES), np.array([-0.5, 0.75]))
+    model.weights = model.weights.astype(np.float32).astype(float)
+    crc = lambda b: zlib.crc32(b) % quality_ordinal.N_WORD
+    for r in quality_ordinal.score(docs, model).collect():
+        words = (texts[r.doc_id] or "").split()
+        cores = [re.sub(r"^\W+|\W+$", "", w).lower() for w in words]
+        places = {crc(c.encode()) for c in cores if c} | {crc(b"^" + c[:4].encode()) for c in cores if len(c) >= 6}
+        tests = [[any(c in "#*$%&<>^~" for c in w) for w in words], [w.isupper() and len(c) > 1 and c != w for w, c in zip(words, cores, strict=True)], [a == b for a, b in zip(cores, cores[1:], strict=False)], [w == "|" for w in words], ["!!" in w for w in words]]
+        for k, hits in enumerate(tests if words else []):
+            share = sum(hits) / len(hits) if hits else 0
+            places.add(quality_ordinal.N_WORD + k * quality_ordinal.LEVELS + (0 if not share else min(max(math.ceil(math.log2(share * 256)), 1), quality_ordinal.LEVELS - 1)))
+        s = sum(model.weights[p] for p in places)
+        tails = [1 / (1 + math.exp(t - s)) for t in model.thetas]
+        assert r.expected_grade == pytest.approx(sum(tails), abs=1e-4) and r.tail_probability == pytest.approx(tails[-1], abs=1e-4), texts[r.doc_id]
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
@@ -248,6 +270,36 @@ def test_kernel_language(spark):
     assert set(nothing.lang_pred) == {"und"}
 
 
+def test_kernel_language_scores_by_brute_force(spark):
+    """Every document's language and score from sets of n-grams, landmark by landmark."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdeé" if i % 2 else "stuvwß"), 4)) for _ in range(20)) for i in range(60)] + ["a", "é!", None, "7", "Word " * 30_000]
+    docs = spark.createDataFrame([(i, t, "x" if i % 2 else "y") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(7)
+    model = kernel_lang.train(docs)
+    held = [set(np.flatnonzero(model.landmarks[:, j])) for j in range(model.landmarks.shape[1])]
+
+    def places(text):
+        low = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+        found = set()
+        for n in (1, 2, 3, 4):
+            for at in range(min(len(low), 10_000) - n + 1):  # the long text repeats itself
+                gram = ord(low[at])
+                for c in low[at + 1 : at + n]:
+                    gram = (gram * 0x100000001B3 + ord(c)) % 2**64
+                x = (gram * 0x9E3779B97F4A7C15 + n) % 2**64
+                found.add(((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 49)
+        return found if low.strip() else set()
+
+    for r in kernel_lang.identify(docs, model).collect():
+        mine = places(texts[r.doc_id])
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        margins = np.array([len(mine & z) / math.sqrt(len(mine) * len(z)) for z in held]) @ model.weights * model.scale
+        p = np.exp(margins) / np.exp(margins).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-4)
+
+
 def test_kernel_language_learns_every_language(spark):
     docs = spark.createDataFrame([(i, f"text {chr(0x4E00 + i % 210) * 3} here", f"l{i % 210}") for i in range(420)], "doc_id long, text string, lang string")
     seen = {f"l{i % 210}" for i in range(420) if zlib.crc32(str(i).encode()) % 5}
