@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packs, reads, work
+from . import packs, reads, work, worlds
 
-QUERIES: dict = {**reads.QUERIES, **work.QUERIES, **packs.QUERIES}
-ORACLE_SQL: dict[str, str] = {**reads.ORACLE_SQL, **work.ORACLE_SQL, **packs.ORACLE_SQL}
+QUERIES: dict = {**reads.QUERIES, **work.QUERIES, **packs.QUERIES, **worlds.QUERIES}
+ORACLE_SQL: dict[str, str] = {**reads.ORACLE_SQL, **work.ORACLE_SQL, **packs.ORACLE_SQL, **worlds.ORACLE_SQL}
