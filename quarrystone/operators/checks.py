@@ -82,28 +82,34 @@ def secret_references(rows: DataFrame, key: str, references: str, levels: DataFr
     return named.join(levels.where("level = 'SECRET'").select("ref"), "ref", "left_semi").select("id", "ref").distinct()
 
 
+def crossing(own_type: Column, own_id: Column, its_type: Column, its_id: Column) -> Column:
+    """The code of a reference into another scope that is not global, or null; from client to client it is worse."""
+    other = (own_type != its_type) | (own_id != its_id)
+    return F.when(other & (its_type != "GLOBAL"), F.when((own_type == "CLIENT") & (its_type == "CLIENT"), "CROSS_CLIENT_REFERENCE").otherwise("CROSS_SCOPE_REFERENCE"))
+
+
 def evidence_faults(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, code): support that is missing, of another scope, or too general to ground an observation."""
-    named = claims.select("claim_id", "epistemic_status", "subject_entity_id", F.col("scope_id").alias("c_scope"), F.explode("supporting_evidence_ids").alias("evidence_id"))
+    named = claims.select("claim_id", "epistemic_status", F.col("scope_type").alias("c_type"), F.col("scope_id").alias("c_scope"), F.explode("supporting_evidence_ids").alias("evidence_id"))
     both = named.join(evidence.select("evidence_id", F.col("scope_type").alias("e_type"), F.col("scope_id").alias("e_scope"), "evidence_type", F.col("subject_entity_id").alias("e_subject"), F.lit(True).alias("known")), "evidence_id", "left")
     observed = F.col("epistemic_status").isin(*NEED_PROVENANCE)
     codes = F.array(
         F.when(F.col("known").isNull(), F.lit("CLAIM_BROKEN_EVIDENCE_REFERENCE")),
-        F.when(F.col("known") & (F.col("e_type") != "GLOBAL") & (F.col("e_scope") != F.col("c_scope")), F.lit("CROSS_SCOPE_REFERENCE")),
+        F.when(F.col("known"), crossing(F.col("c_type"), F.col("c_scope"), F.col("e_type"), F.col("e_scope"))),
         F.when(F.col("known") & observed & (F.col("evidence_type") == "PUBLIC_RESEARCH"), F.lit("PUBLIC_RESEARCH_CANNOT_GROUND_OBSERVATION")),
-        F.when(F.col("known") & observed & F.col("e_subject").isNull() & F.col("subject_entity_id").isNotNull() & (F.col("evidence_type") != "PUBLIC_RESEARCH"), F.lit("GENERIC_EVIDENCE_CANNOT_GROUND_ENTITY_OBSERVATION")),
+        F.when(F.col("known") & observed & (F.col("e_type") == "GLOBAL") & (F.col("c_type") != "GLOBAL") & (F.coalesce("e_subject", F.lit("")) == ""), F.lit("GENERIC_EVIDENCE_CANNOT_GROUND_ENTITY_OBSERVATION")),
     )
     return both.select("claim_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code")).distinct()
 
 
 def pack_faults(packs: DataFrame, objects: DataFrame) -> DataFrame:
     """packs(pack_id, scope_type, scope_id, refs, provenance_ids) against objects(object_id, level, scope_type, scope_id, asserts)."""
-    refs = packs.select("pack_id", F.col("scope_id").alias("p_scope"), "provenance_ids", F.explode("refs").alias("object_id"))
+    refs = packs.select("pack_id", "scope_type", F.col("scope_id").alias("p_scope"), "provenance_ids", F.explode("refs").alias("object_id"))
     both = refs.join(objects.select("object_id", "level", F.col("scope_type").alias("o_type"), F.col("scope_id").alias("o_scope"), "asserts"), "object_id")
     codes = F.array(
         F.when(F.col("level") == "SECRET", F.lit("SECRET_IN_CONTEXT_PACK")),
-        F.when((F.col("o_type") != "GLOBAL") & (F.col("o_scope") != F.col("p_scope")), F.lit("CROSS_SCOPE_REFERENCE")),
-        F.when(F.col("asserts") & ~F.array_contains("provenance_ids", F.col("object_id")), F.lit("CONTEXT_PACK_MISSING_PROVENANCE")),
+        F.when(F.col("scope_type").isNotNull(), crossing(F.col("scope_type"), F.col("p_scope"), F.col("o_type"), F.col("o_scope"))),
+        F.when(F.col("asserts") & ~F.coalesce(F.array_contains("provenance_ids", F.col("object_id")), F.lit(False)), F.lit("CONTEXT_PACK_MISSING_PROVENANCE")),
     )
     found = both.select("pack_id", "object_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
     unscoped = packs.where("scope_type is null or scope_id is null").select("pack_id", F.lit(None).cast("string").alias("object_id"), F.lit("PACK_SCOPE_MISSING").alias("code"))

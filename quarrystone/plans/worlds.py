@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import semantic as M
 from ..operators.schemas import OWN_ID, SCHEMAS
 from ..operators.world import World
 from ..sources.tables import table
@@ -133,6 +134,16 @@ def world_faults(spark, folder):
     return world(spark, folder).faults().groupBy("object_type", "code").agg(F.count("*").alias("n"))
 
 
+def semantic_faults(spark, folder):
+    """How often the objects of the world, claims with every status, break each rule of meaning."""
+    frames = dict(world(spark, folder).frames)
+    number = F.substring("claim_id", 2, 12).try_cast("long")
+    status = F.get(F.array(*map(F.lit, C.STATUSES)), (number % 9).cast("int"))
+    value = F.when(number % 11 == 0, F.lit("NO_EVIDENCE_FOUND")).when(number % 13 == 0, F.lit("false")).when(number % 17 == 0, F.lit('{"a": [{ "Tok\\u0065n" : 1}]}')).when(number % 19 == 0, F.lit('{"a": "\\"token\\":"}')).otherwise(F.col("object_value"))
+    frames["claim"] = frames["claim"].withColumns({"epistemic_status": status, "object_value": value, "data_classes": F.when(number % 23 == 0, F.array(F.lit("SECRET")))})
+    return M.worst_first(M.faults(frames))
+
+
 def pack_references(spark, folder):
     """Orders as packs: every object that one names, once."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("context_pack_id"))
@@ -142,7 +153,7 @@ def pack_references(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    world_source_pointers, world_provenance, world_unprovenanced, world_constraints, world_relations, world_expansion, world_filtered_search, world_withheld, world_delta, world_tier, world_state, world_trace, world_faults, pack_references,
+    world_source_pointers, world_provenance, world_unprovenanced, world_constraints, world_relations, world_expansion, world_filtered_search, world_withheld, world_delta, world_tier, world_state, world_trace, world_faults, semantic_faults, pack_references,
 )}
 
 _MINE = "case when {0} % 3 = 0 then 'GLOBAL' when {0} % 3 = 1 then 'src3' else 'src4' end in ('GLOBAL', 'src3')"
@@ -156,6 +167,8 @@ de_active as (select * from de where active and decision_id not in (select super
 pointers as (select evidence_id, source as source_id, 'f' || doc_id as fragment_id, sha256(text) as content_hash from ev where doc_id % 5 = 0
   union all select evidence_id, source, fragment_id, case when fragment_id is null then sha256(source) else sha256(text) end from ev join src using (source) where doc_id % 5 <> 0),
 edges as (select subject as src, object as dst from cl where object in (select entity_id from en))"""
+_STATUSES = "['" + "','".join(C.STATUSES) + "']"
+_SCOPE_ID = "case when {0} % 3 = 0 then 'GLOBAL' when {0} % 3 = 1 then 'src3' else 'src4' end"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
@@ -188,5 +201,15 @@ select (select {_IDS.format("decision_id")} from de_active) as active_decision_i
     "world_trace": f"""with {_WORLD}, {_hits(['nation', 'heed'], 25, 'true')} select 'ENTITY_RESOLUTION' as stage, true as available, count(*) as n from en where entity_id = 'e1' union all select 'SCOPE_GUARD', true, count(*) from ev
 union all select 'CURRENT_STATE', true, count(*) from cl where active union all select 'STRUCTURED_RELATIONAL', true, count(*) from hits where relational > 0 union all select 'LEXICAL', true, count(*) from hits where lexical > 0
 union all select 'RELATION_EXPANSION', true, count(distinct dst) from edges where src = 'e1' and dst <> 'e1' union all select 'RAW_SOURCE_POINTER', true, count(*) from pointers where evidence_id in (select evidence_id from hits) union all select 'SEMANTIC', false, null""",
+    "semantic_faults": f"""with cl as (select o_orderkey as n, {_STATUSES}[o_orderkey % 9 + 1] as status, o_orderkey % 2 = 0 as told, {_SCOPE_ID.format("o_orderkey")} as scope, o_orderkey % 97 as doc from orders),
+ev as (select doc_id, case when try_cast(substr(source, 4) as int) % 10 = 0 then 'GLOBAL' else source end as scope from documents),
+de as (select o_orderkey as n, o_orderstatus <> 'F' as active from orders), links as (select c.*, e.doc_id, e.scope as e_scope from cl c left join ev e on e.doc_id = c.doc),
+found as (select 'EPISTEMIC_PROVENANCE_REQUIRED' as code from cl where status in ('OBSERVED', 'MEASURED') and not told
+  union all select 'NO_EVIDENCE_FOUND_MISLABELLED' from cl where n % 11 = 0 and status <> 'UNKNOWN' union all select 'NO_EVIDENCE_SERIALIZED_AS_FALSE' from cl where n % 11 <> 0 and n % 13 = 0 and status = 'UNKNOWN'
+  union all select 'FORBIDDEN_FIELD' from cl where n % 11 <> 0 and n % 13 <> 0 and n % 17 = 0 union all select 'SENSITIVITY_AXIS_CONFLATED' from cl where n % 23 = 0
+  union all select 'CLAIM_BROKEN_EVIDENCE_REFERENCE' from links where doc_id is null union all select case when scope <> 'GLOBAL' then 'CROSS_CLIENT_REFERENCE' else 'CROSS_SCOPE_REFERENCE' end from links where e_scope <> scope and e_scope <> 'GLOBAL'
+  union all select 'GENERIC_EVIDENCE_CANNOT_GROUND_ENTITY_OBSERVATION' from links where e_scope = 'GLOBAL' and scope <> 'GLOBAL' and status in ('OBSERVED', 'MEASURED')
+  union all select case when o.n is null then 'SUPERSEDES_BROKEN_REFERENCE' else 'SUPERSEDED_DECISION_STILL_ACTIVE' end from de d left join de o on o.n = d.n - 1 where d.n % 7 = 0 and (o.n is null or o.active))
+select code, case when code in ('CROSS_CLIENT_REFERENCE', 'NO_EVIDENCE_SERIALIZED_AS_FALSE', 'FORBIDDEN_FIELD') then 'CRITICAL' else 'ERROR' end as severity, count(*) as n from found group by all""",
     "pack_references": """select distinct l_orderkey::varchar as context_pack_id, unnest(['p' || l_partkey, 's' || l_suppkey]) as object_id from lineitem""",
 }

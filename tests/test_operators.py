@@ -148,14 +148,14 @@ def test_store(spark, tmp_path):
 
 
 def test_checks(spark):
-    claims = spark.createDataFrame([("c1", "OBSERVED", "e", "a", ["x1"]), ("c2", "OBSERVED", "e", "a", ["x2", "x3"]), ("c3", "DECLARED", "e", "b", ["x1", "zz"])], "claim_id string, epistemic_status string, subject_entity_id string, scope_id string, supporting_evidence_ids array<string>")
+    claims = spark.createDataFrame([("c1", "OBSERVED", "e", "CLIENT", "a", ["x1"]), ("c2", "OBSERVED", "e", "CLIENT", "a", ["x2", "x3"]), ("c3", "DECLARED", "e", "CLIENT", "b", ["x1", "zz"]), ("c4", "DECLARED", "e", "PROJECT", "a", ["x1"])], "claim_id string, epistemic_status string, subject_entity_id string, scope_type string, scope_id string, supporting_evidence_ids array<string>")
     proof = spark.createDataFrame([("x1", "CLIENT", "a", "OWN", "e"), ("x2", "GLOBAL", "GLOBAL", "PUBLIC_RESEARCH", None), ("x3", "CLIENT", "a", "OWN", None)], "evidence_id string, scope_type string, scope_id string, evidence_type string, subject_entity_id string")
     assert sorted(map(tuple, checks.evidence_faults(claims, proof).collect())) == [
-        ("c2", "GENERIC_EVIDENCE_CANNOT_GROUND_ENTITY_OBSERVATION"), ("c2", "PUBLIC_RESEARCH_CANNOT_GROUND_OBSERVATION"), ("c3", "CLAIM_BROKEN_EVIDENCE_REFERENCE"), ("c3", "CROSS_SCOPE_REFERENCE"),
+        ("c2", "GENERIC_EVIDENCE_CANNOT_GROUND_ENTITY_OBSERVATION"), ("c2", "PUBLIC_RESEARCH_CANNOT_GROUND_OBSERVATION"), ("c3", "CLAIM_BROKEN_EVIDENCE_REFERENCE"), ("c3", "CROSS_CLIENT_REFERENCE"), ("c4", "CROSS_SCOPE_REFERENCE"),
     ]
     packs = spark.createDataFrame([("p", "CLIENT", "a", ["o1", "o2", "o3"], ["o3"]), ("q", None, None, [], [])], "pack_id string, scope_type string, scope_id string, refs array<string>, provenance_ids array<string>")
     objects = spark.createDataFrame([("o1", "SECRET", "CLIENT", "a", False), ("o2", "PUBLIC", "CLIENT", "b", False), ("o3", "PUBLIC", "GLOBAL", "GLOBAL", True)], "object_id string, level string, scope_type string, scope_id string, asserts boolean")
-    assert sorted((r.pack_id, r.code) for r in checks.pack_faults(packs, objects).collect()) == [("p", "CROSS_SCOPE_REFERENCE"), ("p", "SECRET_IN_CONTEXT_PACK"), ("q", "PACK_SCOPE_MISSING")]
+    assert sorted((r.pack_id, r.code) for r in checks.pack_faults(packs, objects).collect()) == [("p", "CROSS_CLIENT_REFERENCE"), ("p", "SECRET_IN_CONTEXT_PACK"), ("q", "PACK_SCOPE_MISSING")]
     assert one(spark, checks.promotion(F.lit("INFERRED"), F.lit("MEASURED"))) == "FORBIDDEN" and one(spark, checks.promotion(F.lit(None).cast("string"), F.lit("MEASURED"))) == "NEW"
     assert checks.vocabulary_state(spark.createDataFrame([("a",), ("b",)], "value string"), ("a", "b"), ("a", "b", "c")) == "LEGACY_EXACT"
     assert one(spark, identity.digest(F.lit("a"), F.lit(None))) == one(spark, identity.digest(F.lit("a"), F.lit("")))

@@ -4,6 +4,8 @@ import datetime as dt
 
 import pytest
 
+from quarrystone.operators import semantic
+from quarrystone.operators.checks import FORBIDDEN_PROMOTIONS
 from quarrystone.operators.schemas import REQUIRED, SCHEMAS, VOCABULARIES, structural_faults
 from quarrystone.operators.world import AmbiguousEntity, BudgetTooSmall, World, size_of
 
@@ -101,3 +103,24 @@ def test_faults(spark, world):
     assert {r.code for r in structural_faults(bad.union(bad), "claim").collect()} == {"VOCABULARY_EPISTEMIC_STATUS", "SCOPE", "CONTRACT_VERSION", "CLAIM_OBJECT", "DUPLICATE_ID"}
     with pytest.raises(ValueError):
         World.of(spark, {"nonsense": bad})
+
+
+def test_rules_of_meaning(spark, world):
+    """Each rule broken once by the smallest object that breaks it; forbidden keys at any depth, however written."""
+    a, b = {"scope_type": "CLIENT", "scope_id": "a"}, {"scope_type": "CLIENT", "scope_id": "b"}
+    claim = lambda i, **k: {"claim_id": i, "subject_entity_id": "ea", "predicate": "p", "object_value": "1", "epistemic_status": "DECLARED"} | a | k
+    claims = [claim("k1", epistemic_status="MEASURED"), claim("k2", object_value='"NO_EVIDENCE_FOUND"'), claim("k3", epistemic_status="UNKNOWN", object_value="false"), claim("k4", object_value='[{"x": {"API_\\u004bey": 1}}]'), claim("k5", object_value='{"a": "\\"token\\":", "tokens": 1}')]
+    claims += [claim("k6", data_classes=["PUBLIC"]), claim("k7", level="PII"), claim("k8", supporting_evidence_ids=["v2"]), claim("k9", epistemic_status="DECLARED", source_ids=["s1"], object_value=None), claim("k10", supersedes="k6", epistemic_status="OBSERVED", source_ids=["s1"])]
+    packs = [{"context_pack_id": "p1", "claim_ids": ["c1"], "entity_ids": ["es", "eb"], "gaps": ["false"]} | a, {"context_pack_id": "p2", "claim_ids": ["c1"], "provenance_summary": ["c1"]} | b]
+    frames = World.of(spark, world.frames | {
+        "claim": frame(spark, "claim", claims), "context_pack": frame(spark, "context_pack", packs), "candidate": frame(spark, "candidate", [{"candidate_id": "n1", "status": "PENDING", "proposed_epistemic_status": "OBSERVED", "payload": "{}"} | a, {"candidate_id": "n2", "status": "REJECTED", "proposed_epistemic_status": "OBSERVED", "payload": '{"sql":1}'} | a]),
+        "state_projection": frame(spark, "state_projection", [{"state_projection_id": "t1", "active_decision_ids": ["d1", "dx"]} | a]),
+    }).frames
+    got = {(r.id, r.code) for r in semantic.faults(frames).collect()}
+    assert got >= {
+        ("k1", "EPISTEMIC_PROVENANCE_REQUIRED"), ("k2", "NO_EVIDENCE_FOUND_MISLABELLED"), ("k3", "NO_EVIDENCE_SERIALIZED_AS_FALSE"), ("k4", "FORBIDDEN_FIELD"), ("k6", "SENSITIVITY_AXIS_CONFLATED"), ("k7", "SENSITIVITY_AXIS_CONFLATED"), ("k8", "CROSS_CLIENT_REFERENCE"),
+        ("k10", "INVALID_EPISTEMIC_PROMOTION") if "OBSERVED" in FORBIDDEN_PROMOTIONS["DECLARED"] else ("k1", "EPISTEMIC_PROVENANCE_REQUIRED"), ("p1", "SECRET_IN_CONTEXT_PACK"), ("p1", "CROSS_CLIENT_REFERENCE"), ("p1", "GAP_SERIALIZED_AS_BOOLEAN"),
+        ("n1", "CANDIDATE_PROPOSES_UNSOURCED_OBSERVATION"), ("n2", "FORBIDDEN_FIELD"), ("t1", "PROJECTION_BROKEN_DECISION_REFERENCE"), ("d2", "SUPERSEDED_DECISION_STILL_ACTIVE"),
+    }
+    assert not {i for i, _ in got} & {"k5", "k9", "p2"} and ("n2", "CANDIDATE_PROPOSES_UNSOURCED_OBSERVATION") not in got
+    assert semantic.faults(World.of(spark).frames).count() == 0
