@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: A side of at most so many rows of a few dozen bytes is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 # Fixed value: the pattern for which the faster classes of word_splitter hold.
-_KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts without these characters split alike under re's classes and under the pattern's Unicode classes.
 UNUSUAL = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ]")
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -103,7 +103,7 @@ def importable(spark: SparkSession) -> None:
 def word_splitter(pattern: str) -> Callable[[str], list[str]]:
     """Splits a text by a tokenizer's pattern; ordinary texts take a faster way if the pattern is the known one."""
     exact = regex.compile(pattern)
-    if pattern != _KNOWN_PATTERN:
+    if pattern != KNOWN_PATTERN:
         return exact.findall
     return lambda text: (exact.findall if UNUSUAL.search(text) else _FAST.findall)(text)
 
@@ -114,7 +114,7 @@ def cut_at_spaces(pattern: str) -> bool:
     So it is for the known pattern: a match never goes on over such a space, as words take one space before them
     only, and of several white-space characters before a word the last one is left to it.
     """
-    return pattern == _KNOWN_PATTERN
+    return pattern == KNOWN_PATTERN
 
 
 def release() -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, divergence, ego, kernel_lang, line_spread, packing, pii, quality_ordinal, warc
+from . import align, bagminhash, bpe, divergence, ego, kernel_lang, line_spread, packing, pii, quality_ordinal, warc, whiten, windows
 from .common import importable
 
 
@@ -106,6 +106,28 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its tokens, groups and links under two tokenizers, how its links stand corpus-wide, its groups' digest."""
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = align.align(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it starts, its checksum, its window and its place there."""
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return windows.pack(docs, tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component: its whitened coordinate, exact deviation, and the fit's figures."""
+    return whiten.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: Sites are counted exactly here; a document's lines are its rows, so removal is an aggregate of those that stay.
 OP4_SQL = """
 with d as (select doc_id, coalesce(source, '') as site, text, length(text) as size from documents),
@@ -157,5 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_divergence": op8_divergence,
     "op9_bpe": op9_bpe,
     "op10_bagminhash": op10_bagminhash,
+    "op11_alignment": op11_alignment,
+    "op12_window_packing": op12_window_packing,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op4_line_spread": OP4_SQL, "op8_divergence": OP8_SQL}
