@@ -15,6 +15,10 @@ def named_id(prefix: str, *parts: Column | str, length: int = 32) -> Column:
     return F.concat(F.lit(prefix), F.substring(digest(*parts), 1, length))
 
 
+def candidate_id(content_hash: Column) -> Column:
+    return F.concat(F.lit("knd_"), F.substring(content_hash, 1, 32))
+
+
 def fingerprint(rows: Column) -> Column:
     """Aggregate: one digest of a bag of hexadecimal row digests, whatever their order; partial sums only, no sort, no gathering."""
     head = F.conv(F.substring(rows, 1, 15), 16, 10).cast("decimal(38,0)")

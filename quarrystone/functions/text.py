@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ REDACTIONS = (
     (r"\b(gh[pousr]_[A-Za-z0-9]{8,})\b", "<redacted>"),
     (r"\b(xox[baprs]-[A-Za-z0-9-]{8,})\b", "<redacted>"),
 )
+#: All characters that are white space.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 SENSITIVE_PATH = r"(?i)(credential|authorization|api[_ -]?key|token|password|passwd|secret)"
 
 
@@ -57,6 +60,11 @@ def lexical_score(wanted: Column, found: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, found)) / F.size(wanted)).otherwise(F.lit(0.0))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space, in Unicode's sense, at either end."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def bounded(text: Column, limit: int) -> Column:
     """text, or its first limit - 1 characters and an ellipsis."""
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
@@ -94,21 +102,70 @@ def safe_token(value: Column) -> Column:
     return F.when(value.rlike(r"^[A-Za-z0-9_.:/@-]{1,128}\z"), value)
 
 
+# Networks that are private, loopback, link-local or reserved, and what is public inside them.
+INNER_4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC_4 = ("192.0.0.9/32", "192.0.0.10/32")
+INNER_6 = ("::/3", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/2", "8000::/2", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10")
+PUBLIC_6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+#: A group of an IPv4 address, which has no zero in front.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+
+
+def _inside(parts: Column, width: int, networks: tuple[str, ...]) -> Column:
+    """Is an address, as an array of numbers of width bits, in any of the networks?"""
+    found = F.lit(False)
+    for network in map(ipaddress.ip_network, networks):
+        first, same, left = int(network.network_address), F.lit(True), network.prefixlen
+        for k in range(network.max_prefixlen // width):
+            used = min(width, max(0, left - k * width))
+            part = first >> network.max_prefixlen - (k + 1) * width & (1 << width) - 1
+            same = same & (F.shiftright(F.get(parts, F.lit(k)), width - used) == part >> width - used) if used else same
+        found = found | same
+    return found
+
+
+def _octets(address: Column) -> Column:
+    return F.transform(F.split(address, "\\."), lambda x: x.try_cast("int"))
+
+
+def inner_4(address: Column) -> Column:
+    """Is it an IPv4 address of an inner network?"""
+    parts = _octets(address)
+    return address.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}\z") & _inside(parts, 8, INNER_4) & ~_inside(parts, 8, PUBLIC_4)
+
+
+def inner_6(address: Column) -> Column:
+    """Is it an IPv6 address of an inner network? Addresses that map IPv4 ones lie in a reserved network, all of them."""
+    bare = F.lower(F.split_part(address, F.lit("%"), F.lit(1)))
+    tail = F.regexp_extract(bare, rf":({_OCTET}(?:\.{_OCTET}){{3}})\z", 1)
+    pair = lambda k: F.hex(F.shiftleft(F.get(_octets(tail), F.lit(k)), 8) + F.get(_octets(tail), F.lit(k + 1)))
+    plain = F.when(tail != "", F.concat(F.left(bare, F.length(bare) - F.length(tail)), F.lower(pair(0)), F.lit(":"), F.lower(pair(2)))).otherwise(bare)
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    short, head, rest = F.contains(plain, F.lit("::")), groups(F.split_part(plain, F.lit("::"), F.lit(1))), groups(F.split_part(plain, F.lit("::"), F.lit(2)))
+    padded = F.when(short, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(rest))), rest)).otherwise(head)
+    valid = plain.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?\z") & (F.size(padded) == 8) & (~short | (F.size(head) + F.size(rest) < 8))
+
+    numbers = F.transform(padded, lambda g: F.conv(g, 16, 10).try_cast("int"))
+    return F.coalesce(valid, F.lit(False)) & F.coalesce(F.transform(F.array(numbers), lambda parts: _inside(parts, 16, INNER_6) & ~_inside(parts, 16, PUBLIC_6))[0], F.lit(False))
+
+
+def host_of(url: Column) -> Column:
+    """The host of an http(s) URL, in lower case, an IPv6 address without its brackets; null for anything else."""
+    bare = F.regexp_replace(stripped(F.ltrim(url, F.lit("="))), r"[\t\r\n]", "")
+    named = F.regexp_replace(F.regexp_extract(bare, r"(?s)^[hH][tT][tT][pP][sS]?://([^/?#]*)", 1), r"(?s)^.*@", "")
+    host = F.lower(F.regexp_extract(named, r"(?s)^(?:\[([^\]]*)\]|([^:\[]*))", 0))
+    return F.nullif(F.regexp_replace(host, r"[\[\]]", ""), F.lit(""))
+
+
 def private_or_local(url: Column) -> Column:
     """An http(s) URL whose host is local, private, loopback, link-local or reserved; templates are not judged."""
-    host = F.lower(F.call_function("try_parse_url", F.btrim(F.ltrim(url)), F.lit("HOST")))
-    part = F.split(host, "\\.")
-    octet = lambda k: F.get(part, F.lit(k)).try_cast("int")
-    four = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}\z")
-    inner = (
-        octet(0).isin(0, 10, 127) | (octet(0) >= 240) | ((octet(0) == 172) & octet(1).between(16, 31)) | ((octet(0) == 192) & (octet(1) == 168))
-        | ((octet(0) == 169) & (octet(1) == 254)) | ((octet(0) == 198) & octet(1).isin(18, 19)) | ((octet(0) == 192) & (octet(1) == 0) & octet(2).isin(0, 2))
-        | ((octet(0) == 198) & (octet(1) == 51) & (octet(2) == 100)) | ((octet(0) == 203) & (octet(1) == 0) & (octet(2) == 113))
-    )
-    six = host.rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]?\z")
-    local = host.isin("localhost", "localhost.localdomain") | F.endswith(host, F.lit(".local")) | (four & inner) | six
     templated = F.contains(url, F.lit("{{")) | F.contains(url, F.lit("$env"))
-    return ~templated & url.rlike(r"(?i)^[=\s]*https?://") & F.coalesce(local, F.lit(False))
+
+    def judged(host: Column) -> Column:
+        local = host.isin("localhost", "localhost.localdomain") | F.endswith(host, F.lit(".local"))
+        return F.coalesce(F.when(F.contains(host, F.lit(":")), inner_6(host)).otherwise(local | inner_4(host)), F.lit(False))
+
+    return F.when(F.coalesce(~templated & F.contains(url, F.lit(":")), F.lit(False)), F.transform(F.array(host_of(url)), judged)[0]).otherwise(F.lit(False))
 
 
 def websearch(text_tokens: Column, query: str) -> Column:

@@ -1,12 +1,14 @@
 """Static analysis of workflow documents: nodes, edges, findings, reports, admission, side effects.
 
 Built-in node types are told apart by their last part after the prefix of the base package; a type of any other package
-is itself, so that a community node is never taken for the built-in of the same name.
+is itself, so that a community node is never taken for the built-in of the same name. Prefixes are compared as they
+stand: a package whose name only ends like a known one is foreign.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,14 +34,18 @@ CODE_RULES = (
 SECRET_KEY = r"(?i)(api[_ -]?key|token|password|passwd|secret|authorization)"
 PLACEHOLDER = r"(?i)(YOUR[_ -]?[A-Z0-9_]*|<[^>]*(token|secret|password|key)[^>]*>|\{\{\s*\$(credentials|env)\b)"
 TEXT_KEYS = ("content", "description", "instructions", "message", "prompt", "systemmessage", "text")
-#: The package of built-in nodes, whatever the deployment calls it.
-BASE_PACKAGE = r"^[a-z0-9]*-?nodes-base\."
-FIRST_PARTY = r"^(@[a-z0-9]+/)?[a-z0-9]*-?nodes-(base|langchain)\."
+# Prefixes of the built-in nodes' package, and of all packages that come with the product itself.
+BASE_PREFIXES = ("n8n-nodes-base.",)
+FIRST_PARTY_PREFIXES = ("n8n-nodes-base.", "@n8n/n8n-nodes-langchain.", "n8n-nodes-langchain.")
 
 
-def kind_of(node_type: Column) -> Column:
-    """The name of a built-in node type, else the whole type."""
-    return F.when(node_type.rlike(BASE_PACKAGE), F.regexp_replace(node_type, BASE_PACKAGE, "")).otherwise(node_type)
+def kind_of(node_type: Column, prefixes: tuple[str, ...] = BASE_PREFIXES) -> Column:
+    """The name of a built-in node type, else the whole type behind a "?", so that no foreign type has a built-in's name."""
+    return F.coalesce(*[F.when(F.startswith(node_type, F.lit(p)), F.substring(node_type, len(p) + 1, 2**31 - 1)) for p in prefixes], F.concat(F.lit("?"), node_type))
+
+
+def first_party(node_type: Column, prefixes: tuple[str, ...] = FIRST_PARTY_PREFIXES) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(node_type, F.lit(p)) for p in prefixes])
 
 
 def documents(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,7 +172,7 @@ def material(leaves: DataFrame) -> DataFrame:
 def node_risk(node_type: Column, n_credentials: Column) -> Column:
     """struct<verdict, requires_pinning>: danger to the host, and reach outside."""
     kind = kind_of(node_type)
-    verdict = F.when(kind.isin(*COMMAND, *SSH, *FILES), "BLOCKED").when(kind.isin(*CODE) | ~node_type.rlike(FIRST_PARTY), "REVIEW_REQUIRED").otherwise("ALLOWED")
+    verdict = F.when(kind.isin(*COMMAND, *SSH, *FILES), "BLOCKED").when(kind.isin(*CODE) | ~first_party(node_type), "REVIEW_REQUIRED").otherwise("ALLOWED")
     trigger = node_type.rlike("[Tt]rigger$") & ~kind.isin(*UNPINNABLE)
     return F.struct(verdict.alias("verdict"), (kind.isin(*HTTP, "webhook") | (n_credentials > 0) | trigger).alias("requires_pinning"))
 

@@ -13,20 +13,23 @@ MIN_UNIT, MAX_TITLE, MAX_SUMMARY = 40, 300, 12_000
 
 
 def gate(units: DataFrame, declared: str = "INTERNAL") -> tuple[DataFrame, DataFrame]:
-    """units(source_id, locator, title?, text, ...) -> candidates, refusals.
+    """units(source_id, locator, text, title?, knowledge_type?, domain?, locator_kind?) -> candidates, refusals.
 
-    Short units go; a unit with a secret is refused, by the rule's name only; personal data is replaced and widens the
-    class; instruction attempts are flags; equal content is kept once, for its smallest locator.
+    Texts are taken without outer white space. Short units go; a unit with a secret is refused, by the rule's name only;
+    personal data is replaced and widens the class; instruction attempts are flags. What a reviewer would read and where
+    it stands make a candidate: the same excerpt of the same place is one candidate of its source, of another place another.
     """
-    rows = units.where(F.length(F.btrim("text", F.lit(" \t\r\n"))) >= MIN_UNIT).withColumn("rule", R.first_secret(F.col("text")))
+    told = {c: F.col(c).cast("string") if c in units.columns else F.lit(None).cast("string") for c in ("title", "knowledge_type", "domain", "locator_kind")}
+    rows = units.select("source_id", "locator", T.stripped(F.col("text")).alias("text"), T.bounded(T.stripped(told["title"]), MAX_TITLE).alias("title"), *[told[c].alias(c) for c in ("knowledge_type", "domain", "locator_kind")])
+    rows = rows.where(F.length("text") >= MIN_UNIT).withColumn("rule", R.first_secret(F.col("text")))
     refusals = rows.where("rule is not null").select("source_id", "locator", "rule")
     clean = rows.where("rule is null").withColumn("m", R.minimised(F.col("text"), declared))
-    clean = clean.select("source_id", "locator", *([T.bounded(F.col("title"), MAX_TITLE).alias("title")] if "title" in units.columns else []), T.bounded(F.col("m.text"), MAX_SUMMARY).alias("summary"), F.col("m.redactions").alias("redactions"), F.col("m.data_class").alias("data_class"), R.all_attempts(F.col("text")).alias("attempts"))
-    clean = clean.withColumn("content_hash", I.digest("source_id", "summary", "data_class"))
-    rest = [c for c in clean.columns if c not in ("content_hash", "locator")]
-    first = clean.groupBy("content_hash").agg(F.min(F.struct("locator", *rest)).alias("r"))
-    candidates = first.select(F.concat(F.lit("knd_"), F.substring("content_hash", 1, 32)).alias("candidate_id"), "content_hash", "r.*", F.lit("PENDING").alias("status"))
-    return candidates, refusals
+    clean = clean.withColumn("summary", T.bounded(F.col("m.text"), MAX_SUMMARY))
+    hashed = I.digest("knowledge_type", "domain", "title", T.stripped(F.col("summary")), "locator_kind", "locator", separator="\0")
+    clean = clean.select("source_id", "locator", "locator_kind", "knowledge_type", "domain", "title", "summary", F.col("m.redactions").alias("redactions"), F.col("m.data_class").alias("data_class"), R.all_attempts(F.col("text")).alias("attempts"), hashed.alias("content_hash"))
+    # Equal hashes are equal rows but for what minimising took away, so any of a place serves.
+    candidates = clean.dropDuplicates(["source_id", "content_hash"])
+    return candidates.select(I.candidate_id(F.col("content_hash")).alias("candidate_id"), *clean.columns, F.lit("PENDING").alias("status")), refusals
 
 
 def framed(text, attempts):

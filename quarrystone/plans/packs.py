@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (knowledge_read, experience_read, projection_d
 _STATUSES = "['" + "','".join(C.STATUSES) + "']"
 _ROLE = "case severity when 'CRITICAL' then 'SECURITY_EXAMPLE' when 'HIGH' then 'QUARANTINED' when 'MEDIUM' then 'STRUCTURE_ONLY' else 'REFERENCE' end"
 _SCOPE_OF = "case severity when 'CRITICAL' then 'security_only' when 'HIGH' then 'review_only' when 'MEDIUM' then 'structure_only' else 'structure_and_metadata' end"
-_PATHS = f"""{_FINDINGS}, w as (select path, count(*) as node_count, string_agg(distinct 'x-nodes-base.' || kind, ',' order by 'x-nodes-base.' || kind) as integrations from nodes group by path),
+_PATHS = f"""{_FINDINGS}, w as (select path, count(*) as node_count, string_agg(distinct 'n8n-nodes-base.' || kind, ',' order by 'n8n-nodes-base.' || kind) as integrations from nodes group by path),
 f as (select path, count(*) as n from hits group by path), all_paths as (select w.*, coalesce(f.n, 0)::int as n_findings, coalesce(d.severity, 'INFO') as severity from w left join f using (path) left join decided d using (path))"""
 ORACLE_SQL = {
     "knowledge_read": f"""with k as (select doc_id, ['PATTERN', 'FIX', 'NOTE', 'CHECKLIST'][doc_id % 4 + 1] as t, {_STATUSES}[doc_id % 9 + 1] as e, case when source = 'src0' then 'GLOBAL' else source end as scope_id,

@@ -62,10 +62,16 @@ def redact_preview(spark, folder):
 
 
 def candidate_dedup_hash(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("locator"), "text")
-    kept, refused = L.gate(docs)
-    n = kept.agg(F.count("*").alias("n_candidates"), F.sum("locator").alias("locators"), F.count_if(F.size("redactions") > 0).alias("n_minimised"))
-    return n.join(refused.agg(F.count("*").alias("n_refused")), F.lit(True)).select("n_candidates", "n_refused", F.coalesce("locators", F.lit(0)).alias("locators"), "n_minimised").select("n_candidates", "n_refused")
+    """Documents as units of their sources, some cited twice: from the same place between white space, and from another place. Candidates and refusals by source."""
+    docs = table(spark, folder, "documents").select(F.col("source").alias("source_id"), "doc_id", "text")
+    place = F.concat(F.lit("at "), F.md5("text"))
+    unit = lambda at, text: F.struct(at.alias("locator"), text.alias("text"))
+    again, page = unit(place, F.concat(F.lit(" \n"), "text", F.lit("\t "))), unit(F.concat(F.lit("page "), F.col("doc_id").cast("string")), F.col("text"))
+    cited = F.array(unit(place, F.col("text")), F.when(F.col("doc_id") % 4 == 0, again), F.when(F.col("doc_id") % 5 == 0, page))
+    units = docs.select("source_id", F.explode(F.array_compact(cited)).alias("u")).select("source_id", "u.locator", "u.text", F.lit("PATTERN").alias("knowledge_type"), F.lit("GENERIC").alias("locator_kind"))
+    kept, refused = L.gate(units)
+    rows = kept.select("source_id", F.lit(1).alias("kept")).unionByName(refused.select("source_id", F.lit(0).alias("kept")))
+    return rows.groupBy("source_id").agg(F.sum("kept").alias("n_candidates"), F.count_if(F.col("kept") == 0).alias("n_refused"))
 
 
 def content_dedup_first(spark, folder):
@@ -80,7 +86,7 @@ def leaf_flatten_props(spark, folder):
 
 def _leaves(spark, folder):
     """pages as nodes of three types with one text leaf each."""
-    kinds = F.array(*[F.lit(f"x-nodes-base.{k}") for k in ("executeCommand", "httpRequest", "code", "set", "agent")])
+    kinds = F.array(*[F.lit(f"n8n-nodes-base.{k}") for k in ("executeCommand", "httpRequest", "code", "set", "agent")])
     pages = table(spark, folder, "pages").select(F.concat(F.lit("w"), (F.col("page_id") / 5).cast("int").cast("string")).alias("path"), F.col("page_id").cast("int").alias("n"), F.get(kinds, (F.col("page_id") % 5).cast("int")).alias("type"), "url", "html")
     leaves = pages.select("path", "n", "type", F.lit("parameters.url").alias("json_path"), F.col("url").alias("value"))
     return pages.select("path", "n", F.lit("x").alias("name"), "type", F.lit("{}").alias("parameters"), F.array().cast("array<string>").alias("credential_types")), leaves
@@ -323,6 +329,9 @@ select doc_id, md5(clean) as clean_md5, clean <> text as changed from r""",
     + ", ".join(f"case when regexp_matches(text, {_q(p)}) then '{n}' end" for n, p in R.INSTRUCTION_RULES) + "], lambda x: x is not null), ',') as attempts from c) select * from a where attempts <> ''",
     "redact_preview": "with r as (select page_id, replace(replace(" + "regexp_replace(" * 5 + "html" + "".join(f", {_q(p)}, {_q(n.replace('$1', chr(92) + '1'))}, 'g')" for p, n in T.REDACTIONS)
     + ", chr(10), ' '), chr(13), ' ') as t from pages) select page_id, md5(case when length(t) > 240 then substr(t, 1, 239) || '…' else t end) as preview_md5 from r",
+    "candidate_dedup_hash": f"""with u as (select source as source_id, unnest([{{'at': 'at ' || md5(text), 'one': true}}, case when doc_id % 4 = 0 then {{'at': 'at ' || md5(text), 'one': true}} end, case when doc_id % 5 = 0 then {{'at': 'page ' || doc_id, 'one': true}} end]) as u, text from documents),
+t as (select source_id, u.at as locator, text, {_FIRST} as rule from u where u is not null and length(trim(text, {_q(T.WHITE)})) >= 40)
+select source_id, count(distinct locator) filter (where rule is null) as n_candidates, count(*) filter (where rule is not null) as n_refused from t group by source_id""",
     "content_dedup_first": "select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as n_copies from documents group by sha256(text)",
     "leaf_flatten_props": "select event_id, 'k' as path, props::json->>'k' as value from events",
     "rule_findings": f"with {_FINDINGS} select rule_id, severity, count(*) as n_findings from hits group by all",

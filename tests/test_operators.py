@@ -72,15 +72,15 @@ def test_units(spark):
 
 
 def test_files_and_analysis(spark, tmp_path):
-    node = {"name": "n", "type": "x-nodes-base.code", "parameters": {"jsCode": "eval(1)"}}
+    node = {"name": "n", "type": "n8n-nodes-base.code", "parameters": {"jsCode": "eval(1)"}}
     flows = {
-        "benign": [{"name": "t", "type": "x-nodes-base.manualTrigger"}, {"name": "s", "type": "x-nodes-base.set", "parameters": {}}],
+        "benign": [{"name": "t", "type": "n8n-nodes-base.manualTrigger"}, {"name": "s", "type": "n8n-nodes-base.set", "parameters": {}}],
         "code": [node],
-        "export": [{"name": "c", "type": "x-nodes-base.executeCommand", "parameters": {"command": "n export:credentials --decrypted"}}],
-        "agent": [{"type": "x-nodes-base.ssh"}, {"type": "@x/x-nodes-langchain.agent"}],
-        "url": [{"type": "x-nodes-base.httpRequest", "parameters": {"url": "http://127.0.0.1/"}}],
-        "secret": [{"type": "x-nodes-base.set", "parameters": {"apiKey": "abcdefghij"}}],
-        "placeholder": [{"type": "x-nodes-base.set", "parameters": {"apiKey": "YOUR_API_KEY_HERE"}}],
+        "export": [{"name": "c", "type": "n8n-nodes-base.executeCommand", "parameters": {"command": "n export:credentials --decrypted"}}],
+        "agent": [{"type": "n8n-nodes-base.ssh"}, {"type": "@n8n/n8n-nodes-langchain.agent"}],
+        "url": [{"type": "n8n-nodes-base.httpRequest", "parameters": {"url": "http://127.0.0.1/"}}],
+        "secret": [{"type": "n8n-nodes-base.set", "parameters": {"apiKey": "abcdefghij"}}],
+        "placeholder": [{"type": "n8n-nodes-base.set", "parameters": {"apiKey": "YOUR_API_KEY_HERE"}}],
     }
     for name, nodes in flows.items():
         edges = {"t": {"main": [[{"node": "s", "index": "bad"}]]}} if name == "benign" else {}
@@ -100,20 +100,22 @@ def test_files_and_analysis(spark, tmp_path):
     assert analyze.eligible(found, nodes, analyze.reports(found, nodes, analyze.findings(nodes, leaves)), 2).count() == 2
     kinds = {(r.json_path, r.kind, r.reason, r.language, r.preview) for r in analyze.material(leaves).collect()}
     assert ("parameters.jsCode", "executable", "code_node", "javascript", None) in kinds and ("parameters.command", "executable", "privileged_command", "shell_or_remote_command", None) in kinds
-    texts = spark.createDataFrame([("f", 0, "other.executeCommand", "parameters.text", "hello"), ("f", 1, "x-nodes-base.set", "parameters.notes", "hello"), ("f", 2, "x-nodes-base.set", "parameters.prompt", "={{ 1 }}")], "path string, n int, type string, json_path string, value string")
+    texts = spark.createDataFrame([("f", 0, "other.executeCommand", "parameters.text", "hello"), ("f", 1, "n8n-nodes-base.set", "parameters.notes", "hello"), ("f", 2, "n8n-nodes-base.set", "parameters.prompt", "={{ 1 }}")], "path string, n int, type string, json_path string, value string")
     assert [(r.n, r.kind, r.reason) for r in analyze.material(texts).orderBy("n").collect()] == [(0, "text", None), (2, "executable", "expression")]
     community = spark.createDataFrame([("f", 0, "other.executeCommand")], "path string, n int, type string")
     assert analyze.findings(community.withColumns({"name": F.lit("n"), "parameters": F.lit("{}")}), texts.limit(0)).count() == 0
     risk = lambda t, n=0: tuple(one(spark, analyze.node_risk(F.lit(t), F.lit(n))))
-    assert risk("x-nodes-base.ssh") == ("BLOCKED", False) and risk("x-nodes-base.webhook") == ("ALLOWED", True)
-    assert risk("x-nodes-base.manualTrigger") == ("ALLOWED", False) and risk("community.thing", 1) == ("REVIEW_REQUIRED", True)
+    assert risk("n8n-nodes-base.ssh") == ("BLOCKED", False) and risk("n8n-nodes-base.webhook") == ("ALLOWED", True)
+    assert risk("n8n-nodes-base.manualTrigger") == ("ALLOWED", False) and risk("community.thing", 1) == ("REVIEW_REQUIRED", True)
 
 
 def test_learn(spark):
     long = "a fact that is long enough to be kept as a unit of text "
-    rows = [("s", 1, long + "one"), ("s", 2, long + "one"), ("s", 3, "short"), ("s", 4, long + "password=abcdefgh12"), ("s", 5, long + "x@y.org")]
+    rows = [("s", 1, long + "one"), ("s", 2, long + "one"), ("s", 1, f" \u3000{long}one\n"), ("t", 1, long + "one"), ("s", 3, "short" + " " * 60), ("s", 4, long + "password=abcdefgh12"), ("s", 5, long + "x@y.org")]
     kept, refused = learn.gate(spark.createDataFrame(rows, "source_id string, locator int, text string"))
-    assert sorted((r.locator, r.data_class) for r in kept.collect()) == [(1, "INTERNAL"), (5, "PII")]
+    # The same excerpt of another place is another candidate; outer white space is no difference; other sources keep their own.
+    assert sorted((r.source_id, r.locator, r.data_class) for r in kept.collect()) == [("s", 1, "INTERNAL"), ("s", 2, "INTERNAL"), ("s", 5, "PII"), ("t", 1, "INTERNAL")]
+    assert kept.select("candidate_id").distinct().count() == 3
     assert [(r.locator, r.rule) for r in refused.collect()] == [(4, "assigned_credential")]
     again, _ = learn.gate(spark.createDataFrame(rows[::-1], "source_id string, locator int, text string").repartition(3))
     assert ids(again, "candidate_id") == ids(kept, "candidate_id")
