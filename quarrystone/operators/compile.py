@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from . import analyze as A
 from .checks import violations
-from .store import append
+from .snapshots import Batch, Drift, Snapshots
 
 SCHEMA_VERSION = "0.1"
 MAX_LABEL, MAX_ITEM_BYTES = 256, 5 * 1024 * 1024
@@ -100,27 +100,36 @@ def records(rows: DataFrame, analyzer_version: str) -> dict[str, DataFrame]:
 KEYS = {"sources": "source_id", "analyses": "analysis_id", "items": "item_id"}
 
 
-def publish(rows: DataFrame, folder: str, analyzer_version: str, dry_run: bool = False) -> dict[str, tuple[int, int]]:
-    """Appends the three tables' new rows, parents first; any fault or drift refuses all of them. (created, reused) of each.
+def _batches(rows: DataFrame, analyzer_version: str) -> dict[str, Batch]:
+    return {name: Batch(frame, [KEYS[name]]) for name, frame in records(rows, analyzer_version).items()}
+
 
-    All three are tried without writing before the first is written, so a refusal leaves nothing behind; a job that
-    dies in between leaves parents without children, which the next run reuses.
-    """
+def publish(rows: DataFrame, folder: str, analyzer_version: str, dry_run: bool = False) -> dict[str, tuple[int, int]]:
+    """Publishes the three tables' new rows in one commit; any fault or drift refuses all of them. (created, reused) of each."""
     faults = item_faults(rows).limit(1).collect()
     if faults:
         raise ValueError(f"refused: {faults[0]['code']}")
-    parts = records(rows, analyzer_version)
-
-    def each(dry: bool) -> dict[str, tuple[int, int]]:
-        def one(name: str) -> tuple[int, int]:
-            frame = parts[name]
-            out = append(frame, f"{folder}/{name}", [KEYS[name]], [c for c in frame.columns if c != KEYS[name]], dry).first()
-            return out["created"], out["reused"]
-
-        return {name: one(name) for name in KEYS}
-
-    tried = each(True)
-    return tried if dry_run else each(False)
+    held, batches = Snapshots(rows.sparkSession, folder), _batches(rows, analyzer_version)
+    if not dry_run:
+        return {name: (told["created"], told["reused"]) for name, told in held.commit(batches).counts.items()}
+    told = {(r["table"], r["outcome"]): r["n"] for r in held.plan(batches).collect()}
+    if drifted := {name: told.get((name, "drifted"), 0) for name in batches if told.get((name, "drifted"))}:
+        raise Drift(drifted)
+    return {name: (told.get((name, "created"), 0), told.get((name, "reused"), 0)) for name in batches}
+
+
+def ingested(rows: DataFrame, folder: str, analyzer_version: str, version: int | None = None) -> DataFrame:
+    """A row for each item of a batch beside a snapshot: which of its three records the snapshot lacks, and whether any differs."""
+    held, batches = Snapshots(rows.sparkSession, folder), _batches(rows, analyzer_version)
+    manifest = held.manifest(version)
+    keyed = records(rows, analyzer_version)
+    told = {name: held.classified(name, b, manifest).select(KEYS[name], F.col("outcome").alias(name)) for name, b in batches.items()}
+    named = keyed["items"].select("item_id", "analysis_id").join(keyed["analyses"].select("analysis_id", "source_id"), "analysis_id").join(keyed["sources"].select("source_id", "source_path", "sha256"), "source_id")
+    for name, outcome in told.items():
+        named = named.join(outcome, KEYS[name])
+    made = [(F.col(name) == "created").alias(f"{name}_created") for name in KEYS]
+    drifted = (F.col("sources") == "drifted") | (F.col("analyses") == "drifted") | (F.col("items") == "drifted")
+    return named.select("source_path", "sha256", *made, drifted.alias("drifted"))
 
 
 def corpus_gate(reports: DataFrame, required: list[str], column: Callable[[], Column] = lambda: F.explode("rules")) -> DataFrame:

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a folder; only the columns that a plan uses are read."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is unset and all tasks run on this machine, as in tests, under a folder of this process.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="quarrystone-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ import pytest
 from test_world import frame
 
 from quarrystone.__main__ import main
+from quarrystone.operators.snapshots import Snapshots
 
 
 def said(capsys):
@@ -13,13 +14,13 @@ def said(capsys):
 def test_workflows(spark, tmp_path, capsys):
     folder = tmp_path / "flows" / "deep"
     folder.mkdir(parents=True)
-    (folder / "a.json").write_text(json.dumps({"name": "a", "nodes": [{"name": "t", "type": "x-nodes-base.manualTrigger", "parameters": {}}], "connections": {}}))
+    (folder / "a.json").write_text(json.dumps({"name": "a", "nodes": [{"name": "t", "type": "n8n-nodes-base.manualTrigger", "parameters": {}}], "connections": {}}))
     (folder / "b.json").write_text("{")
     assert main(["analyze", str(tmp_path / "flows"), "--out", str(tmp_path / "out")], spark) == 0
     assert [(r["risk_decision"], r["n"]) for r in map(json.loads, said(capsys))] == [("BLOCKED", 1), ("SAFE_FOR_LEARNING", 1)]
     make = ["compile", str(tmp_path / "flows"), "--out", str(tmp_path / "store"), "--repo", "example/flows", "--commit", "a" * 40]
     assert main([*make, "--dry-run"], spark) == 0 and not (tmp_path / "store").exists()
-    assert main(make, spark) == 0 and [r.source_path for r in spark.read.parquet(str(tmp_path / "store" / "sources")).collect()] == ["deep/a.json"]
+    assert main(make, spark) == 0 and [r.source_path for r in Snapshots(spark, str(tmp_path / "store")).read("sources").collect()] == ["deep/a.json"]
     assert main([*make[:-1], "short"], spark) == 1
     with pytest.raises(SystemExit):
         main(["run", "nonsense", "--tables", "x", "--out", "y"], spark)

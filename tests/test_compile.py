@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import analyze, checks, compile, stored
+from quarrystone.operators import analyze, checks, compile, snapshots, stored
 from quarrystone.sources import units
 
 
@@ -13,8 +13,8 @@ from quarrystone.sources import units
 def items(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("flows")
     flows = {
-        "a": {"nodes": [{"name": "t", "type": "x-nodes-base.manualTrigger"}, {"name": "s", "type": "x-nodes-base.set", "parameters": {"text": "hello", "apiKey": "abcdefghij"}}], "connections": {"t": {"main": [[{"node": "s", "index": 1}]]}}},
-        "b": {"nodes": [{"name": "c", "type": "x-nodes-base.code", "parameters": {"jsCode": "eval(1)"}}, {"name": "n" * 400, "type": "x-nodes-base.set"}]},
+        "a": {"nodes": [{"name": "t", "type": "n8n-nodes-base.manualTrigger"}, {"name": "s", "type": "n8n-nodes-base.set", "parameters": {"text": "hello", "apiKey": "abcdefghij"}}], "connections": {"t": {"main": [[{"node": "s", "index": 1}]]}}},
+        "b": {"nodes": [{"name": "c", "type": "n8n-nodes-base.code", "parameters": {"jsCode": "eval(1)"}}, {"name": "n" * 400, "type": "n8n-nodes-base.set"}]},
         "empty": {"nodes": []},
     }
     for name, flow in flows.items():
@@ -29,7 +29,7 @@ def test_items(items):
     held = {r.source_path: r for r in items.collect()}
     assert set(held) == {"a.json", "b.json", "empty.json"}
     a, b, e = (held[k] for k in ("a.json", "b.json", "empty.json"))
-    assert a.node_count == 2 and [(x.source_name_untrusted, x.target_name_untrusted, x.target_input_index) for x in a.edges] == [("t", "s", 1)] and a.trigger_types == ["x-nodes-base.manualTrigger"]
+    assert a.node_count == 2 and [(x.source_name_untrusted, x.target_name_untrusted, x.target_input_index) for x in a.edges] == [("t", "s", 1)] and a.trigger_types == ["n8n-nodes-base.manualTrigger"]
     assert [(x.json_path, x.char_count) for x in a.untrusted_text] == [("parameters.text", 5)] and [x.rule_id for x in a.security_findings] == ["POSSIBLE_HARDCODED_SECRET"]
     assert "abcdefghij" not in str(held) and "eval(1)" not in str(held)
     assert [(x.reason, x.language) for x in b.executable] == [("code_node", "javascript")] and max(len(x.name_untrusted) for x in b.nodes) == 256
@@ -51,7 +51,7 @@ def test_rules_and_publication(items, spark, tmp_path):
     assert compile.publish(items, at, "2.0") == {"sources": (0, 3), "analyses": (3, 0), "items": (3, 0)}
     with pytest.raises(ValueError):  # one part has drifted: no part is written
         compile.publish(items.withColumn("max_severity", F.lit("LOW")), at, "1.0")
-    assert spark.read.parquet(f"{at}/analyses").count() == 6
+    assert snapshots.Snapshots(spark, at).read("analyses").count() == 6
     assert [r.value for r in compile.corpus_gate(spark.createDataFrame([(["A"],)], "rules array<string>"), ["A", "B"]).collect()] == ["B"]
 
 
