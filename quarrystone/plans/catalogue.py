@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import packs, reads, work, worlds
+from . import contracts, packs, reads, work, worlds
 
-QUERIES: dict = {**reads.QUERIES, **work.QUERIES, **packs.QUERIES, **worlds.QUERIES}
-ORACLE_SQL: dict[str, str] = {**reads.ORACLE_SQL, **work.ORACLE_SQL, **packs.ORACLE_SQL, **worlds.ORACLE_SQL}
+_PARTS = (reads, work, packs, worlds, contracts)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
