@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analyze as A
 from ..operators import budget as B
+from ..operators import closed as K
 from ..operators import runs as J
 from ..operators import snapshots as N
 from ..sources.tables import scratch, table
@@ -141,7 +142,66 @@ def runs_stalled(spark, folder):
     return J.stalled(journal, "2 days", F.col("until")).select("run_id", "phase", F.date_format("stalled_at", "yyyy-MM-dd HH:mm:ss").alias("stalled_at"))
 
 
-QUERIES = {f.__name__: f for f in (context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
+#: What is put in the place of what in an item's text, and the faults that it makes: every number modulo so many plus one is one of them.
+_PLANTED = (
+    ('"schema_version":"0.1"', '"schema_version":"0.3"', ("schema_version:VALUE",)),
+    ('"kind":"KNOWLEDGE_ITEM",', "", ("kind:MISSING_FIELD",)),
+    ('"provenance":{', '"provenance":{"branch":"main",', ("provenance.branch:UNEXPECTED_FIELD",)),
+    ('"source_commit":"', '"source_commit":"X', ("provenance.source_commit:PATTERN",)),
+    ('"node_count":2', '"node_count":"2"', ("workflow.node_count:NOT_A_WHOLE_NUMBER",)),
+    ('"node_count":2', '"node_count":5', ("workflow:NODE_COUNT",)),
+    ('"trigger_types":["start"]', '"trigger_types":["start",null]', ("workflow.trigger_types[1]:NOT_A_STRING",)),
+    ('"operation":"get"', '"operation":"get it"', ("workflow.nodes[1].operation:NOT_A_SAFE_SCALAR",)),
+    ('"operation":"get"', '"operation":"get","parameters":{"a":[{}]}', ("workflow.nodes[1].parameters:UNEXPECTED_FIELD",)),
+    ('"target_input_index":0', '"target_input_index":-1', ("workflow.edges[0].target_input_index:TOO_SMALL",)),
+    ('"max_severity":"CRITICAL"', '"max_severity":"HIGH"', ("admission:UNKNOWN_DECISION",)),
+    ('"validated":false', '"validated":true', ("admission.validated:VALUE",)),
+    ('"char_count":7,"preview"', '"char_count":7,"sha1":"","preview"', ("untrusted_text[0].sha1:UNEXPECTED_FIELD",)),
+    ('"content_persisted":false', '"content_persisted":false,"\\u0063ode":"x"', ("executable_snippets_untrusted[0].code:UNEXPECTED_FIELD", "executable_snippets_untrusted:BANNED_KEY")),
+    ('"security_findings":[', '"security_findings":{"a":[', (":NOT_JSON",)),
+)
+
+
+def _items(docs):
+    """Documents as compiled items in JSON text."""
+    digest, path = F.sha2("text", 256), F.concat(F.lit("flows/"), F.col("doc_id").cast("string"), F.lit(".json"))
+    node = lambda name, kind, **more: F.struct(F.lit(name).alias("name_untrusted"), F.lit(kind).alias("type"), F.lit(1).alias("type_version"), *[F.lit(v).alias(k) for k, v in more.items()], F.array().cast("array<string>").alias("credential_types"))
+    whole = F.struct(
+        F.lit("0.1").alias("schema_version"), F.lit("KNOWLEDGE_ITEM").alias("kind"), F.lit("UNTRUSTED_SOURCE_DATA").alias("source_content_trust"),
+        F.struct(F.lit("example/flows").alias("source_repo"), F.lit("a" * 40).alias("source_commit"), path.alias("source_path"), digest.alias("sha256")).alias("provenance"),
+        F.struct(
+            F.substring("text", 1, 200).alias("name_untrusted"), F.lit(2).alias("node_count"), F.create_map(F.lit("start"), F.lit(1), F.lit("http"), F.lit(1)).alias("node_types"), F.array(F.lit("start")).alias("trigger_types"), F.array(F.col("source")).alias("integrations"),
+            F.array(node("a", "start", operation=None), node("b", "http", operation="get")).alias("nodes"), F.array(F.struct(F.lit("a").alias("source_name_untrusted"), F.lit("b").alias("target_name_untrusted"), F.lit("main").alias("channel"), F.lit(0).alias("source_output_index"), F.lit(0).alias("target_input_index"))).alias("edges"),
+        ).alias("workflow"),
+        F.struct(
+            F.lit("RAW_UNTRUSTED").alias("source_stage"), F.lit("STATIC_ANALYZED").alias("analysis_stage"), F.lit("BLOCKED").alias("risk_decision"), F.lit("CRITICAL").alias("max_severity"), F.lit("SECURITY_EXAMPLE").alias("knowledge_role"), F.lit("security_only").alias("learning_scope"),
+            F.lit(False).alias("structure_reference_allowed"), F.lit(False).alias("implementation_reference_allowed"), F.lit(False).alias("validated"),
+        ).alias("admission"),
+        F.array(F.struct(F.col("lang").alias("severity"))).alias("security_findings"),
+        F.array(F.struct(F.lit("text").alias("kind"), F.lit("").alias("node_name"), F.lit("").alias("node_type"), F.lit("p").alias("json_path"), digest.alias("sha256"), F.lit(7).alias("char_count"), F.substring("text", 1, 400).alias("preview"))).alias("untrusted_text"),
+        F.array(F.struct(F.lit("code").alias("kind"), F.lit("").alias("node_name"), F.lit("").alias("node_type"), F.lit("p").alias("json_path"), F.lit("r").alias("reason"), F.lit("l").alias("language"), digest.alias("sha256"), F.length("text").alias("char_count"), F.lit(False).alias("content_persisted"))).alias("executable_snippets_untrusted"),
+    )
+    return docs.select("doc_id", F.to_json(whole).alias("json"))
+
+
+def closed_schema_faults(spark, folder):
+    """Documents as compiled items, most of them with one of fifteen faults: everything that breaks the item's schema, with its path."""
+    items = _items(table(spark, folder, "documents").select("doc_id", "text", "source", "lang").where("text is not null"))
+    turn, json = F.col("doc_id") % (len(_PLANTED) + 1), F.col("json")
+    broken = F.coalesce(*[F.when(turn == k, F.replace(json, F.lit(old), F.lit(new))) for k, (old, new, _) in enumerate(_PLANTED)], json)
+    return K.faults(items.withColumn("json", broken), "doc_id")
+
+
+def closed_schema_records(spark, folder):
+    """The valid ones of these items as records: how many rows each table would have, and their names' digest."""
+    items = _items(table(spark, folder, "documents").select("doc_id", "text", "source", "lang").where("text is not null"))
+    valid = items.join(K.faults(items, "doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    parts = K.prepared(valid, "1.0")
+    both = parts["items"].join(parts["analyses"].select("analysis_id", "source_id"), "analysis_id").join(parts["sources"].select("source_id", "source_path", "sha256"), "source_id")
+    return both.select("source_path", "sha256", "source_id", "analysis_id", "item_id", F.array_join("integrations", ",").alias("integrations"))
+
+
+QUERIES = {f.__name__: f for f in (closed_schema_faults, closed_schema_records, context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
 
 
 def _tok(text: str) -> str:
@@ -217,6 +277,11 @@ w(run_id, moment, seq, n, want, verdict, now, used) as (
   union all select run_id, moment, seq, n, want, verdict, case when verdict = 'ACCEPTED' then want else now end, used + (verdict = 'ACCEPTED' and want = 'DEBUGGING')::int
   from (select *, {_VERDICT} as verdict from (select p.*, w.now, w.used from p join w on w.run_id = p.run_id and w.n + 1 = p.n)))"""
 ORACLE_SQL = {
+    "closed_schema_faults": f"""with p(turn, faults) as (values {", ".join(f"({k}, {list(f)})" for k, (_, _, f) in enumerate(_PLANTED))}),
+f as (select doc_id, unnest(faults) as f from documents join p on turn = doc_id % {len(_PLANTED) + 1} where text is not null) select doc_id, regexp_extract(f, '^(.*):', 1) as path, regexp_extract(f, '[A-Z_]+$') as code from f""",
+    "closed_schema_records": """with s as (select *, 'flows/' || doc_id || '.json' as source_path, sha256(text) as digest from documents where text is not null),
+a as (select *, sha256('example/flows' || chr(31) || repeat('a', 40) || chr(31) || source_path || chr(31) || digest) as source_id from s), b as (select *, sha256(source_id || chr(31) || '1.0') as analysis_id from a)
+select source_path, digest as sha256, source_id, analysis_id, sha256(analysis_id || chr(31) || '0.1') as item_id, source as integrations from b""",
     "snapshot_commits": f"""with d as ({_TWO}) select version, 'sources' as "table", count(distinct source || '|' || doc_id) as n from d group by version
 union all select version, 'analyses', count(distinct (source || '|' || (doc_id % 500), lang)) from d group by version union all select version, 'items', count(distinct text) from d group by version""",
     "snapshot_plan": """with s as (select *, doc_id % 3 <> 0 as held, case when doc_id % 50 = 1 then text || '!' else text end as now from documents), texts as (select distinct now from s)
