@@ -14,7 +14,10 @@ forest of its links. Equal vectors are compared once and counted by their number
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, nor do vectors of different dimension with one
 another; a null vec_id links with nothing and gets component_id null; every row of
-the table gives one row.
+the table gives one row. Finite vectors of any magnitude are compared by direction
+alone. A row that repeats another's vec_id and vector is a vector of its own, and they
+count one another; rows that repeat a vec_id with other vectors each get the links of
+all of them.
 """
 
 from __future__ import annotations
@@ -53,8 +56,7 @@ def _raw(vectors: DataFrame) -> DataFrame:
                 if v is None or not len(v):
                     continue
                 x = np.asarray([np.nan if y is None else y for y in v] if getattr(v, "dtype", object) == object else v, dtype=np.float64)
-                norm = np.sqrt((x * x).sum())
-                if np.isfinite(x).all() and norm > 0 and np.isfinite(norm):
+                if np.isfinite(x).all() and x.any():
                     raw = (x + 0.0).astype(kind).tobytes()  # -0.0 is 0.0
                     out.append((i, hashlib.blake2b(raw, digest_size=16).digest(), len(x), raw))
             yield pd.DataFrame(out, columns=["vec_id", "copy", "dim", "raw"])
@@ -63,7 +65,13 @@ def _raw(vectors: DataFrame) -> DataFrame:
 
 
 def _units(raws: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(np.float64)
+    return _unit(np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is taken out first, so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -181,8 +189,7 @@ def _compared(bases: dict[int, np.ndarray], kind: str, threshold: float):
         group = group.sort_values("block")
         sides = []
         for row in group.itertuples():
-            raw = np.frombuffer(row.raws, kind).reshape(-1, row.dim).astype(np.float64)
-            unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+            unit = _unit(np.frombuffer(row.raws, kind).reshape(-1, row.dim))
             sides.append((np.frombuffer(row.ids, "<i8"), np.frombuffer(row.copies, "<i8"), unit @ bases[row.dim], unit))
         (ids_a, n_a, turned_a, unit_a), (ids_b, n_b, turned_b, unit_b) = sides[0], sides[-1]
         same = len(sides) == 1

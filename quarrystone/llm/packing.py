@@ -15,9 +15,7 @@ no rows.
 
 from __future__ import annotations
 
-import base64
 import bisect
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, release, word_splitter, written
+from .common import release, written
+from .token_parts import document_ids
 
 CAPACITY = 2048
 #: A task packs at most so many items at a time; more are packed in turns.
@@ -35,50 +34,6 @@ TASK_ITEMS = 200_000
 FAN_IN = 8
 #: Bins with so few free places are done.
 SLACK = 8
-#: What the special token of the vocabulary looks like in a text; the tokenizer gives it its own id.
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-
-class Encoder(dict):
-    """Byte-level BPE: part of a text after a space -> its ids as little-endian unsigned 32-bit numbers; forgets everything when it is large."""
-
-    LIMIT = 200_000
-
-    def __init__(self, rank_file: str, pattern: str) -> None:
-        import tiktoken
-
-        super().__init__()
-        with open(rank_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._split, self._cut = word_splitter(pattern), cut_at_spaces(pattern)
-        self._pattern = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def _coded(self, text: str) -> bytes:
-        return np.array([i for word in self._split(text) for i in self._pattern.encode_ordinary(word)], dtype="<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes | None:
-        if not part or part[0].isspace():
-            return None  # it must not be split alone
-        got = self._coded(" " + part)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[part] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
-        if SPECIAL in text:
-            return np.array([SPECIAL_ID], "<u4").tobytes().join(self.ids(part) if part else b"" for part in text.split(SPECIAL))
-        if self._cut:
-            first, *others = text.split(" ")
-            got = list(map(self.__getitem__, others))
-            if None not in got:
-                return self._coded(first) + b"".join(got)
-        return self._coded(text)
-
-
-@functools.cache
-def coder_of(rank_file: str, pattern: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(rank_file, pattern)
 
 
 def pieces(ids: bytes, capacity: int = CAPACITY) -> list[bytes]:
@@ -135,19 +90,18 @@ def _binned(frames: Iterator[tuple[int, list[list[tuple]]]], capacity: int) -> I
             yield pd.DataFrame({"bin_group": group, "room": free[at : at + 2000].astype(np.int32), "items": out[at : at + 2000]})
 
 
-def _first_round(rank_file: str, pattern: str, capacity: int):
+def _first_round(file: str, capacity: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, coder = TaskContext.get().partitionId(), coder_of(rank_file, pattern)
-        end = np.zeros(1, "<u4").tobytes()
+        task = TaskContext.get().partitionId()
 
         def filled() -> Iterator[tuple[int, list[list[tuple]]]]:
             held: list[list[tuple]] = []
             for batch in batches:
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                     doc, at = None if pd.isna(doc) else int(doc), 0
-                    for k, piece in enumerate(pieces(coder.ids(text or "") + end, capacity)):
+                    for k, piece in enumerate(pieces(document_ids(text, file).tobytes(), capacity)):
                         held.append([(doc, k, at, len(piece) // 4, zlib.crc32(piece))])
                         at += len(piece) // 4
                 if len(held) >= TASK_ITEMS:
@@ -206,11 +160,11 @@ def _open_bins(rest: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
     return rest.where(F.col("room") < bar).unionByName(level.where(F.col("nth") > share).drop("nth")), rest.where(F.col("room") > bar).unionByName(level.where(F.col("nth") <= share).drop("nth"))
 
 
-def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
+def pack(docs: DataFrame, file: str, capacity: int = CAPACITY) -> DataFrame:
+    """docs(doc_id, text), a byte-level tokenizer's JSON file -> doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
 
-    bins = written(rows.mapInPandas(_first_round(rank_file, pattern, capacity), _BIN))
+    bins = written(rows.mapInPandas(_first_round(file, capacity), _BIN))
     done = bins.where(F.col("room") <= SLACK)
     rest = bins.where(F.col("room") > SLACK)
     groups = (bins.agg(F.max("bin_group")).first()[0] or 0) + 1

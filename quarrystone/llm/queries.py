@@ -62,7 +62,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

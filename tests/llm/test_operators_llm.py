@@ -15,7 +15,7 @@ from quarrystone.llm import bagminhash, bpe, components, divergence, ego, kernel
 from quarrystone.llm.common import importable
 
 tokenizers = pytest.importorskip("public_tokenizers")
-RANKS = tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, VOCABULARY = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " \n\t ", "a", "Ünï 😀 ½ ²³ 　 x", "aaaa " * 300, "x" * 3000, "tab\tsep\r\nline\x0bend\x1cz", "٢٣ ٣ <|endoftext|> y", "don't we'll I'd  've   \n\n  end  "]
 
 
@@ -122,7 +122,7 @@ def test_packing_is_whole_and_tight(spark):
     rng = np.random.default_rng(2)
     texts = ODD + [" ".join(rng.choice(["alpha", "bet", "the", "q7", "zürich"], int(n))) for n in rng.integers(1, 3000, 150)]
     docs = docs_of(spark, texts).repartition(9)
-    got = packing.pack(docs, RANKS, tokenizers.PATTERN).toPandas()
+    got = packing.pack(docs, VOCABULARY).toPandas()
     total = 0
     for i, t in enumerate(texts):
         ids = [*hf.encode(t or "", add_special_tokens=False).ids, 0]
@@ -136,7 +136,7 @@ def test_packing_is_whole_and_tight(spark):
         assert bin_.offset.tolist() == [0, *np.cumsum(bin_.length)[:-1]] and bin_.length.sum() <= 2048
     lengths = got.length.to_numpy()
     assert got.sequence_id.nunique() <= len(packing.best_fit(lengths)[1]) * 1.1 + 2
-    assert packing.pack(docs.limit(0), RANKS, tokenizers.PATTERN).count() == 0
+    assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
 
 
 def test_open_bins_lose_no_partner(spark):
@@ -563,3 +563,12 @@ def test_warc_resolution(spark):
         assert {k: (r.response_id, r.status) for k, r in got.items()} == {3: (1, "resolved"), 4: (2, "mismatch"), 5: (1, "resolved"), 6: (None, "no_response"), 7: (2, "unchecked"), 9: (None, "no_response")}
         assert got[3].headers == {"etag": 'W/"v1"', "date": "15", "content-type": "text/html"} and got[4].headers is None
     assert warc.resolve(records.limit(0)).count() == 0
+
+
+def test_ego_join_of_any_magnitude(spark):
+    """Squares that overflow or vanish; directions decide alone. Rows that repeat an id count one another."""
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (5, [1e308, 0.0]), (6, [0.0, 0.0]), (7, [-1e200, -1e200]), (8, [0.0, 3.0]), (8, [0.0, 4.0]), (9, [0.0, -1.0]), (9, [0.0, -1.0])]
+    got = ego.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 2, 8, True), (8, 2, 8, True), (9, 1, 9, True), (9, 1, 9, True),
+    ]
