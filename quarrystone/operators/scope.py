@@ -65,8 +65,9 @@ def highest_tier(level: Column) -> Column:
 
 def about_entity(rows: DataFrame, entity: str) -> DataFrame:
     """Rows about an entity, rows of the global scope and rows without a subject."""
-    named = [F.col(c) == entity for c in ("subject_entity_id", "object_entity_id") if c in rows.columns]
-    keep = (F.col("scope_type") == "GLOBAL") | F.col("subject_entity_id").isNull()
-    for n in named:
-        keep = keep | n
-    return rows.where(F.coalesce(keep, F.lit(True)))
+    told = lambda c: F.coalesce(c, F.lit(False))
+    keep = told(F.col("scope_type") == "GLOBAL") | F.col("subject_entity_id").isNull()
+    for c in ("subject_entity_id", "object_entity_id"):
+        if c in rows.columns:
+            keep = keep | told(F.col(c) == entity)
+    return rows.where(keep)

@@ -9,22 +9,28 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
+from . import budget as B
 from . import evidence as E
 from . import graph as G
-from . import pack as P
 from . import scope as S
 from .schemas import OWN_ID, SCHEMAS, structural_faults
 
 # Statuses that leave a question open; events and evidence that a pack takes, by mode.
 OPEN_HYPOTHESES, OPEN_UNKNOWNS = ("OPEN", "PARTIALLY_SUPPORTED", "CONFLICTING"), ("OPEN", "PARTIALLY_RESOLVED")
+SETTLED_UNKNOWNS, GONE_CLAIMS, PII_CLASS = ("RESOLVED", "NO_LONGER_RELEVANT"), ("SUPERSEDED", "RETRACTED"), "PII"
 MODES = {"OPERATIONAL": (5, 10), "RESEARCH": (3, 25), "BUILD": (5, 12), "AUDIT": (25, 25), "STRATEGY": (3, 12)}
 
 
-#: Columns of evidence that a search may filter by.
-FILTERS = ("direction", "strength", "evidence_type", "epistemic_status", "verification_state", "source_id", "level")
+#: Columns of evidence that a search may filter by, each by a value or a set of them, beside exclude_pii.
+FILTERS = ("direction", "strength", "evidence_type", "epistemic_status")
+#: Version of the rules by which packs are put together, a part of their identity.
+PACK_VERSION = "1.0.0"
+NO_EVIDENCE = "NO_EVIDENCE_FOUND"
+_IDS = "array<string>"
 
 
 class AmbiguousEntity(ValueError):
@@ -81,8 +87,9 @@ class ScopedWorld:
 
     def withheld(self) -> DataFrame:
         """(object_type, n) of secret objects that the scope would otherwise see."""
-        kinds = [k for k in ("entity", "source", "claim", "evidence") if "level" in self._world.frames[k].columns]
-        found = [S.guard(self._world.frames[k], self._text, self._global).where("level = 'SECRET'").agg(F.count("*").alias("n")).select(F.lit(k).alias("object_type"), "n") for k in kinds]
+        kinds = ("entity", "source", "claim", "evidence", "decision")
+        secret = lambda rows: rows.where("level = 'SECRET'" if "level" in rows.columns else "false")
+        found = [secret(S.guard(self._world.frames[k], self._text, self._global)).agg(F.count("*").alias("n")).select(F.lit(k).alias("object_type"), "n") for k in kinds]
         return reduce(DataFrame.unionByName, found)
 
     def resolve(self, query: str, limit: int = 10) -> DataFrame:
@@ -117,35 +124,47 @@ class ScopedWorld:
         both = rows.join(texts, "evidence_id", "left").join(titles, "source_id", "left")
         return both.select("evidence_id", "source_id", "subject_entity_id", "strength", F.concat_ws(" ", "title", "body").alias("text"))
 
-    def search(self, query: str, entities: list[str] | None = None, limit: int = 25, filters: dict[str, str] | None = None) -> DataFrame:
+    def search(self, query: str, entities: list[str] | None = None, limit: int = 25, filters: dict | None = None) -> DataFrame:
         """The best hits; evidence without a visible source to point to is no hit, nor is any that a filter rules out.
 
-        filters are equalities on direction, strength, evidence_type, epistemic_status, verification_state, source_id
-        or level; any other name is an error.
+        filters name a value or a set of values for direction, strength, evidence_type or epistemic_status; exclude_pii
+        leaves out what carries personal data. Any other name is an error.
         """
-        if unknown := set(filters or {}) - set(FILTERS):
+        filters = dict(filters or {})
+        without_pii = filters.pop("exclude_pii", False)
+        if unknown := set(filters) - set(FILTERS):
             raise ValueError(f"unknown filters: {sorted(unknown)}")
-        claims = self.all_of("claim")
+        kept = self.all_of("evidence")
+        for name, wanted in filters.items():
+            if wanted is not None:
+                kept = kept.where(F.col(name).isin(*([wanted] if isinstance(wanted, str) else sorted(wanted))))
+        if without_pii:
+            kept = kept.where(~F.coalesce(F.array_contains("data_classes", PII_CLASS), F.lit(False)))
         linked = None
         if entities:
-            about = claims.where(F.col("subject_entity_id").isin(*entities))
-            linked = about.select(F.explode(F.concat(F.coalesce("supporting_evidence_ids", F.array().cast("array<string>")), F.coalesce("counter_evidence_ids", F.array().cast("array<string>")))).alias("evidence_id"))
-        kept = reduce(lambda rows, f: rows.where(F.col(f[0]) == f[1]), (filters or {}).items(), self.all_of("evidence")).select("evidence_id")
-        rows = self.evidence_text().join(kept, "evidence_id", "left_semi").join(self.all_of("source").select("source_id"), "source_id", "left_semi")
+            about = self.all_of("claim").where(F.col("subject_entity_id").isin(*entities))
+            linked = about.select(F.explode(F.concat(F.coalesce("supporting_evidence_ids", F.array().cast(_IDS)), F.coalesce("counter_evidence_ids", F.array().cast(_IDS)))).alias("evidence_id"))
+        pointed = self.source_pointers().select("evidence_id").distinct()
+        rows = self.evidence_text().join(kept.select("evidence_id"), "evidence_id", "left_semi").join(pointed, "evidence_id", "left_semi")
         return E.search(rows, query, linked, entities, limit=limit)
 
+    def absence(self, hits: DataFrame) -> DataFrame:
+        """(kind): a row if there are no hits, as finding nothing is not finding that something is false."""
+        return hits.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(NO_EVIDENCE).alias("kind"))
+
     def source_pointers(self) -> DataFrame:
-        """(evidence_id, source_id, fragment_id, content_hash): where visible evidence comes from.
+        """(evidence_id, source_id, fragment_id, locator, observed_at, content_hash): where visible evidence comes from.
 
         Its own provenance first; else its source and fragments, or its source alone, if the scope may see that source.
         """
         rows = self.all_of("evidence").withColumn("own", F.filter("provenance", lambda p: p["source_id"].isNotNull()))
-        told = F.coalesce(F.size("own") > 0, F.lit(False))
-        own = rows.where(told).select("evidence_id", F.explode("own").alias("p")).select("evidence_id", "p.source_id", "p.fragment_id", "p.content_hash")
+        told, columns = F.coalesce(F.size("own") > 0, F.lit(False)), ("source_id", "fragment_id", "locator", "observed_at", "content_hash")
+        own = rows.where(told).select("evidence_id", F.explode("own").alias("p")).select("evidence_id", *[f"p.{c}" for c in columns])
         source = self.all_of("source").select("source_id", F.col("content_hash").alias("source_hash"))
-        rest = rows.where(~told).select("evidence_id", "source_id", F.explode_outer("fragment_ids").alias("fragment_id")).join(source, "source_id")
-        hashed = rest.join(self._world.frames["fragment"].select("fragment_id", "content_hash"), "fragment_id", "left")
-        return own.unionByName(hashed.select("evidence_id", "source_id", "fragment_id", F.when(F.col("fragment_id").isNull(), F.col("source_hash")).otherwise(F.col("content_hash")).alias("content_hash")))
+        rest = rows.where(~told).select("evidence_id", "source_id", "observed_at", F.explode_outer("fragment_ids").alias("fragment_id")).join(source, "source_id")
+        held = self._world.frames["fragment"].select("fragment_id", "content_hash", F.get("provenance", F.lit(0))["locator"].alias("locator"))
+        both = rest.join(held, "fragment_id", "left").withColumn("content_hash", F.when(F.col("fragment_id").isNull(), F.col("source_hash")).otherwise(F.col("content_hash")))
+        return own.unionByName(both.select("evidence_id", *columns))
 
     def provenance(self, kind: str) -> DataFrame:
         """(object_id, source_ids) of visible claims or evidence that can name a source: their own provenance, else their sources."""
@@ -180,85 +199,168 @@ class ScopedWorld:
         semantic = none.sparkSession.createDataFrame([("SEMANTIC", False, None)], "stage string, available boolean, n long")
         return reduce(DataFrame.unionByName, [*found, semantic])
 
-    def state(self, entity: str | None = None) -> DataFrame:
-        """One row: ids of active decisions, active claims, open hypotheses and unknowns, contradictions, newest stamp, freshness."""
-        claims = self.all_of("claim")
-        claims = S.about_entity(claims, entity) if entity else claims
-        active = claims.where("status = 'ACTIVE'")
-        ids = lambda rows, c, name: rows.agg(F.array_sort(F.collect_list(c)).alias(name))
-        facts = active.select(F.col("subject_entity_id").alias("subject_id"), "predicate", F.coalesce("object_entity_id", "object_value").alias("value"), "status")
-        conflicts = G.contradictions(facts).agg(F.array_sort(F.collect_list(F.concat_ws(":", "subject_id", "predicate"))).alias("conflicts"))
-        newest = claims.agg(F.max(F.greatest("created_at", "last_updated_at")).alias("newest"))
-        parts = [
-            ids(G.active_decisions(self.all_of("decision")), "decision_id", "active_decision_ids"), ids(active, "claim_id", "claim_ids"),
-            ids(self.all_of("hypothesis").where(F.col("status").isin(*OPEN_HYPOTHESES)), "hypothesis_id", "open_hypothesis_ids"),
-            ids(self.all_of("unknown").where(F.col("status").isin(*OPEN_UNKNOWNS)), "unknown_id", "open_unknown_ids"), conflicts, newest,
-        ]
-        row = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
-        return row.withColumn("freshness_status", G.freshness(F.col("newest"), F.col("newest")))
+    def _claims(self, entity: str | None) -> DataFrame:
+        return S.about_entity(self.all_of("claim"), entity) if entity else self.all_of("claim")
 
-    def delta(self, since: str) -> DataFrame:
-        """(object_type, id) of what changed after since, with the coverage of the record."""
-        at = F.to_timestamp(F.lit(since))
-        stamps = {"claim": ("created_at", "last_updated_at"), "evidence": ("created_at", "observed_at"), "decision": ("created_at", "effective_from"), "event": ("recorded_at", "occurred_at"), "unknown": ("created_at", "last_updated_at")}
-        rows = [self.all_of(k).where(G.changed_since(at, *c)).select(F.lit(k).alias("object_type"), F.col(OWN_ID[k]).alias("id")) for k, c in stamps.items()]
-        first = reduce(DataFrame.unionByName, [self.all_of(k).agg(F.min(F.least(*c)).alias("t")) for k, c in stamps.items()]).agg(F.min("t").alias("earliest"))
-        return reduce(DataFrame.unionByName, rows).join(first, F.lit(True)).withColumn("coverage", G.coverage(at, F.col("earliest"))).drop("earliest")
+    def state_ids(self, entity: str | None = None) -> DataFrame:
+        """(kind, id): what is in force or open, a row each, so that a large scope is no large row."""
+        open_of = lambda kind, states: self.all_of(kind).where(F.col("status").isin(*states))
+        held = {
+            "ACTIVE_DECISION": (G.active_decisions(self.all_of("decision")), "decision_id"), "CURRENT_CLAIM": (self._claims(entity).where("status = 'ACTIVE'"), "claim_id"),
+            "OPEN_HYPOTHESIS": (open_of("hypothesis", OPEN_HYPOTHESES), "hypothesis_id"), "OPEN_UNKNOWN": (open_of("unknown", OPEN_UNKNOWNS), "unknown_id"),
+        }
+        return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), F.col(name).alias("id")) for kind, (rows, name) in held.items()])
 
-    def context_pack(self, objective: str, mode: str = "OPERATIONAL", token_budget: int = 8000, entities: list[str] | None = None, generated_at: str | None = None) -> dict:
-        """A pack of pointers that fits the budget, or BudgetTooSmall with the exact minimum. The only driver boundary of a read: one row."""
+    def state(self, entity: str | None = None) -> DataFrame:
+        """One row: how many of each kind, the newest stamp, the next thing to learn, freshness; no row if nothing is recorded."""
+        contributing = [self._claims(entity), *[self.all_of(k) for k in ("decision", "hypothesis", "unknown")]]
+        newest = reduce(DataFrame.unionByName, [r.select(_newest(r).alias("t")) for r in contributing]).agg(F.count("*").alias("n_recorded"), F.max("t").alias("as_of"))
+        ids = self.state_ids(entity)
+        counts = ids.agg(*[F.count_if(F.col("kind") == k).alias(c) for k, c in (("CURRENT_CLAIM", "n_claims"), ("ACTIVE_DECISION", "n_decisions"), ("OPEN_HYPOTHESIS", "n_hypotheses"), ("OPEN_UNKNOWN", "n_unknowns"))])
+        learn = G.next_learning(self.all_of("hypothesis").where(F.col("status").isin(*OPEN_HYPOTHESES)), self.all_of("unknown").where(F.col("status").isin(*OPEN_UNKNOWNS)))
+        row = newest.where("n_recorded > 0").join(counts, F.lit(True)).join(learn, F.lit(True), "left")  # one row each
+        return row.withColumn("freshness_status", G.freshness(F.col("as_of"), F.col("as_of")))
+
+    def conflicts(self, entity: str | None = None) -> DataFrame:
+        """(description, claim_id, evidence_ids): contradictions left standing, a row for each claim of one.
+
+        A claim that says it is in conflict; one with counter evidence that nobody has reconciled; active claims that
+        give a subject and predicate several object values, where none counts as a value. Objects that are entities are
+        no values.
+        """
+        claims = self._claims(entity)
+        counter = F.array_sort(F.coalesce("counter_evidence_ids", F.array().cast(_IDS)))
+        told = (F.col("status") == "DISPUTED") | (F.col("epistemic_status") == "CONFLICTING")
+        of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        said = of("claim ", F.col("claim_id"), " is recorded as being in conflict (", F.coalesce("epistemic_status", F.lit("None")), "/", F.coalesce("status", F.lit("None")), ")")
+        against = of("claim ", F.col("claim_id"), " has evidence against it that has not been reconciled")
+        alone = claims.withColumn("description", F.when(F.coalesce(told, F.lit(False)), said).when(F.size(counter) > 0, against)).where("description is not null").select("description", "claim_id", counter.alias("evidence_ids"))
+        active = claims.where("status = 'ACTIVE'").select("claim_id", F.coalesce("subject_entity_id", F.lit("None")).alias("subject_id"), F.coalesce("predicate", F.lit("None")).alias("predicate"), F.col("object_value").alias("value"), "status")
+        torn = G.contradictions(active)
+        apart = active.join(torn, ["subject_id", "predicate"]).select(of(F.col("n_claims").cast("string"), " active claims disagree about '", F.col("predicate"), "' for ", F.col("subject_id")).alias("description"), "claim_id", F.array().cast(_IDS).alias("evidence_ids"))
+        return alone.unionByName(apart)
+
+    def _logged(self, entity: str | None) -> DataFrame:
+        """(object_type, id, status, first_at, changed_at, occurred_at, recorded_at): the stamps of all that a change is told of."""
+        stamp = lambda c, rows: F.col(c) if c in rows.columns else F.lit(None).cast("timestamp")
+        changed = {"claim": ("created_at", "last_updated_at"), "decision": ("effective_from", "created_at"), "hypothesis": ("last_updated_at",), "unknown": ("last_updated_at",), "event": ("occurred_at", "recorded_at")}
+        out = []
+        for kind, of in changed.items():
+            rows = self._claims(entity) if kind == "claim" else self.all_of(kind)
+            first = [stamp(c, rows) for c in ("occurred_at", "created_at", "effective_from", "recorded_at")]
+            # A claim is new by its creation and gone by its last change; both are told, so both are kept.
+            at = F.when(F.col("status").isin(*GONE_CLAIMS), F.col("last_updated_at")).otherwise(F.col("created_at")) if kind == "claim" else F.greatest(*[stamp(c, rows) for c in of], F.lit(None).cast("timestamp"))
+            out.append(rows.select(F.lit(kind).alias("object_type"), F.col(OWN_ID[kind]).alias("id"), (F.col("status") if "status" in rows.columns else F.lit(None).cast("string")).alias("status"), F.least(*first).alias("first_at"), at.alias("changed_at"), stamp("occurred_at", rows).alias("occurred_at"), stamp("recorded_at", rows).alias("recorded_at"), _newest(rows).alias("newest_at")))
+        return reduce(DataFrame.unionByName, out)
+
+    def delta(self, since: str | None, entity: str | None = None) -> DataFrame:
+        """(change, object_type, id, late_days): what changed after since; late_days where an event was recorded more than 30 days after it occurred."""
+        at = F.to_timestamp(F.lit(since))
+        log = self._logged(entity)
+        what = (
+            F.when((F.col("object_type") == "claim") & (F.col("status") == "ACTIVE"), "NEW_CLAIM").when((F.col("object_type") == "claim") & F.col("status").isin(*GONE_CLAIMS), "SUPERSEDED_CLAIM").when(F.col("object_type") == "decision", "DECISION_CHANGE")
+            .when(F.col("object_type") == "hypothesis", "HYPOTHESIS_CHANGE").when((F.col("object_type") == "unknown") & F.col("status").isin(*SETTLED_UNKNOWNS), "RESOLVED_UNKNOWN").when(F.col("object_type") == "event", "RECENT_EVENT")
+        )
+        seen = F.lit(True) if since is None else F.coalesce(F.col("changed_at") > at, F.lit(False))
+        rows = log.withColumn("change", what).where(F.col("change").isNotNull() & seen)
+        rows = rows.select("change", "object_type", "id", F.when(F.col("object_type") == "event", G.late(F.col("occurred_at"), F.col("recorded_at"))).alias("late_days"))
+        states = self.all_of("state_projection").select(F.lit("STATE_TRANSITION").alias("change"), F.lit("state_projection").alias("object_type"), F.col("state_projection_id").alias("id"), F.lit(None).cast("long").alias("late_days"))
+        anything = self.coverage(since, entity).where(F.col("coverage") != "NO_RECORD").select("coverage")
+        return rows.unionByName(states.join(anything, F.lit(True), "left_semi"))
+
+    def coverage(self, since: str | None, entity: str | None = None) -> DataFrame:
+        """One row (coverage, earliest, as_of): whether the record reaches back to since. One pass over the stamps."""
+        told = self._logged(entity).agg(F.count("*").alias("n"), F.min("first_at").alias("earliest"), F.max("newest_at").alias("as_of"))
+        at = F.to_timestamp(F.lit(since))
+        partial = F.coalesce(at < F.col("earliest"), F.lit(False))
+        return told.select(F.when(F.col("n") == 0, "NO_RECORD").when(partial, "PARTIAL_NO_RECORD_BEFORE").otherwise("COVERED").alias("coverage"), "earliest", "as_of")
+
+    def fingerprint(self) -> DataFrame:
+        """One row (fingerprint): a digest of every object that the scope may see, whatever their order; partial sums only."""
+        digest = lambda rows: F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+        parts = [self.all_of(k) for k in sorted(self._world.frames)]
+        return reduce(DataFrame.unionByName, [r.select(digest(r).alias("d")) for r in parts]).agg(I.fingerprint(F.col("d")).alias("fingerprint"))
+
+    def _entries(self, kind: str, ids: DataFrame) -> DataFrame:
+        """(object_id, entry): for the named claims or evidence their provenance, their own or their sources'; entry is null where they can name none."""
+        fields = [f.name for f in self._world.frames[kind].schema["provenance"].dataType.elementType.fields]
+        bare = lambda s: F.struct(*[(s if c == "source_id" else F.lit(None).cast(self._world.frames[kind].schema["provenance"].dataType.elementType[c].dataType)).alias(c) for c in fields])
+        sources = F.array_sort(F.coalesce("source_ids", F.array().cast(_IDS))) if kind == "claim" else F.array_compact(F.array("source_id"))
+        found = F.when(F.coalesce(F.size("provenance") > 0, F.lit(False)), F.col("provenance")).otherwise(F.transform(sources, bare))
+        rows = self.all_of(kind).join(ids.select(F.col("id").alias(OWN_ID[kind])), OWN_ID[kind], "left_semi")
+        name = F.col(OWN_ID[kind])
+        entry = F.when(F.size(found) > 0, F.struct(name.alias("object_id"), F.lit(kind.capitalize()).alias("object_type"), found.alias("provenance")))
+        return rows.select(name.alias("object_id"), entry.alias("entry"), *[(F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in (("level", "string"), ("data_classes", _IDS), ("strength", "string"))])
+
+    def pack_row(self, objective: str, mode: str = "OPERATIONAL", token_budget: int = 8000, entities: list[str] | None = None, requirements: tuple[str, ...] = (), since: str | None = None, generated_at: str | None = None) -> DataFrame:
+        """One row: the pack for an objective, fitted to its budget, with size, fits, minimum_required and trimmed."""
         n_events, n_evidence = MODES[mode]
-        claimed = self.all_of("claim")
-        state = self.state(entities[0] if entities and len(entities) == 1 else None).first().asDict()
-        hits = [r["evidence_id"] for r in self.search(objective, entities, n_evidence).select("evidence_id").collect()]
-        events = [r["event_id"] for r in self.all_of("event").select("event_id").orderBy("event_id").limit(n_events).collect()]
-        named = lambda ids: claimed.sparkSession.createDataFrame([(i,) for i in ids], "object_id string")
-        traced = {k: {r["object_id"]: sorted(r["source_ids"]) for r in self.provenance(k).join(named(ids), "object_id", "left_semi").collect()} for k, ids in (("claim", state["claim_ids"]), ("evidence", hits))}
-        told = [i for i in state["claim_ids"] if i in traced["claim"]]
-        untold = [f"UNPROVENANCED:{i}" for i in state["claim_ids"] if i not in traced["claim"]]
-        hits = [i for i in hits if i in traced["evidence"]]
-        held = self.tier_of(named([*told, *hits, *(entities or [])])).first()
-        reach = [r["node"] for r in self.expand(entities).select("node").orderBy("node").collect()] if entities else []
-        pack = {
-            "objective": objective, "mode": mode, "scope": ":".join(self.scope), "entity_ids": sorted({*(entities or []), *reach}), "claim_ids": told, "decision_ids": state["active_decision_ids"],
-            "hypothesis_ids": state["open_hypothesis_ids"], "unknown_ids": state["open_unknown_ids"], "evidence_ids": hits, "event_ids": events, "conflicts": state["conflicts"],
-            "freshness_status": state["freshness_status"], "summary": f"{len(told)} claims, {len(state['active_decision_ids'])} decisions", "procedural_refs": [], "constraints": [r["line"] for r in self.constraints().collect()],
-            "provenance": {i: traced[k][i] for k, ids in (("claim", told), ("evidence", hits)) for i in ids}, "level": held["level"], "data_classes": held["data_classes"],
-            "gaps": [*([] if hits else ["NO_EVIDENCE_FOUND"]), *untold],
-        }
-        pack = fit_to_budget(pack, token_budget)
-        import hashlib
-        import json
-
-        name = hashlib.sha256(json.dumps(pack, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:32]
-        return pack | {"context_pack_id": f"cp_{name}", "generated_at": generated_at, "token_budget": token_budget}
-
-
-def size_of(value: object) -> int:
-    """A quarter of a text's length rounded up, 1 for a scalar, 0 for nothing, 2 for a container beside what it holds."""
-    if value is None:
-        return 0
-    if isinstance(value, str):
-        return -(-len(value) // 4)
-    if isinstance(value, dict):
-        return 2 + sum(size_of(k) + size_of(v) for k, v in value.items())
-    if isinstance(value, (list, tuple)):
-        return 2 + sum(map(size_of, value))
-    return 1
-
-
-def fit_to_budget(pack: dict, budget: int) -> dict:
-    """Drop steps in their order, each measured with its own line in gaps and taken back if it does not shrink the pack."""
-    cuts = {
-        "VERBOSE_SUMMARY": lambda p: p | {"summary": ""}, "LOW_RELEVANCE_ARTIFACTS": lambda p: p | {"entity_ids": p["entity_ids"][:1]}, "OLDER_EVENTS": lambda p: p | {"event_ids": p["event_ids"][-2:]},
-        "WEAKER_EVIDENCE": lambda p: p | {"evidence_ids": p["evidence_ids"][: max(1, len(p["evidence_ids"]) // 4)]}, "SECONDARY_PROCEDURAL_REFS": lambda p: p | {"procedural_refs": []},
-    }
-    for step in P.DROP_ORDER:
-        if size_of(pack) <= budget:
-            return pack
-        smaller = cuts[step](pack)
-        smaller = smaller | {"gaps": [*pack["gaps"], f"trimmed:{step}"]}
-        pack = smaller if size_of(smaller) < size_of(pack) else pack
-    if size_of(pack) > budget:
-        raise BudgetTooSmall(budget, size_of(pack))
-    return pack
+        entity = entities[0] if entities and len(entities) == 1 else None
+        listed = lambda rows, c, name: rows.agg(F.array_sort(F.collect_list(c)).alias(name))
+        ids = self.state_ids(entity)
+        of = lambda kind, name: listed(ids.where(F.col("kind") == kind), "id", name)
+        hits = self.search(objective, entities, n_evidence)
+        claims = self._entries("claim", ids.where("kind = 'CURRENT_CLAIM'"))
+        evidence = self._entries("evidence", hits.select(F.col("evidence_id").alias("id")))
+        asserting = claims.unionByName(evidence)
+        told = asserting.agg(
+            F.array_sort(F.collect_list(F.when(F.col("entry.object_type") == "Claim", F.col("object_id")))).alias("claim_ids"), F.array_sort(F.collect_list(F.when(F.col("entry.object_type") == "Evidence", F.col("object_id")))).alias("evidence_ids"),
+            F.array_sort(F.collect_list("entry"), _by_object).alias("provenance_summary"), F.array_sort(F.collect_list(F.when(F.col("entry").isNull(), F.col("object_id")))).alias("untold"),
+            F.map_from_entries(F.collect_list(F.when(F.col("strength").isNotNull(), F.struct("object_id", "strength")))).alias("strengths"), F.coalesce(S.highest_tier(F.when(F.col("entry").isNotNull(), F.coalesce("level", F.lit("INTERNAL")))), F.lit("PUBLIC")).alias("asserted_level"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("entry").isNotNull(), F.coalesce("data_classes", F.array().cast(_IDS))))))).alias("data_classes"),
+        )
+        others = ids.where("kind <> 'CURRENT_CLAIM'").agg(F.when(F.count("*") > 0, F.lit("INTERNAL")).alias("other_level"))
+        events = self.delta(since).where("change = 'RECENT_EVENT'").select("id").orderBy("id").limit(n_events)
+        reach = self.expand(entities).select("node") if entities else ids.limit(0).select(F.col("id").alias("node"))
+        withheld = self.withheld().agg(F.sum("n").alias("n_withheld"))
+        state = self.state(entity).select("as_of", "freshness_status")
+        covered = self.coverage(since).select("coverage", F.col("as_of").alias("recorded_at"))
+        found = hits.agg(F.count("*").alias("n_hits"))
+        parts = [told, others, of("ACTIVE_DECISION", "decision_ids"), of("OPEN_HYPOTHESIS", "hypothesis_ids"), of("OPEN_UNKNOWN", "unknown_ids"), listed(events, "id", "recent_event_ids"), listed(reach, "node", "reached"), listed(self.constraints(), "line", "constraints"), withheld, covered, found, self.fingerprint()]
+        row = reduce(lambda a, b: a.join(b, F.lit(True)), parts).join(state, F.lit(True), "left")  # one row each
+        scope = ":".join(self.scope)
+        line = lambda condition, *text: F.when(condition, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]))
+        gaps = F.array_compact(F.array(
+            line(F.col("as_of").isNull(), f"no state is recorded for {scope}; this is an absence in the record, not a finding"), line(F.col("n_hits") == 0, f"{NO_EVIDENCE}: nothing matched {objective!r} in {scope}; this is not evidence that any claim is false"),
+            line(F.lit(True), "retrieval stage SEMANTIC is not available in this deployment"), line(F.col("coverage") != "COVERED", "delta coverage is ", F.col("coverage")),
+            line(F.col("n_withheld") > 0, F.col("n_withheld").cast("string"), " object(s) in scope are SECRET and are excluded from this pack"),
+            line(F.size("untold") > 0, F.size("untold").cast("string"), " asserting object(s) were excluded for having no traceable source: ", F.array_join("untold", ", ")),
+        ))
+        wanted = F.array(*map(F.lit, entities)) if entities else F.array().cast(_IDS)
+        level = S.TIERS
+        rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, level)), c), F.lit(0))
+        pack = row.select(
+            F.lit("1.0.0").alias("contract_version"), F.lit("ContextPack").alias("object_type"), F.lit("cp_" + "0" * 32).alias("context_pack_id"), F.lit(PACK_VERSION).alias("version"), F.lit(objective).alias("objective"), F.lit(mode).alias("mode"),
+            F.struct(F.lit(self.scope[0]).alias("scope_type"), F.lit(self.scope[1]).alias("scope_id")).alias("scope"), F.array_sort(F.array_union(wanted, F.col("reached"))).alias("entity_ids"),
+            F.coalesce(F.lit(generated_at), F.date_format(F.coalesce("as_of", "recorded_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z")).alias("generated_at"),
+            F.when(F.col("as_of").isNotNull(), F.array(F.concat(F.lit("sp_"), F.left(F.sha2(F.concat_ws("\x1f", F.col("fingerprint"), F.lit(scope), F.lit(entity or ""), F.lit("state")), 256), F.lit(24))))).otherwise(F.array().cast(_IDS)).alias("state_projection_ids"),
+            "decision_ids", "claim_ids", "evidence_ids", "hypothesis_ids", "unknown_ids", "recent_event_ids", F.array().cast("array<struct<artifact_id:string>>").alias("artifact_refs"), F.array_sort(gaps).alias("gaps"), "constraints",
+            F.array(*map(F.lit, sorted(requirements))).cast(_IDS).alias("procedural_refs"), F.lit(token_budget).alias("token_budget"), F.when(rank(F.col("other_level")) > rank(F.col("asserted_level")), F.col("other_level")).otherwise(F.col("asserted_level")).alias("sensitivity_level"),
+            "data_classes", "provenance_summary", F.coalesce("freshness_status", F.lit("UNKNOWN_FRESHNESS")).alias("freshness_status"),
+            "strengths", "fingerprint",
+        )
+        world = pack.select("fingerprint")
+        fitted = B.fit(pack.drop("fingerprint")).join(world, F.lit(True))
+        included = ("state_projection_ids", "decision_ids", "claim_ids", "evidence_ids", "hypothesis_ids", "unknown_ids", "recent_event_ids", "procedural_refs", "artifact_refs", "constraints", "gaps", "provenance_summary")
+        identity = F.to_json(F.struct(*sorted(("version", "contract_version", "objective", "mode", "scope", "entity_ids", "token_budget", "fingerprint", *included))))
+        return fitted.withColumn("context_pack_id", F.concat(F.lit("cp_"), F.left(F.sha2(identity, 256), F.lit(32)))).drop("fingerprint")
+
+    def context_pack(self, objective: str, mode: str = "OPERATIONAL", token_budget: int = 8000, entities: list[str] | None = None, requirements: tuple[str, ...] = (), since: str | None = None, generated_at: str | None = None) -> dict:
+        """pack_row as a dictionary, or BudgetTooSmall with the exact minimum. The only driver boundary of a read: one row."""
+        row = self.pack_row(objective, mode, token_budget, entities, requirements, since, generated_at).first().asDict(recursive=True)
+        told = {c: row.pop(c) for c in ("size", "fits", "minimum_required", "trimmed")}
+        if not told["fits"]:
+            raise BudgetTooSmall(token_budget, told["minimum_required"])
+        return row
+
+
+def _by_object(a: Column, b: Column) -> Column:
+    """Order of entries, whose locators have none."""
+    one, other = (F.struct(e["object_type"], e["object_id"]) for e in (a, b))
+    return F.when(one < other, -1).when(one > other, 1).otherwise(0)
+
+
+def _newest(rows: DataFrame) -> Column:
+    """The latest stamp that a row has."""
+    stamps = [F.col(c) for c in ("occurred_at", "recorded_at", "created_at", "last_updated_at", "effective_from", "observed_at") if c in rows.columns]
+    return F.greatest(*stamps, F.lit(None).cast("timestamp"))

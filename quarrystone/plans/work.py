@@ -47,7 +47,7 @@ def pii_minimise_email_card(spark, folder):
 
 
 def pii_minimise_all(spark, folder):
-    docs = table(spark, folder, "documents").where(F.col("text").rlike("[0-9@]")).select("doc_id", R.minimised(F.col("text")).alias("m"))
+    docs = table(spark, folder, "documents").select("doc_id", R.minimised(F.col("text")).alias("m"))
     return docs.select("doc_id", F.array_join("m.redactions", ",").alias("redactions"), "m.data_class")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as C
 from ..operators import semantic as M
-from ..operators.schemas import OWN_ID, SCHEMAS
+from ..operators.schemas import OWN_ID, SCHEMAS, VOCABULARIES
 from ..operators.world import World
 from ..sources.tables import table
 from .reads import SCOPE, SINCE
@@ -45,7 +45,7 @@ def world(spark, folder) -> World:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     of_source = _scoped(F.coalesce(F.substring("source", 4, 9).try_cast("int") % 10 == 0, F.lit(False)), F.col("source"))
     fragment, hashed = F.concat(F.lit("f"), "doc_id"), F.sha2(F.col("text"), 256)
-    own = F.struct(F.col("source").alias("source_id"), fragment.alias("fragment_id"), F.lit(None).cast("map<string,string>").alias("locator"), *[F.lit(None).cast("timestamp").alias(c) for c in ("observed_at", "captured_at")], hashed.alias("content_hash"))
+    own = F.struct(F.col("source").alias("source_id"), fragment.alias("fragment_id"), F.create_map(F.lit("page"), (F.col("doc_id") % 7).cast("string")).alias("locator"), _day(F.col("doc_id") % 60).alias("observed_at"), F.lit(None).cast("timestamp").alias("captured_at"), hashed.alias("content_hash"))
     third, fifth = F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0
     people = table(spark, folder, "customer").select("c_custkey", "c_name")
     mine = lambda c: _scoped(F.col(c) % 3 == 0, F.when(F.col(c) % 3 == 1, "src3").otherwise("src4"))
@@ -70,8 +70,28 @@ def world(spark, folder) -> World:
     })
 
 
+def changing_world(spark, folder) -> World:
+    """The world with everything that changes: claims in every state, hypotheses, unknowns, events, projections."""
+    frames = dict(world(spark, folder).frames)
+    key = F.substring("claim_id", 2, 12).cast("long")
+    frames["claim"] = frames["claim"].withColumns({
+        "status": F.when((F.col("status") != "ACTIVE") & (key % 11 == 0), "DISPUTED").when((F.col("status") != "ACTIVE") & (key % 3 == 1), "RETRACTED").otherwise(F.col("status")), "epistemic_status": F.when(key % 13 == 0, "CONFLICTING").otherwise("DECLARED"),
+        "counter_evidence_ids": F.when(key % 17 == 0, F.array(F.concat(F.lit("v"), (key % 50).cast("string")), F.lit("v1"))),
+    })
+    frames["decision"] = frames["decision"].withColumn("effective_from", F.timestamp_add("DAY", F.lit(1), "created_at"))
+    mine = lambda c: _scoped(F.col(c) % 3 == 0, F.when(F.col(c) % 3 == 1, "src3").otherwise("src4"))
+    part, supplier = table(spark, folder, "part").select("p_partkey"), table(spark, folder, "supplier").select("s_suppkey")
+    frames["hypothesis"] = _frame(part, "hypothesis", hypothesis_id=F.concat(F.lit("h"), "p_partkey"), status=_one_of(VOCABULARIES["hypothesis", "status"], "p_partkey"), next_best_learning=F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("ask "), "p_partkey")), created_at=_day(F.col("p_partkey") % 20), last_updated_at=_day(F.col("p_partkey") % 30), **mine("p_partkey"))
+    frames["unknown"] = _frame(supplier, "unknown", unknown_id=F.concat(F.lit("u"), "s_suppkey"), statement=F.lit("?"), status=_one_of(VOCABULARIES["unknown", "status"], "s_suppkey"), priority=_one_of(VOCABULARIES["unknown", "priority"], "s_suppkey"), created_at=_day(F.lit(3)), last_updated_at=_day(F.col("s_suppkey") % 25 + 3), **mine("s_suppkey"))
+    events = table(spark, folder, "events").select("event_id", "ts")
+    frames["event"] = _frame(events, "event", event_id=F.concat(F.lit("x"), "event_id"), occurred_at=F.timestamp_add("DAY", -(F.col("event_id") % 40).cast("int"), "ts"), recorded_at=F.col("ts"), **mine("event_id"))
+    frames["state_projection"] = _frame(table(spark, folder, "nation").select("n_nationkey"), "state_projection", state_projection_id=F.concat(F.lit("sp"), "n_nationkey"), **mine("n_nationkey"))
+    return World.of(spark, frames)
+
+
 def world_source_pointers(spark, folder):
-    return world(spark, folder).scoped(SCOPE).source_pointers()
+    rows = world(spark, folder).scoped(SCOPE).source_pointers()
+    return rows.withColumns({"locator": F.array_join(F.transform(F.map_entries("locator"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"), "observed_at": F.date_format("observed_at", "yyyy-MM-dd")})
 
 
 def world_provenance(spark, folder):
@@ -109,7 +129,25 @@ def world_withheld(spark, folder):
 
 
 def world_delta(spark, folder):
-    return world(spark, folder).scoped(SCOPE).delta(SINCE)
+    return changing_world(spark, folder).scoped(SCOPE).delta(SINCE)
+
+
+def world_coverage(spark, folder):
+    """Whether the record reaches back to a moment, before its start and after."""
+    mine = changing_world(spark, folder).scoped(SCOPE)
+    rows = [mine.coverage(since).select(F.lit(since).alias("since"), "coverage", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("earliest", "as_of")]) for since in (SINCE, "2020-01-01 00:00:00")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def world_conflicts(spark, folder):
+    return changing_world(spark, folder).scoped(SCOPE).conflicts().withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+def world_pack(spark, folder):
+    """The pack of everything that concerns one entity, in a budget that holds it."""
+    row = changing_world(spark, folder).scoped(SCOPE).pack_row("nation heed", "RESEARCH", 2_000_000_000, ["e1"], ("first", "second"), SINCE)
+    lists = ("entity_ids", "decision_ids", "claim_ids", "evidence_ids", "hypothesis_ids", "unknown_ids", "recent_event_ids", "constraints", "data_classes")
+    return row.select("mode", "sensitivity_level", "freshness_status", "fits", F.size("provenance_summary").cast("long").alias("n_provenance"), *[F.md5(F.array_join(c, ",")).alias(c) for c in lists])
 
 
 def world_tier(spark, folder):
@@ -120,9 +158,13 @@ def world_tier(spark, folder):
 
 
 def world_state(spark, folder):
-    row = world(spark, folder).scoped(SCOPE).state()
-    lists = ("active_decision_ids", "claim_ids", "open_hypothesis_ids", "open_unknown_ids", "conflicts")
-    return row.select(*[F.md5(F.array_join(c, ",")).alias(c) for c in lists], F.date_format("newest", "yyyy-MM-dd").alias("newest"), "freshness_status")
+    """Ids of everything in force or open, a row each."""
+    return changing_world(spark, folder).scoped(SCOPE).state_ids()
+
+
+def world_state_summary(spark, folder):
+    row = changing_world(spark, folder).scoped(SCOPE).state()
+    return row.select("n_claims", "n_decisions", "n_hypotheses", "n_unknowns", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss").alias("as_of"), "next_best_learning", "freshness_status")
 
 
 def world_trace(spark, folder):
@@ -153,7 +195,7 @@ def pack_references(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    world_source_pointers, world_provenance, world_unprovenanced, world_constraints, world_relations, world_expansion, world_filtered_search, world_withheld, world_delta, world_tier, world_state, world_trace, world_faults, semantic_faults, pack_references,
+    world_source_pointers, world_provenance, world_unprovenanced, world_constraints, world_relations, world_expansion, world_filtered_search, world_withheld, world_delta, world_coverage, world_conflicts, world_pack, world_tier, world_state, world_state_summary, world_trace, world_faults, semantic_faults, pack_references,
 )}
 
 _MINE = "case when {0} % 3 = 0 then 'GLOBAL' when {0} % 3 = 1 then 'src3' else 'src4' end in ('GLOBAL', 'src3')"
@@ -164,22 +206,26 @@ cl as (select 'c' || o_orderkey as claim_id, 'e' || o_custkey as subject, ['owns
   o_orderstatus = 'O' as active, o_orderkey % 2 = 0 as told, 'v' || (o_orderkey % 97) as evidence_id, o_orderkey from orders where {_MINE.format("o_orderkey")}),
 de as (select 'd' || o_orderkey as decision_id, 'ship ' || o_custkey as decision, o_orderstatus <> 'F' as active, case when o_orderkey % 7 = 0 then 'd' || (o_orderkey - 1) end as supersedes, o_orderkey from orders where {_MINE.format("o_orderkey")}),
 de_active as (select * from de where active and decision_id not in (select supersedes from de where supersedes is not null)),
-pointers as (select evidence_id, source as source_id, 'f' || doc_id as fragment_id, sha256(text) as content_hash from ev where doc_id % 5 = 0
-  union all select evidence_id, source, fragment_id, case when fragment_id is null then sha256(source) else sha256(text) end from ev join src using (source) where doc_id % 5 <> 0),
+pointers as (select evidence_id, source as source_id, 'f' || doc_id as fragment_id, 'page=' || (doc_id % 7) as locator, strftime(date '2024-01-01' + (doc_id % 60)::int, '%Y-%m-%d') as observed_at, sha256(text) as content_hash from ev where doc_id % 5 = 0
+  union all select evidence_id, source, fragment_id, null, null, case when fragment_id is null then sha256(source) else sha256(text) end from ev join src using (source) where doc_id % 5 <> 0),
 edges as (select subject as src, object as dst from cl where object in (select entity_id from en))"""
 _STATUSES = "['" + "','".join(C.STATUSES) + "']"
 _SCOPE_ID = "case when {0} % 3 = 0 then 'GLOBAL' when {0} % 3 = 1 then 'src3' else 'src4' end"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
-def _hits(words: list[str], limit: int, extra: str) -> str:
-    """Hits of a search about e1: a link is worth 0.7 x 0.6, all words 0.4."""
-    return f"""texts as (select ev.*, {_WORDS.format("'title of ' || source || ' ' || case when doc_id % 3 = 0 then coalesce(text, '') else '' end")} as words from ev join src using (source) where {extra}),
-scored as (select evidence_id, doc_id, case when evidence_id in (select evidence_id from cl where subject = 'e1') then 0.7 else 0.0 end::double as relational,
+def _hits(words: list[str], limit: int, extra: str, linked: str = "select evidence_id from cl where subject = 'e1'") -> str:
+    """Hits of a search about e1: a link is worth 0.7 x 0.6, all words 0.4. Only a visible source gives its title; a pointer is needed."""
+    text = "concat_ws(' ', case when seen is not null then 'title of ' || source end, case when doc_id % 3 = 0 and seen is not null then coalesce(text, '') end)"
+    return f"""texts as (select ev.*, {_WORDS.format(text)} as words from ev left join (select source as seen from src) on seen = source where {extra} and evidence_id in (select evidence_id from pointers)),
+scored as (select evidence_id, doc_id, case when evidence_id in ({linked}) then 0.7 else 0.0 end::double as relational,
   len(list_filter({words}, lambda w: list_contains(words, w))) / {len(words)}.0 as lexical from texts),
 hits as (select evidence_id, relational, lexical, round((0.6 * relational + 0.4 * lexical)::double, 6) as score from scored where round((0.6 * relational + 0.4 * lexical)::double, 6) >= 0.01 order by score desc, doc_id % 3, evidence_id limit {limit})"""
 
 
+#: States of everything that changes, beside the world.
+_CHANGING = f"""cc as (select cl.*, cl.o_orderkey as n, cl.o_orderkey % 3 = 0 as global, case when cl.active then 'ACTIVE' when cl.o_orderkey % 11 = 0 then 'DISPUTED' when cl.o_orderkey % 3 = 1 then 'RETRACTED' else 'SUPERSEDED' end as status from cl),
+hy as (select p_partkey as n from part where {_MINE.format("p_partkey")}), un as (select s_suppkey as n from supplier where {_MINE.format("s_suppkey")}), xs as (select event_id as n, ts from events where {_MINE.format("event_id")})"""
 _IDS = "md5(coalesce(string_agg({0}, ',' order by {0}), ''))"
 ORACLE_SQL = {
     "world_source_pointers": f"with {_WORLD} select * from pointers",
@@ -191,13 +237,31 @@ ORACLE_SQL = {
 select dst as node, 1 as depth from one union all select dst, 2 from two""",
     "world_filtered_search": f"with {_WORLD}, {_hits(['nation', 'heed', 'src3', 'title'], 40, 'doc_id % 3 = 0')} select evidence_id, relational, score from hits",
     "world_withheld": f"""select 'entity' as object_type, count(*) as n from customer where {_MINE.format("c_custkey")} and c_custkey % 50 = 0 union all select 'source', count(distinct source) from documents where source = 'src10'
-union all select 'claim', 0 union all select 'evidence', count(*) from documents where (source = 'src3' or try_cast(substr(source, 4) as int) % 10 = 0) and doc_id % 17 = 0""",
-    "world_delta": f"""with {_WORLD} select 'claim' as object_type, claim_id as id, 'COVERED' as coverage from cl where greatest(o_orderkey % 40, o_orderkey % 50) > 9
-union all select 'evidence', evidence_id, 'COVERED' from ev where doc_id % 60 > 9 union all select 'decision', decision_id, 'COVERED' from de where o_orderkey % 45 > 9""",
-    "world_tier": "select 'INTERNAL' as level, 'PII' as data_classes",
-    "world_state": f"""with {_WORLD}, facts as (select subject, predicate, coalesce(object, value) as value from cl where active), torn as (select subject || ':' || predicate as c from facts group by subject, predicate having count(distinct value) > 1)
-select (select {_IDS.format("decision_id")} from de_active) as active_decision_ids, (select {_IDS.format("claim_id")} from cl where active) as claim_ids, md5('') as open_hypothesis_ids, md5('') as open_unknown_ids, (select {_IDS.format("c")} from torn) as conflicts,
-  (select strftime(date '2024-01-01' + max(greatest(o_orderkey % 40, o_orderkey % 50))::int, '%Y-%m-%d') from cl) as newest, 'FRESH' as freshness_status""",
+union all select 'claim', 0 union all select 'evidence', count(*) from documents where (source = 'src3' or try_cast(substr(source, 4) as int) % 10 = 0) and doc_id % 17 = 0 union all select 'decision', 0""",
+    "world_delta": f"""with {_WORLD}, {_CHANGING} select 'NEW_CLAIM' as change, 'claim' as object_type, claim_id as id, null::bigint as late_days from cc where active and n % 40 > 9
+union all select 'SUPERSEDED_CLAIM', 'claim', claim_id, null from cc where status in ('SUPERSEDED', 'RETRACTED') and n % 50 > 9 union all select 'DECISION_CHANGE', 'decision', decision_id, null from de where o_orderkey % 45 + 1 > 9
+union all select 'HYPOTHESIS_CHANGE', 'hypothesis', 'h' || n, null from hy where n % 30 > 9 union all select 'RESOLVED_UNKNOWN', 'unknown', 'u' || n, null from un where n % 4 > 1 and n % 25 + 3 > 9
+union all select 'RECENT_EVENT', 'event', 'x' || n, case when n % 40 > 30 then n % 40 end from xs where ts > timestamp '{SINCE}' union all select 'STATE_TRANSITION', 'state_projection', 'sp' || n_nationkey, null from nation where {_MINE.format("n_nationkey")}""",
+    "world_coverage": f"""with {_WORLD}, {_CHANGING}, t as (select timestamp '2024-01-01' + to_days((n % 40)::int) as first, timestamp '2024-01-01' + to_days(greatest(n % 40, n % 50)::int) as last from cc
+  union all select timestamp '2024-01-01' + to_days((o_orderkey % 45)::int), timestamp '2024-01-01' + to_days((o_orderkey % 45 + 1)::int) from de union all select timestamp '2024-01-01' + to_days((n % 20)::int), timestamp '2024-01-01' + to_days(greatest(n % 20, n % 30)::int) from hy
+  union all select timestamp '2024-01-04', timestamp '2024-01-04' + to_days((n % 25)::int) from un union all select ts - to_days((n % 40)::int), ts from xs), m as (select min(first) as a, max(last) as z from t)
+select since, case when since::timestamp < a then 'PARTIAL_NO_RECORD_BEFORE' else 'COVERED' end as coverage, strftime(a, '%Y-%m-%d %H:%M:%S') as earliest, strftime(z, '%Y-%m-%d %H:%M:%S') as as_of from m, (values ('{SINCE}'), ('2020-01-01 00:00:00')) s(since)""",
+    "world_conflicts": f"""with {_WORLD}, {_CHANGING}, g as (select subject, predicate, count(*) as n, count(distinct coalesce(value, 'None')) as v from cc where active group by all)
+select case when status = 'DISPUTED' or n % 13 = 0 then 'claim ' || claim_id || ' is recorded as being in conflict (' || case when n % 13 = 0 then 'CONFLICTING' else 'DECLARED' end || '/' || status || ')'
+  else 'claim ' || claim_id || ' has evidence against it that has not been reconciled' end as description, claim_id, case when n % 17 = 0 then array_to_string(list_sort(['v' || (n % 50), 'v1']), ',') else '' end as evidence_ids from cc where status = 'DISPUTED' or n % 13 = 0 or n % 17 = 0
+union all select g.n || ' active claims disagree about ' || chr(39) || predicate || chr(39) || ' for ' || subject, claim_id, '' from cc join g using (subject, predicate) where active and g.n > 1 and v > 1""",
+    "world_pack": f"""with {_WORLD}, {_CHANGING}, {_hits(['nation', 'heed'], 25, 'true', "select evidence_id from cl where subject = 'e1' union all select unnest(['v' || (n % 50), 'v1']) from cc where subject = 'e1' and n % 17 = 0")}, mc as (select * from cc where active and (global or subject = 'e1' or coalesce(object, '') = 'e1')), told as (select claim_id as id, 'C' as kind from mc where n % 2 = 0 union all select evidence_id, 'E' from hits),
+xe as (select 'x' || n as id from xs where ts > timestamp '{SINCE}' order by 1 limit 3), reached as (select distinct dst from edges where src = 'e1' union select 'e1')
+select 'RESEARCH' as mode, 'INTERNAL' as sensitivity_level, 'FRESH' as freshness_status, true as fits, (select count(*) from told) as n_provenance, (select {_IDS.format("dst")} from reached) as entity_ids, (select {_IDS.format("decision_id")} from de_active) as decision_ids,
+  (select {_IDS.format("id")} from told where kind = 'C') as claim_ids, (select {_IDS.format("id")} from told where kind = 'E') as evidence_ids, (select {_IDS.format("'h' || n")} from hy where n % 6 < 3) as hypothesis_ids, (select {_IDS.format("'u' || n")} from un where n % 4 < 2) as unknown_ids,
+  (select {_IDS.format("id")} from xe) as recent_event_ids, (select {_IDS.format("decision_id || ': ' || decision")} from de_active) as constraints, (select {_IDS.format("c")} from (select distinct 'PII' as c from ev join hits using (evidence_id) where ev.doc_id % 4 = 0)) as data_classes""",
+    "world_tier": f"""with {_WORLD}, named as (select evidence_id as id, 'INTERNAL' as level, case when doc_id % 4 = 0 then 'PII' end as class from ev union all select claim_id, 'INTERNAL', null from cl)
+select max(level) as level, coalesce(string_agg(distinct class, ','), '') as data_classes from named""",
+    "world_state": f"""with {_WORLD}, {_CHANGING} select 'ACTIVE_DECISION' as kind, decision_id as id from de_active union all select 'CURRENT_CLAIM', claim_id from cc where active
+union all select 'OPEN_HYPOTHESIS', 'h' || n from hy where n % 6 < 3 union all select 'OPEN_UNKNOWN', 'u' || n from un where n % 4 < 2""",
+    "world_state_summary": f"""with {_WORLD}, {_CHANGING} select (select count(*) from cc where active) as n_claims, (select count(*) from de_active) as n_decisions, (select count(*) from hy where n % 6 < 3) as n_hypotheses, (select count(*) from un where n % 4 < 2) as n_unknowns,
+  strftime(timestamp '2024-01-01' + to_days(greatest((select max(greatest(n % 40, n % 50)) from cc), (select max(o_orderkey % 45 + 1) from de), (select max(greatest(n % 20, n % 30)) from hy), (select max(n % 25 + 3) from un))::int), '%Y-%m-%d %H:%M:%S') as as_of,
+  (select 'ask ' || arg_min(n, 'h' || n) from hy where n % 6 < 3 and n % 4 = 0) as next_best_learning, 'FRESH' as freshness_status""",
     "world_trace": f"""with {_WORLD}, {_hits(['nation', 'heed'], 25, 'true')} select 'ENTITY_RESOLUTION' as stage, true as available, count(*) as n from en where entity_id = 'e1' union all select 'SCOPE_GUARD', true, count(*) from ev
 union all select 'CURRENT_STATE', true, count(*) from cl where active union all select 'STRUCTURED_RELATIONAL', true, count(*) from hits where relational > 0 union all select 'LEXICAL', true, count(*) from hits where lexical > 0
 union all select 'RELATION_EXPANSION', true, count(distinct dst) from edges where src = 'e1' and dst <> 'e1' union all select 'RAW_SOURCE_POINTER', true, count(*) from pointers where evidence_id in (select evidence_id from hits) union all select 'SEMANTIC', false, null""",

@@ -3,11 +3,12 @@
 import datetime as dt
 
 import pytest
+from test_budget import size as size_of
 
 from quarrystone.operators import semantic
 from quarrystone.operators.checks import FORBIDDEN_PROMOTIONS
 from quarrystone.operators.schemas import REQUIRED, SCHEMAS, VOCABULARIES, structural_faults
-from quarrystone.operators.world import AmbiguousEntity, BudgetTooSmall, World, size_of
+from quarrystone.operators.world import AmbiguousEntity, BudgetTooSmall, World
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -45,12 +46,17 @@ def test_reads_stay_in_scope(spark, world):
     assert mine.search("solar", filters={"direction": "CONTRADICTS"}).count() == 0 and mine.search("solar", filters={"strength": "STRONG"}).count() == 1
     with pytest.raises(ValueError):
         mine.search("solar", filters={"content": "x"})
+    assert mine.search("solar", filters={"strength": {"WEAK", "STRONG"}, "direction": None, "exclude_pii": True}).count() == 1
+    assert mine.absence(mine.search("solar")).count() == 0 and [r.kind for r in mine.absence(mine.search("nothing like it")).collect()] == ["NO_EVIDENCE_FOUND"]
     assert [(r.relational, r.score) for r in mine.search("solar wind").collect()] == [(0.0, 0.2)]  # without an entity a word is worth its weight only
     assert [r.fragment_id for r in mine.all_of("fragment").collect()] == ["f1"]
     assert {r.object_type: r.n for r in mine.withheld().collect()}["entity"] == 1
+    assert {(r.kind, r.id) for r in mine.state_ids("ea").collect()} == {("ACTIVE_DECISION", "d2"), *[("CURRENT_CLAIM", c) for c in ("c1", "c2", "c3", "c4")]}
     state = mine.state("ea").first()
-    assert state.active_decision_ids == ["d2"] and state.conflicts == ["ea:size"] and state.freshness_status == "FRESH"
-    assert {(r.object_type, r.id, r.coverage) for r in mine.delta("2024-01-15").collect()} == {("decision", "d2", "COVERED")}
+    assert (state.n_claims, state.n_decisions, state.freshness_status, state.as_of) == (4, 1, "FRESH", T0 + dt.timedelta(40)) and World.of(spark).scoped("CLIENT:a").state().count() == 0
+    assert sorted((r.description, r.claim_id) for r in mine.conflicts("ea").collect()) == [("2 active claims disagree about 'size' for ea", "c3"), ("2 active claims disagree about 'size' for ea", "c4")]
+    assert {(r.change, r.id) for r in mine.delta("2024-01-15").collect()} == {("DECISION_CHANGE", "d2")} and mine.coverage("2024-01-15").first().coverage == "COVERED"
+    assert mine.coverage("2023-12-31").first().coverage == "PARTIAL_NO_RECORD_BEFORE" and World.of(spark).scoped("CLIENT:a").coverage("2024-01-01").first().coverage == "NO_RECORD"
     assert mine.require_one("eg") == "eg" and mine.require_one("nobody") is None
     with pytest.raises(AmbiguousEntity):
         mine.require_one("Alpha Works")
@@ -61,18 +67,55 @@ def test_packs(spark, world):
     mine = world.scoped("CLIENT:a")
     full = mine.context_pack("solar", entities=["ea"])
     assert full == mine.context_pack("solar", entities=["ea"]) and full["context_pack_id"] == mine.context_pack("solar", entities=["ea"], generated_at="2024")["context_pack_id"]
-    assert full["evidence_ids"] == ["v1"] and "eb" not in str(full)
-    core = {k: v for k, v in full.items() if k not in ("context_pack_id", "generated_at", "token_budget")}
-    smaller = mine.context_pack("solar", entities=["ea"], token_budget=size_of(core) - 1)
-    assert any(g.startswith("trimmed:") for g in smaller["gaps"])
+    assert full["evidence_ids"] == ["v1"] and "eb" not in str(full) and full["generated_at"] == "2024-02-10T00:00:00Z" and full["entity_ids"] == ["ea", "eg"]
+    assert full["provenance_summary"] == [{"object_id": "v1", "object_type": "Evidence", "provenance": [{"source_id": "s1", "fragment_id": None, "locator": None, "observed_at": None, "captured_at": None, "content_hash": None}]}]
+    assert len(full["recent_event_ids"]) == 5 and len(full["state_projection_ids"]) == 1 and full["sensitivity_level"] == "INTERNAL"
+    other = World.of(spark, world.frames | {"unknown": frame(spark, "unknown", [{"unknown_id": "u1", "statement": "x", "status": "RESOLVED", "priority": "LOW", "scope_type": "CLIENT", "scope_id": "a"}])}).scoped("CLIENT:a")
+    assert other.context_pack("solar", entities=["ea"])["context_pack_id"] != full["context_pack_id"]  # another world is another pack
     with pytest.raises(BudgetTooSmall) as why:
         mine.context_pack("solar", entities=["ea"], token_budget=10)
-    assert mine.context_pack("solar", entities=["ea"], token_budget=why.value.minimum)
+    smallest = mine.context_pack("solar", entities=["ea"], token_budget=why.value.minimum)
+    assert size_of(smallest) == why.value.minimum and smallest["provenance_summary"] == full["provenance_summary"]
+    with pytest.raises(BudgetTooSmall):
+        mine.context_pack("solar", entities=["ea"], token_budget=why.value.minimum - 1)
+    row = mine.pack_row("solar", entities=["ea"], requirements=tuple(f"p{k:04d}" for k in range(150)), token_budget=size_of(full) + 290).first()
+    assert row.fits and [t.step for t in row.trimmed] == ["SECONDARY_PROCEDURAL_REFS"] and row.procedural_refs == ["p0000"] and sum(g.startswith("trimmed for token budget (SECONDARY") for g in row.gaps) == 1
+    empty = World.of(spark).scoped("CLIENT:a").context_pack("solar")
+    assert empty["freshness_status"] == "UNKNOWN_FRESHNESS" and empty["sensitivity_level"] == "PUBLIC" and empty["generated_at"] == "1970-01-01T00:00:00Z" and any(g.startswith("NO_EVIDENCE_FOUND") for g in empty["gaps"])
+
+
+def test_conflicts_and_changes(spark):
+    """Every kind of conflict and of change, and what is none."""
+    a = {"scope_type": "CLIENT", "scope_id": "a"}
+    late = T0 + dt.timedelta(20)
+    claim = lambda i, **k: {"claim_id": i, "subject_entity_id": "e", "predicate": "p", "epistemic_status": "DECLARED", "status": "ACTIVE", "created_at": T0, "last_updated_at": T0} | a | k
+    claims = [
+        claim("k1", status="DISPUTED", counter_evidence_ids=["v2", "v1"]), claim("k2", epistemic_status="CONFLICTING", predicate="q"), claim("k3", counter_evidence_ids=["v1"], predicate="r"), claim("k4", object_entity_id="x"), claim("k5", object_entity_id="y"),
+        claim("k6", predicate="s", object_value="1", created_at=late), claim("k7", predicate="s"), claim("k8", status="RETRACTED", last_updated_at=late, created_at=late), claim("k9", status="SUPERSEDED", created_at=late), claim("k10", predicate="t", object_value="1"), claim("k11", predicate="t", object_value="1", status="SUPERSEDED"),
+    ]
+    mine = World.of(spark, {
+        "claim": frame(spark, "claim", claims), "decision": frame(spark, "decision", [{"decision_id": "d1", "status": "ACTIVE", "created_at": T0, "effective_from": late} | a]),
+        "hypothesis": frame(spark, "hypothesis", [{"hypothesis_id": f"h{k}", "status": s, "next_best_learning": n, "created_at": T0, "last_updated_at": t} | a for k, (s, n, t) in enumerate([("OPEN", "ask", late), ("SUPPORTED", None, T0)])]),
+        "unknown": frame(spark, "unknown", [{"unknown_id": f"u{k}", "status": s, "priority": "LOW", "statement": "s", "created_at": T0, "last_updated_at": late} | a for k, s in enumerate(("OPEN", "RESOLVED", "NO_LONGER_RELEVANT"))]),
+        "event": frame(spark, "event", [{"event_id": "ev1", "occurred_at": T0 - dt.timedelta(30), "recorded_at": late} | a, {"event_id": "ev2", "occurred_at": T0, "recorded_at": T0} | a]),
+        "state_projection": frame(spark, "state_projection", [{"state_projection_id": "sp1"} | a]),
+    }).scoped("CLIENT:a")
+    assert sorted((r.claim_id, r.description.split(" ", 2)[2][:12], r.evidence_ids) for r in mine.conflicts().collect()) == [
+        ("k1", "is recorded ", ["v1", "v2"]), ("k2", "is recorded ", []), ("k3", "has evidence", ["v1"]), ("k6", "claims disag", []), ("k7", "claims disag", []),
+    ]
+    since = (T0 + dt.timedelta(10)).isoformat(sep=" ")
+    assert {(r.change, r.id, r.late_days) for r in mine.delta(since).collect()} == {
+        ("NEW_CLAIM", "k6", None), ("SUPERSEDED_CLAIM", "k8", None), ("DECISION_CHANGE", "d1", None), ("HYPOTHESIS_CHANGE", "h0", None), ("RESOLVED_UNKNOWN", "u1", None), ("RESOLVED_UNKNOWN", "u2", None), ("RECENT_EVENT", "ev1", 50), ("STATE_TRANSITION", "sp1", None),
+    }
+    told = mine.coverage(since).first()
+    assert (told.coverage, told.earliest, told.as_of) == ("COVERED", T0 - dt.timedelta(30), late)
+    state = mine.state().first()
+    assert (state.n_claims, state.n_decisions, state.n_hypotheses, state.n_unknowns, state.next_best_learning) == (7, 1, 1, 1, "ask")
 
 
 def test_sources_and_trace(spark, world):
     mine = world.scoped("CLIENT:a")
-    assert [tuple(r) for r in mine.source_pointers().collect()] == [("v1", "s1", "f1", "x")]
+    assert [tuple(r) for r in mine.source_pointers().collect()] == [("v1", "s1", "f1", None, None, "x")]
     assert [tuple(r) for r in mine.provenance("evidence").collect()] == [("v1", ["s1"])] and mine.provenance("claim").count() == 0
     assert [r.line for r in mine.constraints().collect()] == ["d2: y"]
     named = spark.createDataFrame([("ea",), ("es",), ("s1",)], "object_id string")
@@ -80,7 +123,7 @@ def test_sources_and_trace(spark, world):
     trace = {r.stage: (r.available, r.n) for r in mine.trace("solar", ["ea"]).collect()}
     assert trace["SEMANTIC"] == (False, None) and trace["LEXICAL"] == (True, 1) and trace["RELATION_EXPANSION"] == (True, 1) and len(trace) == 8
     pack = mine.context_pack("solar", entities=["ea"])
-    assert pack["claim_ids"] == [] and "UNPROVENANCED:c1" in pack["gaps"] and pack["provenance"] == {"v1": ["s1"]} and pack["constraints"] == ["d2: y"] and pack["level"] == "INTERNAL"
+    assert pack["claim_ids"] == [] and any(g.startswith("4 asserting object(s)") and g.endswith("c1, c2, c3, c4") for g in pack["gaps"]) and pack["constraints"] == ["d2: y"]
 
 
 def test_evidence_without_a_visible_source_is_no_hit(spark, world):
