@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import ipaddress
+import string
+import sys
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Letters of Latin-1 and their bases, from the rule of canonical decomposition.
-_LATIN = [chr(c) for c in range(0xC0, 0x180) if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))]
-_BASES = [unicodedata.normalize("NFKD", c)[0] for c in _LATIN]
 
 # What is taken out of previews. The first two keep their first group.
 REDACTIONS = (
@@ -28,21 +24,31 @@ WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 SENSITIVE_PATH = r"(?i)(credential|authorization|api[_ -]?key|token|password|passwd|secret)"
 
 
-def normalise(text: Column) -> Column:
-    """Lower case without accents (Latin letters), runs of anything else than a-z and 0-9 as one space."""
-    plain = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), "".join(_LATIN), "".join(_BASES))
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
-
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """(characters, what stands for them, characters that several stand for): letters and digits of all of Unicode as a-z and 0-9.
 
-def normalise_unicode(text: Column) -> Column:
-    """As normalise, for all of Unicode: compatibility decomposition and case folding have no built-in function."""
+    By the rules of compatibility decomposition and case folding; combining marks, at the end of the first string, go.
+    """
+    single, gone, several = {}, [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        kept = "".join(x if x in string.ascii_lowercase + string.digits else " " for x in plain)
+        if not plain:
+            gone.append(c)
+        elif kept.strip():
+            (single if len(kept) == 1 else several)[c] = kept
+    return "".join([*single, *gone]), "".join(single.values()), several
 
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            plain = texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold(), na_action="ignore")
-            yield plain.str.replace(r"[^a-z0-9]+", " ", regex=True).str.strip()
 
-    return F.pandas_udf(folded, StringType(), F.PandasUDFType.SCALAR_ITER)(text)
+def normalise(text: Column) -> Column:
+    """Case folded, without accents, compatibility forms as what they stand for; runs of anything else than a-z and 0-9 as one space."""
+    before, after, several = _folds()
+    wide = "[" + "".join(several) + "]"
+    stands_for = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    apart = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(wide), F.lit(0))), text, lambda t, c: F.replace(t, c, F.element_at(stands_for, c)))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.when(text.rlike(wide), apart).otherwise(text), before, after)).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
 
 
 def tokens(text: Column) -> Column:
