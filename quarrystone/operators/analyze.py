@@ -7,15 +7,12 @@ stand: a package whose name only ends like a known one is foreign.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.units import flatten
 
 # Node types by what they do, severities from the least, verdicts from the least.
 COMMAND, SSH = ("executeCommand",), ("ssh",)
@@ -34,6 +31,8 @@ CODE_RULES = (
 SECRET_KEY = r"(?i)(api[_ -]?key|token|password|passwd|secret|authorization)"
 PLACEHOLDER = r"(?i)(YOUR[_ -]?[A-Z0-9_]*|<[^>]*(token|secret|password|key)[^>]*>|\{\{\s*\$(credentials|env)\b)"
 TEXT_KEYS = ("content", "description", "instructions", "message", "prompt", "systemmessage", "text")
+#: Levels below a node's parameters that leaves are looked for in; text nested deeper is not analysed.
+MAX_DEPTH = 100
 # Prefixes of the built-in nodes' package, and of all packages that come with the product itself.
 BASE_PREFIXES = ("n8n-nodes-base.",)
 FIRST_PARTY_PREFIXES = ("n8n-nodes-base.", "@n8n/n8n-nodes-langchain.", "n8n-nodes-langchain.")
@@ -48,48 +47,66 @@ def first_party(node_type: Column, prefixes: tuple[str, ...] = FIRST_PARTY_PREFI
     return reduce(lambda a, b: a | b, [F.startswith(node_type, F.lit(p)) for p in prefixes])
 
 
+def _entries(value: Column) -> Column:
+    """An object's entries; null for anything else."""
+    return F.map_entries(value.try_cast("map<string,variant>"))
+
+
+def _elements(value: Column) -> Column:
+    return value.try_cast("array<variant>")
+
+
+def _member(value: Column, key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{key}", kind)
+
+
+def string_leaves(value: Column, root: str, depth: int = MAX_DEPTH) -> Column:
+    """array<struct<json_path, value>> of all strings below a VARIANT, as deep as depth: one fold, a level a step, with what is still to be entered as its state."""
+    pending = "array<struct<json_path:string,value:variant>>"
+    found = "array<struct<json_path:string,value:string>>"
+    told = lambda path, v: F.struct(path.alias("json_path"), v.alias("value"))
+
+    def inside(e: Column) -> Column:
+        path, v = e["json_path"], e["value"]
+        fields = F.transform(_entries(v), lambda x: told(F.concat(path, F.lit("."), x["key"]), x["value"]))
+        items = F.transform(_elements(v), lambda x, k: told(F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), x))
+        return F.coalesce(fields, items, F.array().cast(pending))
+
+    def level(state: Column, _: Column) -> Column:
+        scalar = lambda e: _entries(e["value"]).isNull() & _elements(e["value"]).isNull()
+        strings = F.filter(state["open"], lambda e: F.when(scalar(e), F.schema_of_variant(e["value"]) == "STRING").otherwise(F.lit(False)))
+        leaves = F.concat(state["found"], F.transform(strings, lambda e: told(e["json_path"], F.try_variant_get(e["value"], "$", "string"))))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(F.struct(F.flatten(F.transform(state["open"], inside)).alias("open"), leaves.alias("found")))
+
+    start = F.struct(F.array(told(F.lit(root), value)).alias("open"), F.array().cast(found).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level, lambda state: state["found"])
+
+
 def documents(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files(path, content, parse_error) -> nodes, leaves of their parameters, edges. One pass for each; malformed parts are skipped."""
-    import json
-
-    def each(batch: pd.DataFrame) -> Iterator[tuple[str, dict]]:
-        for path, content, error in zip(batch["path"], batch["content"], batch["parse_error"], strict=True):
-            if error is None and content is not None:
-                root = json.loads(content)
-                if isinstance(root, dict) and isinstance(root.get("nodes", []), list):
-                    yield path, root
-
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, root in each(batch):
-                for n, node in enumerate(x for x in root.get("nodes", []) if isinstance(x, dict)):
-                    held = node.get("credentials")
-                    rows.append((path, n, node.get("name") if node.get("name") is None else str(node["name"]), str(node.get("type", "")), json.dumps(node.get("parameters", {})), sorted(map(str, held)) if isinstance(held, dict) else []))
-            yield pd.DataFrame(rows, columns=["path", "n", "name", "type", "parameters", "credential_types"])
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(a, n, t, f"parameters.{p}", v) for a, n, t, ps in zip(batch["path"], batch["n"], batch["type"], batch["parameters"], strict=True) for p, k, v in flatten(ps) if k == "string"]
-            yield pd.DataFrame(rows, columns=["path", "n", "type", "json_path", "value"])
-
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, root in each(batch):
-                for source, channels in (root.get("connections") or {}).items() if isinstance(root.get("connections"), dict) else ():
-                    for channel, outputs in channels.items() if isinstance(channels, dict) else ():
-                        for k, targets in enumerate(outputs if isinstance(outputs, list) else ()):
-                            for x in targets if isinstance(targets, list) else ():
-                                if isinstance(x, dict) and x.get("node") is not None:
-                                    index = x.get("index", 0)
-                                    rows.append((path, source, channel, k, str(x["node"]), index if type(index) is int else 0))
-            yield pd.DataFrame(rows, columns=["path", "source", "channel", "output", "target", "input"])
-
-    node_rows = found.select("path", "content", "parse_error").mapInPandas(nodes, "path string, n int, name string, type string, parameters string, credential_types array<string>")
-    leaf_rows = node_rows.select("path", "n", "type", "parameters").mapInPandas(leaves, "path string, n int, type string, json_path string, value string")
-    edge_rows = found.select("path", "content", "parse_error").mapInPandas(edges, "path string, source string, channel string, output int, target string, input int")
-    return node_rows, leaf_rows, edge_rows
+    """files(path, content, parse_error) -> nodes, string leaves of their parameters, edges. Malformed parts are skipped; all of it stays in the JVM.
+
+    A file whose nodes are no list has none of the three. Edges count the outputs of a channel, empty ones included.
+    """
+    whole = found.where("parse_error is null and content is not null").select("path", F.try_parse_json("content").alias("v")).where("v is not null")
+    listed = F.when(_member(F.col("v"), "nodes").isNull(), F.array().cast("array<variant>")).otherwise(_elements(_member(F.col("v"), "nodes")))
+    parsed = whole.select("path", "v", listed.alias("nodes")).where(_entries(F.col("v")).isNotNull() & F.col("nodes").isNotNull())
+    node, text = F.col("node"), lambda c: F.coalesce(c, F.lit(""))
+    rows = parsed.select("path", F.posexplode(F.filter("nodes", lambda x: _entries(x).isNotNull())).alias("n", "node"))
+    scalar = lambda key: F.when(_entries(_member(node, key)).isNull() & _elements(_member(node, key)).isNull(), _member(node, key, "string"))
+    rows = rows.select(
+        "path", "n", _member(node, "name", "string").alias("name"), text(_member(node, "type", "string")).alias("type"), _member(node, "parameters").alias("v"),
+        F.array_sort(F.coalesce(F.map_keys(_member(node, "credentials").try_cast("map<string,variant>")), F.array().cast("array<string>"))).alias("credential_types"),
+        scalar("typeVersion").alias("type_version"), scalar("parameters.resource").alias("resource"), scalar("parameters.operation").alias("operation"),
+    )
+    nodes = rows.select("path", "n", "name", "type", F.coalesce(F.to_json("v"), F.lit("{}")).alias("parameters"), "credential_types", "type_version", "resource", "operation")
+    leaves = rows.where("v is not null").select("path", "n", "type", F.explode(string_leaves(F.col("v"), "parameters")).alias("x")).select("path", "n", "type", "x.json_path", "x.value")
+    sources = parsed.select("path", F.explode(_entries(_member(F.col("v"), "connections"))).alias("s")).select("path", F.col("s.key").alias("source"), F.explode(_entries(F.col("s.value"))).alias("c"))
+    outputs = sources.select("path", "source", F.col("c.key").alias("channel"), F.posexplode(_elements(F.col("c.value"))).alias("output", "targets"))
+    target, index = F.col("target"), _member(F.col("target"), "index")
+    edges = outputs.select("path", "source", "channel", "output", F.explode(_elements(F.col("targets"))).alias("target")).where(_member(target, "node", "string").isNotNull())
+    whole_number = F.coalesce(F.when(_entries(index).isNull() & _elements(index).isNull(), F.schema_of_variant(index) == "BIGINT"), F.lit(False))
+    edges = edges.select("path", "source", "channel", "output", _member(target, "node", "string").alias("target"), F.when(whole_number, F.try_variant_get(index, "$", "int")).otherwise(F.lit(0)).alias("input"))
+    return nodes, leaves, edges
 
 
 def _exploded(rows: DataFrame, keep: list[str], rules: list[tuple[str, str, Column]]) -> DataFrame:

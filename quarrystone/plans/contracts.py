@@ -201,7 +201,59 @@ def closed_schema_records(spark, folder):
     return both.select("source_path", "sha256", "source_id", "analysis_id", "item_id", F.array_join("integrations", ",").alias("integrations"))
 
 
-QUERIES = {f.__name__: f for f in (closed_schema_faults, closed_schema_records, context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
+_TYPES = ("n8n-nodes-base.executeCommand", "n8n-nodes-base.httpRequest", "n8n-nodes-base.code", "n8n-nodes-base.set", "@n8n/n8n-nodes-langchain.agent")
+
+
+def _flows(spark, folder):
+    """Orders as workflow files: lines are nodes with nested parameters, each connected to the next."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("x"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def node(x, k):
+        part, supplier = x["l_partkey"], x["l_suppkey"]
+        headers = F.array(F.struct(F.lit("X").alias("name"), text("value-", part).alias("apiKey")), F.struct(F.lit("Y").alias("name"), F.lit(None).cast("string").alias("apiKey")))
+        options = F.struct(headers.alias("headers"), F.lit(3).alias("retry"), F.array(F.array(text("deep ", supplier))).alias("rows"))
+        parameters = F.struct(text("http://", F.when(supplier % 3 == 0, "10.0.0.").otherwise("8.8.8."), supplier % 200, "/").alias("url"), F.when(part % 7 == 0, "eval (1)").otherwise("return 1").alias("jsCode"), F.lit("get").alias("operation"), options.alias("options"))
+        return F.struct(text("n", k).alias("name"), F.get(F.array(*map(F.lit, _TYPES)), (part % len(_TYPES)).cast("int")).alias("type"), F.lit(1.1).alias("typeVersion"), parameters.alias("parameters"), F.when(supplier % 9 == 0, F.struct(F.struct(F.lit("id").alias("id")).alias("httpAuth"))).alias("credentials"))
+
+    def link(k):
+        target = F.struct(text("n", k + 1).alias("node"), F.lit("main").alias("type"), F.lit(0).alias("index"))
+        outputs = F.array(F.array(target), F.array().cast("array<struct<node:string,type:string,index:int>>"))
+        return F.struct(text("n", k).alias("key"), F.struct(outputs.alias("main")).alias("value"))
+
+    last = F.size("xs") - 2
+    links = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), link))
+    content = F.to_json(F.struct(F.transform("xs", node).alias("nodes"), F.map_from_entries(links).alias("connections")))
+    return orders.select(text("flow-", F.col("l_orderkey")).alias("path"), content.alias("content"), F.sha2(content, 256).alias("sha256"), F.lit(None).cast("string").alias("parse_error"))
+
+
+def workflow_nodes(spark, folder):
+    """Nodes read from workflow files."""
+    nodes, _, _ = A.documents(_flows(spark, folder))
+    return nodes.select("path", "n", "name", "type", F.array_join("credential_types", ",").alias("credential_types"), "type_version", "resource", "operation")
+
+
+def workflow_edges(spark, folder):
+    """Edges read from workflow files."""
+    return A.documents(_flows(spark, folder))[2]
+
+
+def workflow_leaves(spark, folder):
+    """Strings at any depth of the nodes' parameters, by their place."""
+    _, leaves, _ = A.documents(_flows(spark, folder))
+    return leaves.groupBy("json_path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+def workflow_reports(spark, folder):
+    """Workflow files from JSON text to decisions: how many of each severity, with how many findings of each rule."""
+    flows = _flows(spark, folder)
+    nodes, leaves, _ = A.documents(flows)
+    rows = A.reports(flows, nodes, A.findings(nodes, leaves)).select("path", "max_severity", "risk_decision", "node_count", "n_findings", F.array_join("rules", ",").alias("rules"))
+    return rows.groupBy("max_severity", "risk_decision", "rules").agg(F.count("*").alias("n"), F.sum("node_count").alias("n_nodes"), F.sum("n_findings").alias("n_findings"))
+
+
+QUERIES = {f.__name__: f for f in (workflow_nodes, workflow_edges, workflow_leaves, workflow_reports, closed_schema_faults, closed_schema_records, context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
 
 
 def _tok(text: str) -> str:
@@ -276,7 +328,19 @@ w(run_id, moment, seq, n, want, verdict, now, used) as (
   select run_id, moment, seq, n, want, verdict, case when verdict = 'ACCEPTED' then want end, 0 from (select *, {_VERDICT} as verdict from (select *, null::varchar as now, 0 as used from p where n = 1))
   union all select run_id, moment, seq, n, want, verdict, case when verdict = 'ACCEPTED' then want else now end, used + (verdict = 'ACCEPTED' and want = 'DEBUGGING')::int
   from (select *, {_VERDICT} as verdict from (select p.*, w.now, w.used from p join w on w.run_id = p.run_id and w.n + 1 = p.n)))"""
+_NODES = f"""l as (select 'flow-' || l_orderkey as path, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as n, count(*) over (partition by l_orderkey) as size, {list(_TYPES)}[l_partkey % {len(_TYPES)} + 1] as type, l_partkey as part, l_suppkey as supp from lineitem)"""
+_FOUND = """h as (select path, unnest([case when type like '%executeCommand' then 'EXECUTE_COMMAND:4' end, case when type like '%httpRequest' then 'NETWORK_REQUEST:3' end, case when type like '%.code' then 'CUSTOM_CODE:3' end,
+  case when type like '%httpRequest' and supp % 3 = 0 then 'PRIVATE_NETWORK_URL:4' end, case when type like '%.code' and part % 7 = 0 then 'CODE_EVAL:4' end, case when length('value-' || part) >= 8 then 'POSSIBLE_HARDCODED_SECRET:4' end]) as f from l
+  union all select path, 'AI_WITH_PRIVILEGED_EXECUTION:5' from l group by path having bool_or(type like '%executeCommand') and bool_or(type like '%agent')),
+r as (select path, string_agg(distinct split_part(f, ':', 1), ',' order by split_part(f, ':', 1)) as rules, max(split_part(f, ':', 2)::int) as worst, count(*) as n_findings from h where f is not null group by path)"""
 ORACLE_SQL = {
+    "workflow_nodes": f"with {_NODES} select path, n::int as n, 'n' || n as name, type, case when supp % 9 = 0 then 'httpAuth' else '' end as credential_types, '1.1' as type_version, null::varchar as resource, 'get' as operation from l",
+    "workflow_edges": f"with {_NODES} select path, 'n' || n as source, 'main' as channel, 0 as output, 'n' || (n + 1) as target, 0 as input from l where n < size - 1",
+    "workflow_leaves": f"""with {_NODES}, f as (select unnest([{{'p': 'parameters.url', 'v': 'http://' || case when supp % 3 = 0 then '10.0.0.' else '8.8.8.' end || (supp % 200) || '/'}}, {{'p': 'parameters.jsCode', 'v': case when part % 7 = 0 then 'eval (1)' else 'return 1' end}}, {{'p': 'parameters.operation', 'v': 'get'}},
+  {{'p': 'parameters.options.headers[0].name', 'v': 'X'}}, {{'p': 'parameters.options.headers[1].name', 'v': 'Y'}}, {{'p': 'parameters.options.headers[0].apiKey', 'v': 'value-' || part}}, {{'p': 'parameters.options.rows[0][0]', 'v': 'deep ' || supp}}]) as x from l)
+select x.p as json_path, count(*) as n, count(distinct x.v) as n_values from f group by 1""",
+    "workflow_reports": f"""with {_NODES}, {_FOUND}, w as (select path, count(*) as node_count from l group by path), s as (select *, coalesce(worst, 1) as k from w left join r using (path))
+select ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][k] as max_severity, case k when 5 then 'BLOCKED' when 4 then 'REVIEW_REQUIRED' else 'SAFE_FOR_LEARNING' end as risk_decision, rules, count(*) as n, sum(node_count)::bigint as n_nodes, sum(n_findings)::bigint as n_findings from s group by all""",
     "closed_schema_faults": f"""with p(turn, faults) as (values {", ".join(f"({k}, {list(f)})" for k, (_, _, f) in enumerate(_PLANTED))}),
 f as (select doc_id, unnest(faults) as f from documents join p on turn = doc_id % {len(_PLANTED) + 1} where text is not null) select doc_id, regexp_extract(f, '^(.*):', 1) as path, regexp_extract(f, '[A-Z_]+$') as code from f""",
     "closed_schema_records": """with s as (select *, 'flows/' || doc_id || '.json' as source_path, sha256(text) as digest from documents where text is not null),
