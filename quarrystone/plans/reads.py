@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import graph as G
+from ..operators import requests as N
 from ..operators import scope as S
 from ..sources.tables import table
 
@@ -118,6 +119,13 @@ def lexical_evidence_topk(spark, folder):
     return E.search(docs, QUERY).select("doc_id", "score")
 
 
+def evidence_for_requests(spark, folder):
+    """Every turn of every conversation as a request of one of twenty clients: its best hits, or that there are none."""
+    docs = scoped_documents(spark, folder).withColumn("evidence_id", F.col("doc_id"))
+    turns = table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.lit("CLIENT").alias("scope_type"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("scope_id"), F.when(F.col("turn") == 1, F.lit("of no ??")).otherwise(F.col("text")).alias("query"))
+    return N.search(N.postings(docs), turns).select("request_id", "kind", "evidence_id", "score")
+
+
 _LEXICAL = f"""
 with {_SCOPED}, q as (select list_distinct(list_filter({_sql_tokens("'" + QUERY + "'")}, lambda t: length(t) >= 3)) as w),
 s as (select doc_id, round(0.4 * len(list_intersect(w, {_sql_tokens('text')})) / len(w), 6)::double as score from scoped, q where {_SEEN})
@@ -262,7 +270,7 @@ def provenance_collect(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scope_guard_visible_docs, scope_guard_dropped_count, secret_excluded, pii_marked, normalise_names, lexical_evidence_topk, evidence_relational_lexical,
+    scope_guard_visible_docs, scope_guard_dropped_count, secret_excluded, pii_marked, normalise_names, lexical_evidence_topk, evidence_for_requests, evidence_relational_lexical,
     active_decisions_anti, supersession_faults, contradictions, conflict_versions, state_projection_counts, delta_since, delta_coverage, late_events,
     relation_expansion_depth2, three_table_structure_join, provenance_collect,
 )}
@@ -281,6 +289,10 @@ ORACLE_SQL = {
     "normalise_names": f"""with n as (select c_custkey as id, c_name as name from customer union all select p_partkey, p_name from part union all select doc_id, text from documents)
 select id, {_sql_normal('name')} as normal from n""",
     "resolve_entity_tiers": _resolve_sql("nation 7"), "resolve_entity_ambiguity": _resolve_sql("customer"), "resolve_entity_alias": _resolve_sql("N-7"),
+    "evidence_for_requests": f"""with {_SCOPED}, q as (select conv_id || '-' || turn as request_id, 'src' || (conv_id % 20) as client, list_distinct(list_filter({_sql_tokens("case when turn = 1 then 'of no ??' else text end")}, lambda t: length(t) >= 3)) as w from conversations),
+d as (select doc_id, scope_id, list_distinct({_sql_tokens('text')}) as t from scoped), f as (select request_id, doc_id, len(list_intersect(w, t)) as n, len(w) as size from q join d on scope_id in (client, 'GLOBAL') where len(w) > 0),
+r as (select *, round((0.4 * n / size)::double, 6) as score, row_number() over (partition by request_id order by n desc, doc_id) as place from f where n > 0), h as (select request_id, 'HIT' as kind, doc_id as evidence_id, score from r where place <= 25 and score >= 0.01)
+select * from h union all select request_id, 'NO_EVIDENCE_FOUND', null, null from q where request_id not in (select request_id from h)""",
     "lexical_evidence_topk": _LEXICAL, "evidence_relational_lexical": _RELATIONAL,
     "fts_match_all_terms": _matching_sql("list_has_all(t, ['the', 'and', 'heed'])", ("the", "and", "heed")),
     "fts_phrase_or_not": _matching_sql("(contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') or contains(' ' || array_to_string(t, ' ') || ' ', ' in the ')) and not list_contains(t, 'heed')", ("of", "the", "in", "heed")),
