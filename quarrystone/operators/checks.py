@@ -224,3 +224,21 @@ def overall(status: Column) -> Column:
 def relation(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small constant relation."""
     return spark.createDataFrame(rows, schema)
+
+
+#: What an id is made of; a serialised pack is taken apart at everything else.
+ID_TOKEN = "[A-Za-z0-9][A-Za-z0-9_-]*"
+
+
+def leaked_ids(packs: DataFrame, objects: DataFrame, pack: str = "pack_id", text: str = "text") -> DataFrame:
+    """packs(pack_id, scope_type, scope_id, text), objects(object_id, scope_type, scope_id) -> (pack_id, object_id): ids in a pack's text that its scope may not see.
+
+    The text is taken apart into the words that ids are, each once for a pack, and joined with the ids: as many rows as
+    packs have words, never packs times ids. An id that several objects have leaks if none of them may be seen. Ids of
+    other characters are found by no word.
+    """
+    words = packs.select(pack, "scope_type", "scope_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ID_TOKEN), F.lit(0)))).alias("object_id"))
+    held = objects.select("object_id", F.col("scope_type").alias("of_type"), F.col("scope_id").alias("of_id"))
+    seen = F.coalesce((F.col("of_type") == "GLOBAL") | ((F.col("of_type") == F.col("scope_type")) & (F.col("of_id") == F.col("scope_id"))), F.lit(False))
+    both = words.join(held, "object_id").groupBy(pack, "object_id").agg(F.bool_or(seen).alias("seen"))
+    return both.where("not seen").select(pack, "object_id")

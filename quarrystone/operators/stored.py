@@ -16,7 +16,11 @@ LIMIT = 12
 # Tasks, and those that read structures and experiences, and those that need the environment's facts.
 TASKS, WITH_EXPERIENCE, WITH_ENVIRONMENT = ("LEARN", "ASK", "BUILD", "DEBUG", "EVOLVE"), ("BUILD", "DEBUG", "ASK"), ("BUILD", "DEBUG")
 #: Columns of an item of a pack.
-ITEM = ("item_id", "store", "title", "summary", "scope_type", "scope_id", "epistemic_status", "authority", "relevance", "data_classification", "compatibility_status", "version", "node_type", "instruction_authority")
+ITEM = ("item_id", "store", "title", "summary", "scope_type", "scope_id", "epistemic_status", "authority", "relevance", "data_classification", "compatibility_status", "version", "node_type", "instruction_authority", "provenance")
+#: Where an item comes from: its sources with their places.
+PROVENANCE = "array<struct<source_id:string,locator_kind:string,locator:map<string,string>>>"
+#: Of a source that has no place of its own, the columns that say where in a recording it lies.
+_RECORDED = ("transcript_id", "segment_id", "start_ms", "end_ms")
 
 
 def active(rows: DataFrame, as_of: Column) -> DataFrame:
@@ -36,25 +40,61 @@ def _or(column: str, other: str) -> Column:
     return F.coalesce(column, F.lit(other))
 
 
-def knowledge_items(rows: DataFrame, query: str | None, scope: str, as_of: Column, limit: int = LIMIT) -> DataFrame:
-    """Stored knowledge as items: the guard first, then force and match; rank down, newest approval (unknown last), id."""
+def provenance_of(sources: DataFrame) -> DataFrame:
+    """sources(knowledge_id, source_id, locator_kind, locator map) -> (item_id, provenance), one list for each item.
+
+    Stores that were filled before places had kinds name the recording instead: transcript, segment and times.
+    """
+    if "locator_kind" in sources.columns:
+        kind, place = F.coalesce("locator_kind", F.lit("GENERIC")), F.coalesce("locator", F.create_map().cast("map<string,string>"))
+    else:
+        held = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in _RECORDED if c in sources.columns]))
+        kind, place = F.lit("MEDIA_TIME"), F.map_from_entries(held)
+    entry = F.struct(F.col("source_id").cast("string").alias("source_id"), kind.alias("locator_kind"), place.alias("locator"))
+    key = lambda e: F.struct(e["source_id"], e["locator_kind"], F.to_json(e["locator"]))
+    order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+    return sources.groupBy(F.col("knowledge_id").alias("item_id")).agg(F.array_sort(F.collect_list(entry), order).alias("provenance"))
+
+
+def knowledge_items(rows: DataFrame, query: str | None, scope: str, as_of: Column, limit: int = LIMIT, sources: DataFrame | None = None) -> DataFrame:
+    """Stored knowledge as items: the guard first, then force and match; rank down, newest approval (unknown last), id.
+
+    A store without scope columns cannot prove whose a row is: the global scope reads it as global, any other reads
+    nothing of it. sources give the items' provenance.
+    """
+    if "scope_type" not in rows.columns:
+        rows = rows.withColumns({"scope_type": F.lit("GLOBAL"), "scope_id": F.lit("GLOBAL")}).where(F.lit(S.parse_scope(scope)[0] == "GLOBAL"))
+    later = {"data_classification": "string", "compatibility_status": "string", "observed_version": "string", "node_type": "string"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in later.items() if c not in rows.columns})
     seen = matching(active(S.guard(rows, scope), as_of), F.concat_ws(" ", "title", "summary"), query)
     best = seen.orderBy(F.desc("rank"), F.desc_nulls_last("approved_at"), "knowledge_id").limit(limit)
-    return best.select(
+    items = best.select(
         F.col("knowledge_id").alias("item_id"), F.lit("knowledge").alias("store"), _or("title", "(untitled)").alias("title"), _or("summary", "").alias("summary"), _or("scope_type", "GLOBAL").alias("scope_type"), _or("scope_id", "GLOBAL").alias("scope_id"),
         _or("epistemic_status", "UNKNOWN").alias("epistemic_status"), P.authority(F.col("epistemic_status"), F.col("knowledge_type")).alias("authority"), F.col("rank").alias("relevance"),
         _or("data_classification", "INTERNAL").alias("data_classification"), _or("compatibility_status", "UNKNOWN_COMPATIBILITY").alias("compatibility_status"), F.col("observed_version").alias("version"), "node_type", _or("instruction_authority", "NONE").alias("instruction_authority"),
     )
+    none = F.array().cast(PROVENANCE)
+    if sources is None:
+        return items.withColumn("provenance", none)
+    named = sources.join(items.select(F.col("item_id").alias("knowledge_id")), "knowledge_id", "left_semi")  # at most limit items
+    return items.join(provenance_of(named), "item_id", "left").withColumn("provenance", F.coalesce("provenance", none))
+
 
+def structure_items(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """rows(item_id, knowledge_role, learning_scope, risk_decision, max_severity, node_types, source_repo, source_commit, source_path, implementation_reference_allowed, compiled_at) of foreign workflows as items.
 
-def structure_items(rows: DataFrame, query: str | None, limit: int = LIMIT) -> DataFrame:
-    """rows(item_id, knowledge_role, node_count, integrations) of foreign workflows as items: what they are made of, never advice."""
-    shown = F.array_join(F.slice(F.array_sort("integrations"), 1, 8), ", ")
-    best = matching(rows, F.array_join("integrations", " "), query).orderBy(F.desc("rank"), "item_id").limit(limit)
+    What they are made of, never advice: only those that may be referred to, the newest first. They are observed, not
+    ranked by a query, and point to the file they come from.
+    """
+    best = rows.where("implementation_reference_allowed").orderBy(F.desc("compiled_at"), "item_id").limit(limit)
+    told = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    summary = F.concat(F.lit("role="), told("knowledge_role"), F.lit(" scope="), told("learning_scope"), F.lit(" risk="), told("risk_decision"), F.lit("/"), told("max_severity"), F.lit(" nodes="), F.array_join(F.slice(F.coalesce("node_types", F.array().cast("array<string>")), 1, 8), ", "))
+    place = F.map_filter(F.create_map(F.lit("path"), F.col("source_path"), F.lit("commit"), F.col("source_commit")), lambda k, v: F.coalesce(v != "", F.lit(False)))
     return best.select(
-        "item_id", F.lit("structure").alias("store"), F.concat(F.lit("workflow of "), F.col("node_count").cast("string"), F.lit(" nodes")).alias("title"), F.concat_ws(": ", "knowledge_role", shown).alias("summary"),
-        F.lit("GLOBAL").alias("scope_type"), F.lit("GLOBAL").alias("scope_id"), F.lit("DECLARED").alias("epistemic_status"), F.lit("EXTERNAL_WORKFLOW_ANALYZED").alias("authority"), F.col("rank").alias("relevance"), F.lit("INTERNAL").alias("data_classification"),
+        "item_id", F.lit("structure").alias("store"), F.concat(F.lit("Structure reference: "), F.coalesce(F.nullif("source_path", F.lit("")), "item_id")).alias("title"), summary.alias("summary"),
+        F.lit("GLOBAL").alias("scope_type"), F.lit("GLOBAL").alias("scope_id"), F.lit("OBSERVED").alias("epistemic_status"), F.lit("EXTERNAL_WORKFLOW_ANALYZED").alias("authority"), F.lit(0.0).alias("relevance"), F.lit("INTERNAL").alias("data_classification"),
         F.lit("UNKNOWN_COMPATIBILITY").alias("compatibility_status"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("node_type"), F.lit("NONE").alias("instruction_authority"),
+        F.array(F.struct(F.col("source_repo").alias("source_id"), F.lit("REPO_FILE").alias("locator_kind"), place.alias("locator"))).cast(PROVENANCE).alias("provenance"),
     )
 
 
@@ -68,7 +108,7 @@ def experience_items(rows: DataFrame, query: str | None, scope: str, environment
         F.col("experience_id").alias("item_id"), F.lit("experience").alias("store"), F.concat(F.lit("["), _or("category", ""), F.lit("] "), F.substring(_or("observed_error", ""), 1, 120)).alias("title"),
         F.concat_ws(" | ", part("hypothesis", "hypothesis"), part("change", "change_summary"), F.concat(part("before", "result_before"), F.lit(" -> "), part("after", "result_after"))).alias("summary"), "scope_type", "scope_id", _or("epistemic_status", "OBSERVED").alias("epistemic_status"),
         F.when(F.col("epistemic_status") == "MEASURED", "MEASURED_OWN_EXECUTION").otherwise("MODEL_INFERENCE").alias("authority"), F.when(here, 1.0).otherwise(0.5).alias("relevance"), F.lit("INTERNAL").alias("data_classification"),
-        F.lit("UNKNOWN_COMPATIBILITY").alias("compatibility_status"), F.col("version"), F.col("node").alias("node_type"), F.lit("NONE").alias("instruction_authority"),
+        F.lit("UNKNOWN_COMPATIBILITY").alias("compatibility_status"), F.col("version"), F.col("node").alias("node_type"), F.lit("NONE").alias("instruction_authority"), F.array().cast(PROVENANCE).alias("provenance"),
     )
 
 
@@ -84,15 +124,18 @@ def conflicts(items: DataFrame) -> DataFrame:
 def pack(frames: dict[str, DataFrame], query: str, scope: str, as_of: Column, task: str = "ASK", environment: str = "DEV", limit: int = LIMIT) -> dict[str, DataFrame]:
     """items by authority, relevance and id; conflicts among them; gaps: what is missing is said, never left out in silence.
 
-    frames may hold knowledge, structures and experiences; a store that is not there is a gap.
+    frames may hold knowledge, sources (of knowledge), structures and experiences; a store that is not there is a gap, and
+    so is knowledge without scopes: read as global by the global scope, refused to any other.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task {task!r}")
     spark = next(iter(frames.values())).sparkSession
-    parts, gaps = [knowledge_items(frames["knowledge"], query, scope, as_of, limit)] if "knowledge" in frames else [], [] if "knowledge" in frames else ["NO_STORE:knowledge"]
+    parts, gaps = [knowledge_items(frames["knowledge"], query, scope, as_of, limit, frames.get("sources"))] if "knowledge" in frames else [], [] if "knowledge" in frames else ["NO_STORE:knowledge"]
+    if "knowledge" in frames and "scope_type" not in frames["knowledge"].columns:
+        gaps.append("UNSCOPED_STORE:knowledge:" + ("READ_AS_GLOBAL" if S.parse_scope(scope)[0] == "GLOBAL" else "REFUSED"))
     if task in WITH_EXPERIENCE:
         gaps += [f"NO_STORE:{k}" for k in ("structures", "experiences") if k not in frames]
-        parts += [structure_items(frames["structures"], query, limit)] if "structures" in frames else []
+        parts += [structure_items(frames["structures"], limit)] if "structures" in frames else []
         parts += [experience_items(frames["experiences"], query, scope, environment, limit)] if "experiences" in frames else []
     gaps += ["NO_ENVIRONMENT_PROFILE"] if task in WITH_ENVIRONMENT else []
     if not parts:

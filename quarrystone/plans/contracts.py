@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analyze as A
 from ..operators import budget as B
+from ..operators import checks as C
 from ..operators import closed as K
 from ..operators import runs as J
 from ..operators import snapshots as N
@@ -253,7 +254,17 @@ def workflow_reports(spark, folder):
     return rows.groupBy("max_severity", "risk_decision", "rules").agg(F.count("*").alias("n"), F.sum("node_count").alias("n_nodes"), F.sum("n_findings").alias("n_findings"))
 
 
-QUERIES = {f.__name__: f for f in (workflow_nodes, workflow_edges, workflow_leaves, workflow_reports, closed_schema_faults, closed_schema_records, context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
+def leaked_ids(spark, folder):
+    """Orders as packs of JSON text that name their suppliers; a pack may see what is global and the suppliers of its own client."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.struct(F.concat(F.lit("s"), "l_suppkey").alias("supplier"), F.concat(F.lit("part-"), "l_partkey").alias("part")).alias("x"))
+    packs = lines.groupBy(F.col("l_orderkey").alias("pack_id")).agg(F.to_json(F.struct(F.collect_list("x").alias("lines"))).alias("text"))
+    packs = packs.withColumns({"scope_type": F.lit("CLIENT"), "scope_id": (F.col("pack_id") % 25).cast("string")})
+    nation = F.col("s_nationkey")
+    objects = table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("object_id"), F.when(nation < 5, "GLOBAL").otherwise("CLIENT").alias("scope_type"), F.when(nation < 5, "GLOBAL").otherwise(nation.cast("string")).alias("scope_id"))
+    return C.leaked_ids(packs, objects)
+
+
+QUERIES = {f.__name__: f for f in (leaked_ids, workflow_nodes, workflow_edges, workflow_leaves, workflow_reports, closed_schema_faults, closed_schema_records, context_packs_fitted, context_packs_core, private_network_urls, package_verdicts, snapshot_commits, snapshot_plan, run_transitions, run_states, runs_stalled)}
 
 
 def _tok(text: str) -> str:
@@ -334,6 +345,7 @@ _FOUND = """h as (select path, unnest([case when type like '%executeCommand' the
   union all select path, 'AI_WITH_PRIVILEGED_EXECUTION:5' from l group by path having bool_or(type like '%executeCommand') and bool_or(type like '%agent')),
 r as (select path, string_agg(distinct split_part(f, ':', 1), ',' order by split_part(f, ':', 1)) as rules, max(split_part(f, ':', 2)::int) as worst, count(*) as n_findings from h where f is not null group by path)"""
 ORACLE_SQL = {
+    "leaked_ids": "select distinct l_orderkey as pack_id, 's' || l_suppkey as object_id from lineitem join supplier on s_suppkey = l_suppkey where s_nationkey >= 5 and s_nationkey <> l_orderkey % 25",
     "workflow_nodes": f"with {_NODES} select path, n::int as n, 'n' || n as name, type, case when supp % 9 = 0 then 'httpAuth' else '' end as credential_types, '1.1' as type_version, null::varchar as resource, 'get' as operation from l",
     "workflow_edges": f"with {_NODES} select path, 'n' || n as source, 'main' as channel, 0 as output, 'n' || (n + 1) as target, 0 as input from l where n < size - 1",
     "workflow_leaves": f"""with {_NODES}, f as (select unnest([{{'p': 'parameters.url', 'v': 'http://' || case when supp % 3 = 0 then '10.0.0.' else '8.8.8.' end || (supp % 200) || '/'}}, {{'p': 'parameters.jsCode', 'v': case when part % 7 = 0 then 'eval (1)' else 'return 1' end}}, {{'p': 'parameters.operation', 'v': 'get'}},

@@ -202,12 +202,12 @@ def secret_reference(spark, folder):
     return C.secret_references(both, "o_orderkey", "refs", levels).groupBy("ref").agg(F.count("*").alias("n_referring"))
 
 
-_TOOLS = [("read_a", False), ("read_b", False), ("write_a", True), ("write_b", True), ("new_c", False)]
-_PERMISSIONS = [("read_a", "allow"), ("read_b", "allow"), ("read_b", "ask"), ("write_a", "deny"), ("write_b", "allow"), ("gone_z", "deny")]
-
-
 def tool_policy_audit(spark, folder):
-    return C.tool_audit(C.relation(spark, _TOOLS, "tool string, writes boolean"), C.relation(spark, _PERMISSIONS, "tool string, bucket string"))
+    """Kinds of parts as tools, every third of them a writer; suppliers as permissions, some for tools that are not there, many for one tool."""
+    tools = table(spark, folder, "part").select(F.concat(F.lit("tool-"), F.col("p_partkey") % 40).alias("tool"), (F.col("p_partkey") % 40 % 3 == 0).alias("writes")).distinct()
+    number, buckets = F.col("s_suppkey") % 45 + 7, F.array(*map(F.lit, ("allow", "ask", "deny")))
+    granted = table(spark, folder, "supplier").select(F.concat(F.lit("tool-"), number).alias("tool"), F.get(buckets, F.when(number % 4 == 0, F.col("s_suppkey") % 3).otherwise(number % 3).cast("int")).alias("bucket"))
+    return C.tool_audit(tools, granted)
 
 
 def gate_first_failure(spark, folder):
@@ -364,7 +364,10 @@ select doc_id, case when before is null then 'NEW' when before = after then 'UNC
 where c_custkey is null or c_nationkey <> 0 and c_nationkey <> o_orderkey % 25 group by 1""",
     "secret_reference": """select l_suppkey as ref, count(distinct o_orderkey) as n_referring from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey
 where o_orderstatus <> 'P' and s_acctbal < 0 group by l_suppkey""",
-    "tool_policy_audit": "select * from (values ('gone_z', 'DEAD_RULE'), ('new_c', 'UNCLASSIFIED'), ('read_b', 'SEVERAL_BUCKETS'), ('write_b', 'WRITER_ALLOWED')) t(tool, code)",
+    "tool_policy_audit": """with t as (select distinct 'tool-' || (p_partkey % 40) as tool, p_partkey % 40 % 3 = 0 as writes from part), n as (select s_suppkey as s, s_suppkey % 45 + 7 as k from supplier),
+p as (select distinct 'tool-' || k as tool, ['allow', 'ask', 'deny'][case when k % 4 = 0 then s % 3 else k % 3 end + 1] as bucket from n)
+select tool, 'UNCLASSIFIED' as code from t where tool not in (select tool from p) union all select distinct tool, 'DEAD_RULE' from p where tool not in (select tool from t) union all select tool, 'SEVERAL_BUCKETS' from p group by tool having count(*) > 1
+union all select t.tool, 'WRITER_ALLOWED' from t join p using (tool) where writes and bucket = 'allow'""",
     "gate_first_failure": """with r as (select user_id as run_id, count(*) filter (where event_type = 'click') as c, count(*) filter (where event_type = 'view') as v, count(*) filter (where event_type = 'error') as e, count(*) as t from events group by user_id),
 f as (select run_id, case when c % 5 = 0 then 'deterministic_validation' when v % 4 = 0 then 'validate_workflow' when e % 4 = 0 then 'static_analyzer' when t % 6 = 0 then 'side_effect_classification'
   when run_id % 6 = 0 then 'prepare_workflow_pin_data' when run_id % 5 = 0 then 'pin_data_inspected' when run_id % 3 = 0 then 'privileged_nodes_pinned' end as failed from r)

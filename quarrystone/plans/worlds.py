@@ -223,6 +223,12 @@ scored as (select evidence_id, doc_id, case when evidence_id in ({linked}) then
 hits as (select evidence_id, relational, lexical, round((0.6 * relational + 0.4 * lexical)::double, 6) as score from scored where round((0.6 * relational + 0.4 * lexical)::double, 6) >= 0.01 order by score desc, doc_id % 3, evidence_id limit {limit})"""
 
 
+#: What the world's objects lack: a type, how many there are, and the required columns that none of them has.
+_LACKING = (
+    ("entity", "count(*) from customer", ("entity_type", "aliases", "status", "created_at", "last_updated_at")), ("claim", "count(*) from orders", ("epistemic_status", "counter_evidence_ids")),
+    ("source", "count(distinct source) from documents", ("source_type", "origin", "captured_at", "ingested_at", "data_classes", "trust_class", "instruction_authority", "status", "metadata")),
+    ("fragment", "count(*) from documents where doc_id % 3 = 0", ("fragment_type", "created_at", "provenance")), ("evidence", "count(*) from documents", ("evidence_type", "epistemic_status")), ("decision", "count(*) from orders", ("title", "effective_from", "source_ids")),
+)
 #: States of everything that changes, beside the world.
 _CHANGING = f"""cc as (select cl.*, cl.o_orderkey as n, cl.o_orderkey % 3 = 0 as global, case when cl.active then 'ACTIVE' when cl.o_orderkey % 11 = 0 then 'DISPUTED' when cl.o_orderkey % 3 = 1 then 'RETRACTED' else 'SUPERSEDED' end as status from cl),
 hy as (select p_partkey as n from part where {_MINE.format("p_partkey")}), un as (select s_suppkey as n from supplier where {_MINE.format("s_suppkey")}), xs as (select event_id as n, ts from events where {_MINE.format("event_id")})"""
@@ -265,6 +271,8 @@ union all select 'OPEN_HYPOTHESIS', 'h' || n from hy where n % 6 < 3 union all s
     "world_trace": f"""with {_WORLD}, {_hits(['nation', 'heed'], 25, 'true')} select 'ENTITY_RESOLUTION' as stage, true as available, count(*) as n from en where entity_id = 'e1' union all select 'SCOPE_GUARD', true, count(*) from ev
 union all select 'CURRENT_STATE', true, count(*) from cl where active union all select 'STRUCTURED_RELATIONAL', true, count(*) from hits where relational > 0 union all select 'LEXICAL', true, count(*) from hits where lexical > 0
 union all select 'RELATION_EXPANSION', true, count(distinct dst) from edges where src = 'e1' and dst <> 'e1' union all select 'RAW_SOURCE_POINTER', true, count(*) from pointers where evidence_id in (select evidence_id from hits) union all select 'SEMANTIC', false, null""",
+    "world_faults": "with n(object_type, n, codes) as (" + " union all ".join(f"select '{k}', (select {n}), {['REQUIRED_' + c.upper() for c in codes]}" for k, n, codes in _LACKING)
+    + ") select object_type, unnest(codes) as code, n from n where n > 0 union all select 'claim', 'REQUIRED_SOURCE_IDS', count(*) from orders where o_orderkey % 2 <> 0 having count(*) > 0",
     "semantic_faults": f"""with cl as (select o_orderkey as n, {_STATUSES}[o_orderkey % 9 + 1] as status, o_orderkey % 2 = 0 as told, {_SCOPE_ID.format("o_orderkey")} as scope, o_orderkey % 97 as doc from orders),
 ev as (select doc_id, case when try_cast(substr(source, 4) as int) % 10 = 0 then 'GLOBAL' else source end as scope from documents),
 de as (select o_orderkey as n, o_orderstatus <> 'F' as active from orders), links as (select c.*, e.doc_id, e.scope as e_scope from cl c left join ev e on e.doc_id = c.doc),

@@ -59,10 +59,22 @@ def test_stored_pack(spark):
     schema = "knowledge_id string, knowledge_type string, title string, summary string, epistemic_status string, scope_type string, scope_id string, data_classification string, compatibility_status string, observed_version string, node_type string, instruction_authority string, lifecycle_state string, valid_until timestamp, approved_at timestamp"
     row = lambda i, scope, status="OBSERVED", version="1", state="CURRENT": (i, "PATTERN", "solar " + i, "s", status, "GLOBAL" if scope == "GLOBAL" else "CLIENT", scope, None, state, version, "http", None, "ACTIVE", None, None)
     knowledge = spark.createDataFrame([row("k1", "a"), row("k2", "b"), row("k3", "GLOBAL", "MEASURED", "2"), row("k4", "a", "CONFLICTING", "2", "DEPRECATED")], schema)
-    structures = spark.createDataFrame([("w1", "REFERENCE", 3, ["x.set", "x.solar"])], "item_id string, knowledge_role string, node_count int, integrations array<string>")
+    shape = "item_id string, knowledge_role string, learning_scope string, risk_decision string, max_severity string, node_types array<string>, source_repo string, source_commit string, source_path string, implementation_reference_allowed boolean, compiled_at int"
+    structures = spark.createDataFrame([("w1", "REFERENCE", "s", "SAFE", "INFO", ["x.set", "x.solar"], "r", "c", "p.json", True, 1), ("w2", "REFERENCE", "s", "SAFE", "INFO", [], "r", None, None, True, 2), ("w3", "REFERENCE", "s", "SAFE", "INFO", [], "r", "c", "q", False, 3)], shape)
+    sources = spark.createDataFrame([("k1", "s2", None, {"page": "2"}), ("k1", "s1", "PDF_PAGE", None), ("k2", "s3", "PDF_PAGE", None)], "knowledge_id string, source_id string, locator_kind string, locator map<string,string>")
     as_of = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    got = stored.pack({"knowledge": knowledge, "structures": structures}, "solar", "CLIENT:a", as_of, "BUILD")
-    assert [r.item_id for r in got["items"].collect()] == ["k3", "k1", "w1", "k4"]
+    got = stored.pack({"knowledge": knowledge, "structures": structures, "sources": sources}, "solar", "CLIENT:a", as_of, "BUILD")
+    items = {r.item_id: r for r in got["items"].collect()}
+    assert list(items) == ["k3", "k1", "w1", "w2", "k4"]
+    assert [tuple(p) for p in items["k1"].provenance] == [("s1", "PDF_PAGE", {}), ("s2", "GENERIC", {"page": "2"})] and items["k3"].provenance == []
+    assert (items["w1"].title, items["w1"].epistemic_status, items["w1"].relevance) == ("Structure reference: p.json", "OBSERVED", 0.0) and items["w1"].summary == "role=REFERENCE scope=s risk=SAFE/INFO nodes=x.set, x.solar"
+    assert [tuple(p) for p in items["w1"].provenance] == [("r", "REPO_FILE", {"path": "p.json", "commit": "c"})] and items["w2"].title == "Structure reference: w2" and items["w2"].provenance[0].locator == {}
+    old = knowledge.drop("scope_type", "scope_id", "data_classification", "compatibility_status", "observed_version", "node_type")
+    spoken = spark.createDataFrame([("k1", "s1", "t9", None, 5, 9)], "knowledge_id string, source_id string, transcript_id string, segment_id string, start_ms long, end_ms long")
+    mine, everyone = stored.pack({"knowledge": old, "sources": spoken}, "solar", "CLIENT:a", as_of, "LEARN"), stored.pack({"knowledge": old, "sources": spoken}, "solar", "GLOBAL", as_of, "LEARN")
+    assert mine["items"].count() == 0 and {r.gap for r in mine["gaps"].collect()} == {"UNSCOPED_STORE:knowledge:REFUSED", "NO_ITEM_FOUND"}
+    assert everyone["items"].count() == 4 and {r.gap for r in everyone["gaps"].collect()} == {"UNSCOPED_STORE:knowledge:READ_AS_GLOBAL"}
+    assert [tuple(p) for p in everyone["items"].where("item_id = 'k1'").first().provenance] == [("s1", "MEDIA_TIME", {"transcript_id": "t9", "start_ms": "5", "end_ms": "9"})]
     assert {(r.kind, tuple(r.item_ids)) for r in got["conflicts"].collect()} == {("MARKED_CONFLICTING", ("k4",)), ("VERSION_CONFLICT", ("k1", "k3", "k4")), ("DEPRECATED_BESIDE_CURRENT", ("k1", "k3", "k4"))}
     assert {r.gap for r in got["gaps"].collect()} == {"NO_STORE:experiences", "NO_ENVIRONMENT_PROFILE"}
     assert stored.rendered(got["items"]).first().line == "[2:MEASURED_OWN_EXECUTION] solar k3 | MEASURED | GLOBAL:GLOBAL"
