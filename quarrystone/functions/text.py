@@ -44,10 +44,17 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def normalise(text: Column) -> Column:
     """Case folded, without accents, compatibility forms as what they stand for; runs of anything else than a-z and 0-9 as one space."""
     before, after, several = _folds()
-    wide = "[" + "".join(several) + "]"
+    wide, near = "[" + "".join(several) + "]", "".join(c for c in several if c < "\u0250" and c != "ß")
     stands_for = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    apart = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(wide), F.lit(0))), text, lambda t, c: F.replace(t, c, F.element_at(stands_for, c)))
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(F.when(text.rlike(wide), apart).otherwise(text), before, after)).otherwise(text)
+
+    def apart(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(wide), F.lit(0)))
+        return F.aggregate(found, t, lambda out, c: F.replace(out, c, F.element_at(stands_for, c)))
+
+    # Most texts have no character that several stand for but the sharp s; a small class tells which may have one.
+    plain = F.replace(text, F.lit("ß"), F.lit("ss"))
+    plain = F.when(text.rlike(f"[{near}]|[^\\x00-\u024f]"), apart(plain)).otherwise(plain)
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(plain, before, after)).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rules import once
 
 # Node types by what they do, severities from the least, verdicts from the least.
 COMMAND, SSH = ("executeCommand",), ("ssh",)
@@ -32,7 +33,7 @@ SECRET_KEY = r"(?i)(api[_ -]?key|token|password|passwd|secret|authorization)"
 PLACEHOLDER = r"(?i)(YOUR[_ -]?[A-Z0-9_]*|<[^>]*(token|secret|password|key)[^>]*>|\{\{\s*\$(credentials|env)\b)"
 TEXT_KEYS = ("content", "description", "instructions", "message", "prompt", "systemmessage", "text")
 #: Levels below a node's parameters that leaves are looked for in; text nested deeper is not analysed.
-MAX_DEPTH = 100
+MAX_DEPTH, SHALLOW = 100, 8
 # Prefixes of the built-in nodes' package, and of all packages that come with the product itself.
 BASE_PREFIXES = ("n8n-nodes-base.",)
 FIRST_PARTY_PREFIXES = ("n8n-nodes-base.", "@n8n/n8n-nodes-langchain.", "n8n-nodes-langchain.")
@@ -79,7 +80,12 @@ def string_leaves(value: Column, root: str, depth: int = MAX_DEPTH) -> Column:
         return F.when(F.size(state["open"]) == 0, state).otherwise(F.struct(F.flatten(F.transform(state["open"], inside)).alias("open"), leaves.alias("found")))
 
     start = F.struct(F.array(told(F.lit(root), value)).alias("open"), F.array().cast(found).alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level, lambda state: state["found"])
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    # Few files are nested deeply: the many steps are for those that the first ones leave open.
+    near = F.aggregate(steps(min(SHALLOW, depth + 1)), start, level)
+    if depth < SHALLOW:
+        return near["found"]
+    return once(near, lambda s: F.when(F.size(s["open"]) == 0, s["found"]).otherwise(F.aggregate(steps(depth + 1 - SHALLOW), s, level, lambda state: state["found"])))
 
 
 def documents(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

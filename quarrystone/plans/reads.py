@@ -10,7 +10,7 @@ from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import requests as N
 from ..operators import scope as S
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 
 #: The request of these queries.
 SCOPE, QUERY, LINKED_QUERY = "CLIENT:src3", "the heed nation of the and ther", "Ther heed"
@@ -123,7 +123,9 @@ def evidence_for_requests(spark, folder):
     """Every turn of every conversation as a request of one of twenty clients: its best hits, or that there are none."""
     docs = scoped_documents(spark, folder).withColumn("evidence_id", F.col("doc_id"))
     turns = table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.lit("CLIENT").alias("scope_type"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("scope_id"), F.when(F.col("turn") == 1, F.lit("of no ??")).otherwise(F.col("text")).alias("query"))
-    return N.search(N.postings(docs), turns).select("request_id", "kind", "evidence_id", "score")
+    at = scratch(spark)  # an index is stored once and read by all that a search joins
+    N.postings(docs).write.parquet(at)
+    return N.search(spark.read.parquet(at), turns).select("request_id", "kind", "evidence_id", "score")
 
 
 _LEXICAL = f"""
