@@ -7,8 +7,11 @@ stand: a package whose name only ends like a known one is foreign.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,9 @@ SECRET_KEY = r"(?i)(api[_ -]?key|token|password|passwd|secret|authorization)"
 PLACEHOLDER = r"(?i)(YOUR[_ -]?[A-Z0-9_]*|<[^>]*(token|secret|password|key)[^>]*>|\{\{\s*\$(credentials|env)\b)"
 TEXT_KEYS = ("content", "description", "instructions", "message", "prompt", "systemmessage", "text")
 #: Levels below a node's parameters that leaves are looked for in; text nested deeper is not analysed.
-MAX_DEPTH, SHALLOW = 100, 8
+MAX_DEPTH = 100
+#: Leaves of about this number leave a Python task at a time.
+LEAVES_AT_ONCE = 20_000
 # Prefixes of the built-in nodes' package, and of all packages that come with the product itself.
 BASE_PREFIXES = ("n8n-nodes-base.",)
 FIRST_PARTY_PREFIXES = ("n8n-nodes-base.", "@n8n/n8n-nodes-langchain.", "n8n-nodes-langchain.")
@@ -48,95 +53,138 @@ def first_party(node_type: Column, prefixes: tuple[str, ...] = FIRST_PARTY_PREFI
     return reduce(lambda a, b: a | b, [F.startswith(node_type, F.lit(p)) for p in prefixes])
 
 
-def _entries(value: Column) -> Column:
-    """An object's entries; null for anything else."""
-    return F.map_entries(value.try_cast("map<string,variant>"))
+def _is_object(value: Column) -> Column:
+    return value.try_cast("map<string,boolean>").isNotNull()  # what it holds is not copied: anything else than a truth value is null
 
 
-def _elements(value: Column) -> Column:
-    return value.try_cast("array<variant>")
+def _is_list(value: Column) -> Column:
+    return value.try_cast("array<boolean>").isNotNull()
 
 
 def _member(value: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{key}", kind)
 
 
-def string_leaves(value: Column, root: str, depth: int = MAX_DEPTH) -> Column:
-    """array<struct<json_path, value>> of all strings below a VARIANT, as deep as depth: one fold, a level a step, with what is still to be entered as its state."""
-    pending = "array<struct<json_path:string,value:variant>>"
-    found = "array<struct<json_path:string,value:string>>"
-    told = lambda path, v: F.struct(path.alias("json_path"), v.alias("value"))
+def string_leaves(rows: DataFrame, column: str, root: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """All strings below a column of JSON text, as deep as depth: a row (json_path, value) for each beside the other columns.
 
-    def inside(e: Column) -> Column:
-        path, v = e["json_path"], e["value"]
-        fields = F.transform(_entries(v), lambda x: told(F.concat(path, F.lit("."), x["key"]), x["value"]))
-        items = F.transform(_elements(v), lambda x, k: told(F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), x))
-        return F.coalesce(fields, items, F.array().cast(pending))
+    Arrow batches: built-in functions do not recurse, and a fold over VARIANT copies each level. The text must be that of a VARIANT.
+    """
+    rest = [c for c in rows.columns if c != column]
+    schema = rows.select(*rest).schema.add("json_path", "string").add("value", "string")
+
+    def found(text: str) -> list[tuple[str, str]]:
+        out, todo = [], [(root, json.loads(text), 0)]
+        while todo:
+            path, value, level = todo.pop()
+            if isinstance(value, str):
+                out.append((path, value))
+            elif level < depth and isinstance(value, dict):
+                todo += [(f"{path}.{k}", v, level + 1) for k, v in value.items()]
+            elif level < depth and isinstance(value, list):
+                todo += [(f"{path}[{k}]", v, level + 1) for k, v in enumerate(value)]
+        return out
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, values = [], [], []
+
+            def part(batch: pa.RecordBatch = batch, at: list = at, paths: list = paths, values: list = values) -> pa.RecordBatch:
+                held = batch.select(rest).take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([*held.columns, pa.array(paths, pa.string()), pa.array(values, pa.string())], [*rest, "json_path", "value"])
+
+            for k, text in enumerate(batch.column(column)):
+                strings = found(text.as_py()) if text.is_valid else []
+                at += [k] * len(strings)
+                paths += [p for p, _ in strings]
+                values += [v for _, v in strings]
+                if len(at) >= LEAVES_AT_ONCE:
+                    yield part()
+                    at.clear(), paths.clear(), values.clear()
+            yield part()
+
+    return rows.mapInArrow(leaves, schema)
+
+
+def _files(found: DataFrame) -> DataFrame:
+    """files(path, content, parse_error) -> (path, v), v null where the text is no JSON.
+
+    The text is parsed behind a generator: filters on what it makes stay above it, so nothing is parsed, or made, once for each use.
+    """
+    return found.where("parse_error is null").select("path", F.explode_outer(F.array(F.try_parse_json("content"))).alias("v"))
+
+
+def _nodes(files: DataFrame) -> DataFrame:
+    """(path, n, name, type, type_version, parameters, credentials) of each node that is an object, in place; parameters as VARIANT."""
+    kind = "array<struct<name:string,type:string,typeVersion:variant,parameters:variant,credentials:map<string,variant>>>"
+    listed = F.filter(_member(F.col("v"), "nodes", kind), lambda x: x.isNotNull())
+    rows = files.select("path", F.posexplode_outer(listed).alias("n", "node")).where("n is not null")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("path", "n", "node.name", text(F.col("node.type")).alias("type"), F.col("node.typeVersion").alias("type_version"), F.col("node.parameters").alias("v"), "node.credentials")
 
-    def level(state: Column, _: Column) -> Column:
-        scalar = lambda e: _entries(e["value"]).isNull() & _elements(e["value"]).isNull()
-        strings = F.filter(state["open"], lambda e: F.when(scalar(e), F.schema_of_variant(e["value"]) == "STRING").otherwise(F.lit(False)))
-        leaves = F.concat(state["found"], F.transform(strings, lambda e: told(e["json_path"], F.try_variant_get(e["value"], "$", "string"))))
-        return F.when(F.size(state["open"]) == 0, state).otherwise(F.struct(F.flatten(F.transform(state["open"], inside)).alias("open"), leaves.alias("found")))
 
-    start = F.struct(F.array(told(F.lit(root), value)).alias("open"), F.array().cast(found).alias("found"))
-    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
-    # Few files are nested deeply: the many steps are for those that the first ones leave open.
-    near = F.aggregate(steps(min(SHALLOW, depth + 1)), start, level)
-    if depth < SHALLOW:
-        return near["found"]
-    return once(near, lambda s: F.when(F.size(s["open"]) == 0, s["found"]).otherwise(F.aggregate(steps(depth + 1 - SHALLOW), s, level, lambda state: state["found"])))
+def _scalar(value: Column) -> Column:
+    """A VARIANT's text unless it is an object or a list."""
+    return F.when(~_is_object(value) & ~_is_list(value), F.try_variant_get(value, "$", "string"))
 
 
-def documents(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files(path, content, parse_error) -> nodes, string leaves of their parameters, edges. Malformed parts are skipped; all of it stays in the JVM.
+def _edges(files: DataFrame) -> DataFrame:
+    """(path, source, channel, output, target, input) of each connection that names its target, of files whose nodes, if any, are a list."""
+    kind = "map<string,map<string,array<array<struct<node:string,index:variant>>>>>"
+    listed = _member(F.col("v"), "nodes", "array<boolean>").isNotNull() | _member(F.col("v"), "nodes").isNull()
+    sources = files.where(listed).select("path", F.explode_outer(_member(F.col("v"), "connections", kind)).alias("source", "channels"))
+    channels = sources.select("path", "source", F.explode_outer("channels").alias("channel", "outputs"))
+    outputs = channels.select("path", "source", "channel", F.posexplode_outer("outputs").alias("output", "targets"))
+    edges = outputs.select("path", "source", "channel", "output", F.explode_outer("targets").alias("target")).where("target.node is not null")
+    index = F.col("target.index")
+    whole_number = F.coalesce(~_is_object(index) & ~_is_list(index) & (F.schema_of_variant(index) == "BIGINT"), F.lit(False))
+    return edges.select("path", "source", "channel", "output", F.col("target.node").alias("target"), F.when(whole_number, F.try_variant_get(index, "$", "int")).otherwise(F.lit(0)).alias("input"))
+
+
+def documents(found: DataFrame, at: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files(path, content, parse_error) -> nodes, string leaves of their parameters, edges. Malformed parts are skipped.
 
     A file whose nodes are no list has none of the three. Edges count the outputs of a channel, empty ones included.
+    With a new folder `at`, shared by driver and executors, nodes are parsed once and stored there for all that read them and their leaves.
     """
-    whole = found.where("parse_error is null and content is not null").select("path", F.try_parse_json("content").alias("v")).where("v is not null")
-    listed = F.when(_member(F.col("v"), "nodes").isNull(), F.array().cast("array<variant>")).otherwise(_elements(_member(F.col("v"), "nodes")))
-    parsed = whole.select("path", "v", listed.alias("nodes")).where(_entries(F.col("v")).isNotNull() & F.col("nodes").isNotNull())
-    node, text = F.col("node"), lambda c: F.coalesce(c, F.lit(""))
-    rows = parsed.select("path", F.posexplode(F.filter("nodes", lambda x: _entries(x).isNotNull())).alias("n", "node"))
-    scalar = lambda key: F.when(_entries(_member(node, key)).isNull() & _elements(_member(node, key)).isNull(), _member(node, key, "string"))
+    files = _files(found)
+    rows = _nodes(files)
     rows = rows.select(
-        "path", "n", _member(node, "name", "string").alias("name"), text(_member(node, "type", "string")).alias("type"), _member(node, "parameters").alias("v"),
-        F.array_sort(F.coalesce(F.map_keys(_member(node, "credentials").try_cast("map<string,variant>")), F.array().cast("array<string>"))).alias("credential_types"),
-        scalar("typeVersion").alias("type_version"), scalar("parameters.resource").alias("resource"), scalar("parameters.operation").alias("operation"),
+        "path", "n", "name", "type", F.to_json("v").alias("parameters"), F.array_sort(F.coalesce(F.map_keys("credentials"), F.array().cast("array<string>"))).alias("credential_types"),
+        _scalar(F.col("type_version")).alias("type_version"), _scalar(_member(F.col("v"), "resource")).alias("resource"), _scalar(_member(F.col("v"), "operation")).alias("operation"),
     )
-    nodes = rows.select("path", "n", "name", "type", F.coalesce(F.to_json("v"), F.lit("{}")).alias("parameters"), "credential_types", "type_version", "resource", "operation")
-    leaves = rows.where("v is not null").select("path", "n", "type", F.explode(string_leaves(F.col("v"), "parameters")).alias("x")).select("path", "n", "type", "x.json_path", "x.value")
-    sources = parsed.select("path", F.explode(_entries(_member(F.col("v"), "connections"))).alias("s")).select("path", F.col("s.key").alias("source"), F.explode(_entries(F.col("s.value"))).alias("c"))
-    outputs = sources.select("path", "source", F.col("c.key").alias("channel"), F.posexplode(_elements(F.col("c.value"))).alias("output", "targets"))
-    target, index = F.col("target"), _member(F.col("target"), "index")
-    edges = outputs.select("path", "source", "channel", "output", F.explode(_elements(F.col("targets"))).alias("target")).where(_member(target, "node", "string").isNotNull())
-    whole_number = F.coalesce(F.when(_entries(index).isNull() & _elements(index).isNull(), F.schema_of_variant(index) == "BIGINT"), F.lit(False))
-    edges = edges.select("path", "source", "channel", "output", _member(target, "node", "string").alias("target"), F.when(whole_number, F.try_variant_get(index, "$", "int")).otherwise(F.lit(0)).alias("input"))
-    return nodes, leaves, edges
+    if at is not None:
+        rows.write.parquet(at)
+        rows = found.sparkSession.read.parquet(at)
+    nodes = rows.withColumn("parameters", F.coalesce("parameters", F.lit("{}")))
+    return nodes, string_leaves(rows.select("path", "n", "type", "parameters"), "parameters", "parameters"), _edges(files)
 
 
 def _exploded(rows: DataFrame, keep: list[str], rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """(keep..., rule_id, severity) for each rule whose condition holds: one projection, no join."""
-    hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, c in rules]), lambda x: x.isNotNull())
-    return rows.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    """(keep..., rule_id, severity) for each rule whose condition holds: one projection, no join, compiled with the rest of its stage."""
+    hits = F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, c in rules])
+    return rows.select(*keep, F.explode_outer(hits).alias("h")).where("h is not null").select(*keep, "h.*")
 
 
 def findings(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """(path, n, json_path, rule_id, severity, evidence) of the node, leaf and workflow rules; evidence never holds a value."""
     kind = kind_of(F.col("type"))
     by_type = _exploded(nodes, ["path", "n"], [(r, s, kind.isin(*types)) for r, s, types in TYPE_RULES]).withColumns({"json_path": F.lit(None).cast("string"), "evidence": F.lit(None).cast("string")})
-    value, path = F.col("value"), F.col("json_path")
+    value, path, kind = F.col("value"), F.col("json_path"), F.col("kind")
     trimmed = F.btrim(value, F.lit(" \t\r\n"))
     named = T.leaf_key(path).isin("id", "name") & F.contains(F.lower(path), F.lit(".credentials."))
     rules = [
         ("DECRYPTED_CREDENTIAL_EXPORT", "CRITICAL", kind.isin(*COMMAND) & F.contains(value, F.lit("export:credentials")) & F.contains(value, F.lit("--decrypted"))),
-        ("PRIVATE_NETWORK_URL", "HIGH", kind.isin(*HTTP) & F.endswith(path, F.lit(".url")) & T.private_or_local(value)),
+        ("PRIVATE_NETWORK_URL", "HIGH", kind.isin(*HTTP) & F.endswith(path, F.lit(".url")) & once(value, T.private_or_local)),
         *[(r, s, kind.isin(*CODE) & value.rlike(p)) for r, s, p in CODE_RULES],
         ("POSSIBLE_HARDCODED_SECRET", "HIGH", ~named & path.rlike(SECRET_KEY) & ~value.rlike(PLACEHOLDER) & (F.length(trimmed) >= 8)),
     ]
-    by_leaf = _exploded(leaves, ["path", "n", "json_path", "value"], rules)
+    # Most leaves meet no rule: cheap tests keep those that may.
+    likely = kind.isin(*COMMAND, *CODE) | (kind.isin(*HTTP) & F.endswith(path, F.lit(".url"))) | path.rlike(SECRET_KEY)
+    by_leaf = _exploded(leaves.select("path", "n", "json_path", "value", kind_of(F.col("type")).alias("kind")).where(likely), ["path", "n", "json_path", "value"], rules)
     evidence = F.when(F.col("rule_id") == "POSSIBLE_HARDCODED_SECRET", T.masked(F.btrim("value"))).otherwise(F.concat(F.lit("matched rule "), F.col("rule_id")))
     by_leaf = by_leaf.withColumn("evidence", evidence).drop("value")
+    kind = kind_of(F.col("type"))
     together = nodes.groupBy("path").agg(F.bool_or(kind.isin(*COMMAND, *SSH)).alias("privileged"), F.bool_or(F.lower("type").rlike("agent|lmchat") & (kind != "noOp")).alias("ai")).where("privileged and ai")
     whole = together.select("path", F.lit(None).cast("int").alias("n"), F.lit("AI_WITH_PRIVILEGED_EXECUTION").alias("rule_id"), F.lit("CRITICAL").alias("severity"), F.lit(None).cast("string").alias("json_path"), F.lit(None).cast("string").alias("evidence"))
     return by_type.unionByName(by_leaf).unionByName(whole)
@@ -153,7 +201,8 @@ def decision(severity: Column) -> Column:
 
 def reports(found: DataFrame, nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each file: counts by node type, triggers, worst severity, decision. A file that cannot be parsed is CRITICAL."""
-    typed = nodes.groupBy("path", "type").agg(F.count("*").alias("n")).groupBy("path").agg(
+    # A file's nodes meet once: both groupings are inside its partition.
+    typed = nodes.select("path", "type").repartition("path").groupBy("path", "type").agg(F.count("*").alias("n")).groupBy("path").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("node_types"), F.sum("n").alias("node_count"),
         F.array_sort(F.collect_set(F.when(F.contains(F.lower("type"), F.lit("trigger")) | F.endswith("type", F.lit(".cron")), F.col("type")))).alias("trigger_types"),
     )

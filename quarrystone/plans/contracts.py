@@ -208,7 +208,7 @@ _TYPES = ("n8n-nodes-base.executeCommand", "n8n-nodes-base.httpRequest", "n8n-no
 def _flows(spark, folder):
     """Orders as workflow files: lines are nodes with nested parameters, each connected to the next."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("x"))
-    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
     def node(x, k):
@@ -249,7 +249,7 @@ def workflow_leaves(spark, folder):
 def workflow_reports(spark, folder):
     """Workflow files from JSON text to decisions: how many of each severity, with how many findings of each rule."""
     flows = _flows(spark, folder)
-    nodes, leaves, _ = A.documents(flows)
+    nodes, leaves, _ = A.documents(flows, scratch(spark))
     rows = A.reports(flows, nodes, A.findings(nodes, leaves)).select("path", "max_severity", "risk_decision", "node_count", "n_findings", F.array_join("rules", ",").alias("rules"))
     return rows.groupBy("max_severity", "risk_decision", "rules").agg(F.count("*").alias("n"), F.sum("node_count").alias("n_nodes"), F.sum("n_findings").alias("n_findings"))
 
