@@ -261,7 +261,7 @@ def prepared(rows: DataFrame, analyzer_version: str, json: str = "json") -> dict
     v = F.try_parse_json(F.col(json))
     get = lambda path, kind="string": F.try_variant_get(F.col("v"), f"$.{path}", kind)
     listed = lambda path: F.array_sort(F.array_distinct(get(path, "array<string>")))
-    told = rows.select(v.alias("v")).select(
+    told = rows.select(F.explode_outer(F.array(v)).alias("v")).select(  # behind a generator: joins' null checks do not parse once more
         *[get(f"provenance.{c}").alias(c) for c in ("source_repo", "source_commit", "source_path", "sha256")], F.lit(analyzer_version).alias("analyzer_version"), get("schema_version").alias("schema_version"),
         *[get(f"admission.{c}").alias(c) for c in ("risk_decision", "max_severity", "knowledge_role", "learning_scope")], get("source_content_trust").alias("source_content_trust"),
         *[F.to_json(get(c, "variant")).alias(c) for c in ("security_findings", "untrusted_text", "executable_snippets_untrusted")],

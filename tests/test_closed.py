@@ -140,3 +140,10 @@ def test_records_of_valid_items(spark, tmp_path):
     assert both.count() == 2 and both.first().trigger_types == ["x"] and both.where(F.col("sha256") == H).count() == 2
     with pytest.raises(ValueError):
         closed.prepared(rows, "")
+
+
+def test_parsed_once(spark):
+    """Null checks, as joins make them, do not parse an item once more."""
+    texts = spark.range(2).select(F.concat(F.lit("{"), F.col("id").cast("string")).alias("json"))
+    told = closed.prepared(texts, "1.0")["sources"].where("source_id is not null and source_path is not null")
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
