@@ -1,9 +1,9 @@
-"""Token budgets of many context packs at once: estimates by type, and one fold of the drop steps over each pack.
+"""Token budgets of many context packs at once: estimates by type, and what each drop step saves of each pack.
 
 A budget cuts content, never traceability. Steps are tried in their order until the pack fits; each is measured together
 with the line in gaps that says what it took, and is taken back if the pack has not become smaller by it. A pack that
-does not fit after the last step is refused with the smallest size that was reached. The fold is a column: packs are
-rows, so a million of them are fitted by a projection, without a shuffle and without the driver.
+does not fit after the last step is refused with the smallest size that was reached. What each step saves is a column: packs
+are rows, so a million of them are fitted by a projection, without a shuffle and without the driver.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ _WEAKEST_FIRST = ("WEAK", "MODERATE", "STRONG")
 #: What the steps change, and the name of it in the line that tells of a step.
 STEP_FIELDS = {"VERBOSE_SUMMARY": "constraints", "LOW_RELEVANCE_ARTIFACTS": "artifact_refs", "OLDER_EVENTS": "recent_event_ids", "WEAKER_EVIDENCE": "evidence_ids", "SECONDARY_PROCEDURAL_REFS": "procedural_refs"}
 _TOLD_AS = STEP_FIELDS | {"VERBOSE_SUMMARY": "constraints (shortened)"}
-#: Columns of a pack that the fold reads; a pack without one of them has an empty list there.
+#: Columns of a pack that the steps read; a pack without one of them has an empty list there.
 FOLDED = (*STEP_FIELDS.values(), "provenance_summary", "gaps")
 _TRIM = "array<struct<step:string,field:string,removed:array<string>>>"
 
@@ -94,67 +94,68 @@ def fit(packs: DataFrame, budget: str = "token_budget", strengths: str = "streng
     """packs, with strengths (map of evidence to its strength, not part of a pack) ->
     packs as they fit, with size, fits, minimum_required (null if it fits) and trimmed (the steps that were taken).
 
-    A pack without a budget, or with one below 1, does not fit. Columns that the steps read and packs lack are added as
-    empty lists. Lists that a step or the gaps' lines touch come back sorted.
+    The budget is a number, or an array of numbers: then a pack gives a row for each, with that number as its budget, and
+    is measured once for all of them. A pack without a budget, or with one below 1, does not fit. Columns that the steps
+    read and packs lack are added as empty lists. Lists that a step or the gaps' lines touch come back sorted.
+
+    No two steps change the same list and no two lines are alike, so what a step saves, its line counted, depends neither on the
+    budget nor on the other steps: a step is taken if it saves anything and what the steps before have left does not fit.
     """
     lists = {"artifact_refs": f"array<struct<{artifact_id}:string>>", "provenance_summary": "array<struct<object_id:string>>"}
     for c in FOLDED:
         packs = packs.withColumn(c, F.coalesce(F.col(c) if c in packs.columns else F.lit(None).cast(lists.get(c, "array<string>")), F.array().cast(lists.get(c, "array<string>")) if c not in packs.columns else F.array().cast(packs.schema[c].dataType)))
     pack_columns = [c for c in packs.columns if c != strengths]
     kinds = {f.name: f.dataType for f in packs.schema}
-    fixed = fields_tokens(F.col, T.StructType([packs.schema[c] for c in pack_columns if c not in FOLDED]))
+    several = isinstance(kinds[budget], T.ArrayType)
+    fixed = fields_tokens(F.col, T.StructType([packs.schema[c] for c in pack_columns if c not in FOLDED and c != budget]))
     fixed = fixed + F.lit(sum(-(-len(c) // CHARS) for c in FOLDED))
-    held = [*STEP_FIELDS.values(), "provenance_summary"]
     known = F.coalesce(F.col(strengths), F.create_map().cast("map<string,string>")) if strengths in packs.columns else F.create_map().cast("map<string,string>")
 
-    def gaps(log: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.concat(F.col("gaps"), F.transform(log, trim_line))))
-
-    def measured(state: Column) -> Column:
-        size = fixed + tokens(gaps(state["log"]), kinds["gaps"])
-        for c in held:
-            size = size + tokens(state[c], kinds[c])
-        return size
-
-    def cut(state: Column, step: Column) -> Column:
-        """The state after a step, whether or not it is worth it."""
-        long = F.filter(state["constraints"], lambda c: F.length(c) > LINE)
-        last = F.when(F.size(state["recent_event_ids"]) > 2, F.slice(state["recent_event_ids"], -2, 2)).otherwise(F.array().cast("array<string>"))
-        removed = (
-            F.when(step == "VERBOSE_SUMMARY", F.transform(long, lambda c: F.split_part(c, F.lit(":"), F.lit(1))))
-            .when(step == "LOW_RELEVANCE_ARTIFACTS", F.transform(state["artifact_refs"], lambda a: a[artifact_id]))
-            .when(step == "OLDER_EVENTS", _without(state["recent_event_ids"], last))
-            .when(step == "WEAKER_EVIDENCE", _weaker(state["evidence_ids"], known))
-            .otherwise(_without(state["procedural_refs"], F.slice(state["procedural_refs"], 1, 1)))
-        )
-
-        def without(removed: Column) -> Column:
-            shortened = F.array_sort(F.transform(state["constraints"], lambda c: F.when(F.length(c) > LINE, F.concat(F.left(c, F.lit(LINE - 3)), F.lit("..."))).otherwise(c)))
-            after = {
-                "constraints": F.when(step == "VERBOSE_SUMMARY", shortened), "artifact_refs": F.when(step == "LOW_RELEVANCE_ARTIFACTS", F.slice(state["artifact_refs"], 1, 0)), "recent_event_ids": F.when(step == "OLDER_EVENTS", last),
-                "evidence_ids": F.when(step == "WEAKER_EVIDENCE", F.array_sort(F.array_distinct(_without(state["evidence_ids"], removed)))), "procedural_refs": F.when(step == "SECONDARY_PROCEDURAL_REFS", F.slice(state["procedural_refs"], 1, 1)),
-                "provenance_summary": F.when(step == "WEAKER_EVIDENCE", F.filter(state["provenance_summary"], lambda p: ~F.array_contains(removed, p["object_id"]))),
-            }
-            told_as = F.element_at(F.create_map(*[F.lit(x) for pair in _TOLD_AS.items() for x in pair]), step)
-            entry = F.struct(step.alias("step"), told_as.alias("field"), F.array_sort(removed).alias("removed"))
-            log = F.when(F.size(removed) > 0, F.array_append(state["log"], entry)).otherwise(state["log"])
-            return F.struct(*[F.coalesce(after[c], state[c]).alias(c) for c in held], log.cast(_TRIM).alias("log"))
-
-        return once(removed, without)
-
-    def taken(state: Column, step: Column) -> Column:
-        def judged(after: Column, size: Column) -> Column:
-            smaller = F.struct(*[after[c].alias(c) for c in (*held, "log")], size.alias("size"), (size <= F.col(budget)).alias("done"))
-            return F.when(size < state["size"], smaller).otherwise(state)
-
-        return F.when(state["done"], state).otherwise(once(cut(state, step), lambda after: once(measured(after), lambda size: judged(after, size))))
-
-    whole = F.struct(*[F.col(c).alias(c) for c in held], F.array().cast(_TRIM).alias("log"))
-    start = once(whole, lambda s: once(measured(s), lambda size: F.struct(*[s[c].alias(c) for c in (*held, "log")], size.alias("size"), F.coalesce((size <= F.col(budget)) & (F.col(budget) >= 1), F.lit(False)).alias("done"))))
-    folded = F.aggregate(F.array(*map(F.lit, DROP_ORDER)), start, taken)
-    rows = packs.withColumn("_fitted", folded)
-    new = {c: F.col("_fitted").getField(c) for c in held} | {"gaps": gaps(F.col("_fitted.log"))}
-    fits = F.coalesce(F.col("_fitted.done"), F.lit(False))
+    constraints, events, evidence, refs = F.col("constraints"), F.col("recent_event_ids"), F.col("evidence_ids"), F.col("procedural_refs")
+    last = F.when(F.size(events) > 2, F.slice(events, -2, 2)).otherwise(F.array().cast("array<string>"))
+    shortened = F.array_sort(F.transform(constraints, lambda c: F.when(F.length(c) > LINE, F.concat(F.left(c, F.lit(LINE - 3)), F.lit("..."))).otherwise(c)))
+    #: For each step: what it takes, and the lists that it changes, given what it takes.
+    steps = {
+        "VERBOSE_SUMMARY": (F.transform(F.filter(constraints, lambda c: F.length(c) > LINE), lambda c: F.split_part(c, F.lit(":"), F.lit(1))), lambda gone: {"constraints": shortened}),
+        "LOW_RELEVANCE_ARTIFACTS": (F.transform("artifact_refs", lambda a: a[artifact_id]), lambda gone: {"artifact_refs": F.slice("artifact_refs", 1, 0)}),
+        "OLDER_EVENTS": (once(last, lambda kept: _without(events, kept)), lambda gone: {"recent_event_ids": last}),
+        "WEAKER_EVIDENCE": (_weaker(evidence, known), lambda gone: {"evidence_ids": F.array_sort(F.array_distinct(_without(evidence, gone))), "provenance_summary": F.filter("provenance_summary", lambda p: ~F.array_contains(gone, p["object_id"]))}),
+        "SECONDARY_PROCEDURAL_REFS": (once(F.slice(refs, 1, 1), lambda kept: _without(refs, kept)), lambda gone: {"procedural_refs": F.slice(refs, 1, 1)}),
+    }
+
+    def tried(step: str) -> Column:
+        """A step's entry, its line, the lists after it and what they come to less than before, the line counted unless gaps have it already."""
+        removed, after = steps[step]
+
+        def told(gone: Column) -> Column:
+            entry = F.struct(F.lit(step).alias("step"), F.lit(_TOLD_AS[step]).alias("field"), F.array_sort(gone).alias("removed"))
+            lists = after(gone)
+            return once(F.struct(entry.alias("entry"), F.when(F.size(gone) > 0, trim_line(entry)).alias("line"), *[F.coalesce(v, F.col(c)).alias(c) for c, v in lists.items()]), lambda x: F.struct(
+                *[x[c].alias(c) for c in ("entry", "line", *lists)],
+                (sum((tokens(F.col(c), kinds[c]) - tokens(x[c], kinds[c]) for c in lists), F.lit(0).cast("long")) - F.when(F.array_contains("gaps", x["line"]), 0).otherwise(tokens(x["line"], T.StringType()))).alias("saved"),
+            ))
+
+        return once(removed, told)
+
+    whole = fixed + tokens(F.array_distinct("gaps"), kinds["gaps"])
+    for c in (*STEP_FIELDS.values(), "provenance_summary"):
+        whole = whole + tokens(F.col(c), kinds[c])
+    rows = packs.withColumns({"_whole": whole, **{f"_{step}": tried(step) for step in DROP_ORDER}}).drop(strengths)
+    # An explode stands between measuring and choosing, for one budget too, so that no step is measured again where it is named.
+    rows = rows.withColumn("_budgets", F.col(budget) if several else F.array(budget)).drop(budget).withColumn(budget, F.explode("_budgets"))
+    size = F.col("_whole") + F.when(F.col(budget).isNotNull(), -(-len(budget) // CHARS) + 1).otherwise(0)
+    new, log = {}, []
+    for step in DROP_ORDER:
+        own, fits = F.col(f"_{step}"), F.coalesce((size <= F.col(budget)) & (F.col(budget) >= 1), F.lit(False))
+        taken = ~fits & (own["saved"] > 0)
+        new |= {c: F.when(taken, own[c]).otherwise(F.col(c)) for c in (STEP_FIELDS[step], *(["provenance_summary"] if step == "WEAKER_EVIDENCE" else []))}
+        log.append(F.when(taken & own["line"].isNotNull(), F.struct(own["entry"].alias("entry"), own["line"].alias("line"))))
+        size = size + F.when(taken, -own["saved"]).otherwise(0)
+        rows = rows.withColumn(f"_size_{step}", size)
+        size = F.col(f"_size_{step}")
+    rows = rows.withColumn("_log", F.array_compact(F.array(*log)))
+    new["gaps"] = F.array_sort(F.array_distinct(F.concat(F.col("gaps"), F.transform("_log", lambda x: x["line"]))))
+    fits = F.coalesce((size <= F.col(budget)) & (F.col(budget) >= 1), F.lit(False))
     return rows.select(
-        *[new.get(c, F.col(c)).alias(c) for c in pack_columns], F.col("_fitted.size").alias("size"), fits.alias("fits"), F.when(~fits, F.col("_fitted.size")).alias("minimum_required"), F.col("_fitted.log").alias("trimmed"),
+        *[new.get(c, F.col(c)).alias(c) for c in pack_columns], size.alias("size"), fits.alias("fits"), F.when(~fits, size).alias("minimum_required"), F.transform("_log", lambda x: x["entry"]).cast(_TRIM).alias("trimmed"),
     )

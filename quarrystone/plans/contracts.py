@@ -44,7 +44,7 @@ def _packs(spark, folder):
     return held.join(F.broadcast(recent), customer % 10 == F.col("tenth"), "left").select(
         F.concat(F.lit("cp_"), customer.cast("string")).alias("context_pack_id"), F.lit("ship what is open").alias("objective"), "constraints", "evidence_ids", "provenance_summary", "strengths",
         F.coalesce("recent_event_ids", F.array().cast("array<string>")).alias("recent_event_ids"), F.when(customer % 3 == 0, F.array(F.struct(F.concat(F.lit("artifact-"), customer.cast("string")).alias("artifact_id")))).alias("artifact_refs"),
-        made.alias("procedural_refs"), F.array(F.lit("the record starts late")).alias("gaps"), F.explode(F.array(*map(F.lit, BUDGETS))).alias("token_budget"),
+        made.alias("procedural_refs"), F.array(F.lit("the record starts late")).alias("gaps"), F.array(*map(F.lit, BUDGETS)).alias("token_budget"),
     )
 
 
@@ -60,7 +60,7 @@ def context_packs_fitted(spark, folder):
 
 def context_packs_core(spark, folder):
     """What no budget takes of every customer's pack."""
-    packs = _packs(spark, folder).where(F.col("token_budget") == BUDGETS[0]).drop("strengths")
+    packs = _packs(spark, folder).withColumn("token_budget", F.lit(BUDGETS[0])).drop("strengths")
     return packs.select("context_pack_id", B.minimum_tokens(packs).alias("minimum"), B.pack_tokens(packs).alias("whole"))
 
 
