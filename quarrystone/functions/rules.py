@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +46,28 @@ INSTRUCTION_RULES = (
     ("tool_or_exfiltration_request", r"(?i)\b(?:run|execute|curl|wget|send)\b[^.\n]{0,40}\b(?:command|shell|script|this\s+url|to\s+https?://)|\bexfiltrat|\bpost\s+the\s+(?:contents|secret|key|token)"),
     ("authority_claim", r"(?i)\b(?:this|these)\s+(?:instruction|rule|directive)s?\s+(?:override|supersede|take\s+precedence)"),
 )
+# What a text that a rule matches holds, one of each group at least; groups with False in front are looked for whatever their case.
+ANCHORS = {
+    "private_key_block": ((True, "PRIVATE KEY-----"),), "aws_access_key_id": ((True, "AKIA", "ASIA"),), "github_token": ((True, "_"), (True, "gh")), "slack_token": ((True, "xox"),),
+    "google_api_key": ((True, "AIza"),), "openai_key": ((True, "sk-"),), "jwt": ((True, "eyJ"),), "dsn_with_password": ((True, "://"), (True, "@")), "authorization_header": ((True, ":", "="), (False, "authorization")),
+    "set_cookie": ((True, ":"), (False, "set-cookie")), "assigned_credential": ((True, ":", "="), (False, "passw", "secret", "key", "token", "credential")),
+}
+#: A text that any of PII_RULES matches has an @ or two digits, with a space or a hyphen between them at most.
+_MAYBE_PII = r"@|[0-9][ -]?[0-9]"
 CLASSES = ("PUBLIC", "INTERNAL", "CLIENT_CONFIDENTIAL", "PII")
 
 
+def _matches(text: Column, name: str, pattern: str) -> Column:
+    """Does a rule match? Plain strings that a match cannot lack are looked for first, as that costs a fraction of a pattern."""
+    found = F.lit(True)
+    for cased, *parts in ANCHORS[name] if (name, pattern) in SECRET_RULES else ():
+        found = found & reduce(or_, [F.contains(text if cased else F.lower(text), F.lit(x)) for x in parts])
+    return found & text.rlike(pattern)
+
+
 def first_secret(text: Column, rules: tuple = SECRET_RULES) -> Column:
     """The name of the first rule that matches, or null."""
-    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in rules])
+    return F.coalesce(*[F.when(_matches(text, name, pattern), F.lit(name)) for name, pattern in rules])
 
 
 def all_attempts(text: Column, rules: tuple = INSTRUCTION_RULES) -> Column:
@@ -72,7 +90,7 @@ def _cards_out(text: Column, pattern: str, new: str) -> Column:
 def minimised(text: Column, declared: str = "INTERNAL", rules: tuple = PII_RULES) -> Column:
     """struct<text, redactions, data_class>: personal data replaced, the rules that changed something, the widened class.
 
-    Each rule reads the text that the rule before has left, once.
+    Each rule reads the text that the rule before has left, once; texts that none of PII_RULES can match are told apart first.
     """
     wider = CLASSES.index(declared) < CLASSES.index("PII")
 
@@ -89,4 +107,6 @@ def minimised(text: Column, declared: str = "INTERNAL", rules: tuple = PII_RULES
 
         return once(once(_cards_out(clean, pattern, new) if name == "credit_card" else F.regexp_replace(clean, pattern, new), changed), told)
 
-    return once(F.struct(text.alias("text"), F.array().cast("array<string>").alias("redactions")), lambda s: after(tuple(rules), s["text"], s["redactions"]))
+    none = F.array().cast("array<string>")
+    full = once(F.struct(text.alias("text"), none.alias("redactions")), lambda s: after(tuple(rules), s["text"], s["redactions"]))
+    return F.when(text.rlike(_MAYBE_PII), full).otherwise(F.struct(text.alias("text"), none.alias("redactions"), F.lit(declared).alias("data_class"))) if set(rules) <= set(PII_RULES) else full

@@ -69,9 +69,9 @@ def candidate_dedup_hash(spark, folder):
     again, page = unit(place, F.concat(F.lit(" \n"), "text", F.lit("\t "))), unit(F.concat(F.lit("page "), F.col("doc_id").cast("string")), F.col("text"))
     cited = F.array(unit(place, F.col("text")), F.when(F.col("doc_id") % 4 == 0, again), F.when(F.col("doc_id") % 5 == 0, page))
     units = docs.select("source_id", F.explode(F.array_compact(cited)).alias("u")).select("source_id", "u.locator", "u.text", F.lit("PATTERN").alias("knowledge_type"), F.lit("GENERIC").alias("locator_kind"))
-    kept, refused = L.gate(units)
-    rows = kept.select("source_id", F.lit(1).alias("kept")).unionByName(refused.select("source_id", F.lit(0).alias("kept")))
-    return rows.groupBy("source_id").agg(F.sum("kept").alias("n_candidates"), F.count_if(F.col("kept") == 0).alias("n_refused"))
+    told = L.judged(units).groupBy("source_id", "content_hash").agg(F.count("*").alias("n"))  # units that are refused have no hash
+    kept = F.col("content_hash").isNotNull()
+    return told.groupBy("source_id").agg(F.count_if(kept).alias("n_candidates"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("n_refused"))
 
 
 def content_dedup_first(spark, folder):
