@@ -572,3 +572,15 @@ def test_ego_join_of_any_magnitude(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
         (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 2, 8, True), (8, 2, 8, True), (9, 1, 9, True), (9, 1, 9, True),
     ]
+
+
+def test_bpe_words_of_a_part():
+    """Parts told apart without the pattern give the pattern's words: letters of several scripts, marks, and what only looks like letters."""
+    import regex
+
+    exact, words_of = regex.compile(tokenizers.PATTERN), bpe._words_of_part(bpe.word_splitter(tokenizers.PATTERN))
+    searched = []
+    counted = bpe._words_of_part(lambda text: searched.append(text) or exact.findall(text))
+    for part in ["word", "word.", "word,", "été", "été!", "ªº", "x²", "²", "a.b", "word..", "don't", "'s", "_a", "a_", "12", "a1", "漢字", "漢字,", "ǅ", "a\n", ".", "a'", "Ⅷ", "ﬁn;", "é."]:
+        assert words_of(part) == tuple(exact.findall(" " + part)) == tuple(counted(part)), part
+    assert not {" word", " word.", " word,", " été", " été!"} & set(searched) and " 漢字" in searched
