@@ -584,3 +584,48 @@ def test_bpe_words_of_a_part():
     for part in ["word", "word.", "word,", "été", "été!", "ªº", "x²", "²", "a.b", "word..", "don't", "'s", "_a", "a_", "12", "a1", "漢字", "漢字,", "ǅ", "a\n", ".", "a'", "Ⅷ", "ﬁn;", "é."]:
         assert words_of(part) == tuple(exact.findall(" " + part)) == tuple(counted(part)), part
     assert not {" word", " word.", " word,", " été", " été!"} & set(searched) and " 漢字" in searched
+
+
+def test_bpe_words_told_by_folded_words(spark):
+    """Ids of a word whose neighbouring ids folded words hold are the library's, and only words with other neighbours are left to the fold; counts are those of the pattern."""
+    import base64
+
+    import pyarrow as pa
+    import regex
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(21)
+    parts = ["the", "er", "on", "an", "ß", "é", "ción", "re", "ing", "th", "ü", "s", "中", "12", "--", "a"]
+    words = sorted({first + "".join(rng.choice(parts, int(n))) for n in rng.integers(1, 7, 9000) for first in ("", " ")})
+    ids = {w: library._encode_single_piece(w.encode()) for w in words}
+    folded = [w for w in words if rng.random() < 0.3]
+    known = [np.array(ids[w], "<u4").tobytes() for w in folded]
+    pairs = {p for w in folded for p in zip(ids[w], ids[w][1:], strict=False)}
+    seen = {x for w in folded for x in ids[w]}
+    joined = bpe.Joined(known, RANKS)
+    told = 0
+    for w in words:
+        want = ids[w] if set(ids[w]) <= seen and set(zip(ids[w], ids[w][1:], strict=False)) <= pairs else None
+        assert joined.ids(w.encode()) == want, w
+        told += want is not None and w not in set(folded)
+    assert told > 3000 and bpe.Joined([], RANKS).ids(b" the") is None
+    held = bpe._Parts(pa.table({"word": folded, "ids": known, "bytes": pa.nulls(len(folded), pa.binary())}), RANKS, tokenizers.PATTERN)
+    before, bpe.KEPT_PARTS = bpe.KEPT_PARTS, 3
+    try:
+        for w in [w for w in words if w.isalpha() or w[1:].isalpha()][:3000] * 2:
+            got = held[w.removeprefix(" ") + ","]
+            assert got.__class__ is tuple or got == np.array(library.encode_ordinary(" " + w.removeprefix(" ") + ","), "<u4").tobytes()
+    finally:
+        bpe.KEPT_PARTS = before
+
+    texts = [*ODD, " led by a space", "two  spaces, and.a\nline ", *rng.choice(["".join(rng.choice([*parts, " ", "\n", "."], 40)) for _ in range(20)], 40)]
+    want = collections.Counter(w for t in texts for w in regex.findall(tokenizers.PATTERN, t or "") if len(w) <= bpe.LONG_WORD // 4)
+    parts_of = bpe._parts_of(docs_of(spark, texts), tokenizers.PATTERN)
+    rows = parts_of.mapInArrow(bpe._counted(tokenizers.PATTERN), "word string, n long").collect()
+    got = collections.Counter()
+    for r in rows:
+        got[r.word] += r.n
+    assert all(got[w] == n for w, n in want.items() if not w.isspace())
+    assert parts_of.count() == len({(k > 0, p) for t in texts if t is not None for k, p in enumerate(t.split(" "))})
