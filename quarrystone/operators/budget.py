@@ -78,6 +78,25 @@ def trim_line(entry: Column) -> Column:
     return F.concat(F.lit("trimmed for token budget ("), entry["step"], F.lit("): "), n, F.lit(" item(s) removed from "), entry["field"], F.lit(" ["), F.array_join(entry["removed"], ", "), F.lit("]"))
 
 
+def letters_tokens(n: Column) -> Column:
+    """The estimate for a text of n letters."""
+    return F.ceil(n / CHARS).cast("long")
+
+
+def joined_length(n: Column, letters: Column) -> Column:
+    """Letters of n texts, one at least, that have so many letters themselves, joined by a comma and a space."""
+    return letters + 2 * (n - 1)
+
+
+def trim_line_length(step: str, n: Column, letters: Column) -> Column:
+    """Letters of trim_line for n things of so many letters."""
+    return joined_length(n, letters) + F.length(n.cast("string")) + len(f"trimmed for token budget ({step}):  item(s) removed from {_TOLD_AS[step]} []")
+
+
+def shortened(line: Column) -> Column:
+    return F.when(F.length(line) > LINE, F.concat(F.left(line, F.lit(LINE - 3)), F.lit("..."))).otherwise(line)
+
+
 def _without(values: Column, removed: Column) -> Column:
     return F.filter(values, lambda x: ~F.array_contains(removed, x))
 
@@ -113,10 +132,9 @@ def fit(packs: DataFrame, budget: str = "token_budget", strengths: str = "streng
 
     constraints, events, evidence, refs = F.col("constraints"), F.col("recent_event_ids"), F.col("evidence_ids"), F.col("procedural_refs")
     last = F.when(F.size(events) > 2, F.slice(events, -2, 2)).otherwise(F.array().cast("array<string>"))
-    shortened = F.array_sort(F.transform(constraints, lambda c: F.when(F.length(c) > LINE, F.concat(F.left(c, F.lit(LINE - 3)), F.lit("..."))).otherwise(c)))
     #: For each step: what it takes, and the lists that it changes, given what it takes.
     steps = {
-        "VERBOSE_SUMMARY": (F.transform(F.filter(constraints, lambda c: F.length(c) > LINE), lambda c: F.split_part(c, F.lit(":"), F.lit(1))), lambda gone: {"constraints": shortened}),
+        "VERBOSE_SUMMARY": (F.transform(F.filter(constraints, lambda c: F.length(c) > LINE), lambda c: F.split_part(c, F.lit(":"), F.lit(1))), lambda gone: {"constraints": F.array_sort(F.transform(constraints, shortened))}),
         "LOW_RELEVANCE_ARTIFACTS": (F.transform("artifact_refs", lambda a: a[artifact_id]), lambda gone: {"artifact_refs": F.slice("artifact_refs", 1, 0)}),
         "OLDER_EVENTS": (once(last, lambda kept: _without(events, kept)), lambda gone: {"recent_event_ids": last}),
         "WEAKER_EVIDENCE": (_weaker(evidence, known), lambda gone: {"evidence_ids": F.array_sort(F.array_distinct(_without(evidence, gone))), "provenance_summary": F.filter("provenance_summary", lambda p: ~F.array_contains(gone, p["object_id"]))}),

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
 from ..operators import checks as C
 from ..operators import semantic as M
 from ..operators.schemas import OWN_ID, SCHEMAS, VOCABULARIES
@@ -145,9 +146,13 @@ def world_conflicts(spark, folder):
 
 def world_pack(spark, folder):
     """The pack of everything that concerns one entity, in a budget that holds it."""
-    row = changing_world(spark, folder).scoped(SCOPE).pack_row("nation heed", "RESEARCH", 2_000_000_000, ["e1"], ("first", "second"), SINCE)
+    head, items = changing_world(spark, folder).scoped(SCOPE).pack_rows("nation heed", "RESEARCH", 2_000_000_000, ["e1"], ("first", "second"), SINCE)
     lists = ("entity_ids", "decision_ids", "claim_ids", "evidence_ids", "hypothesis_ids", "unknown_ids", "recent_event_ids", "constraints", "data_classes")
-    return row.select("mode", "sensitivity_level", "freshness_status", "fits", F.size("provenance_summary").cast("long").alias("n_provenance"), *[F.md5(F.array_join(c, ",")).alias(c) for c in lists])
+    long = [c for c in lists if c not in head.columns]
+    digests = I.joined_md5(items.where(F.col("list").isin(*long)), "list", "item")
+    told = digests.agg(*[F.coalesce(F.max(F.when(F.col("list") == c, F.col("md5"))), F.md5(F.lit(""))).alias(c) for c in long])
+    n_told = (F.size("provenance_summary") + F.col("n_provenance_summary")).cast("long").alias("n_provenance")
+    return head.join(told, F.lit(True)).select("mode", "sensitivity_level", "freshness_status", "fits", n_told, *[F.col(c) if c in long else F.md5(F.array_join(c, ",")).alias(c) for c in lists])
 
 
 def world_tier(spark, folder):
